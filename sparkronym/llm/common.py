@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -80,10 +81,11 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"{top.name}/{p.relative_to(top)}")
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, f"{top.name}-{uuid.uuid4().hex[:8]}.zip")
-        Path(path).write_bytes(data.getvalue())
-        spark.sparkContext.addPyFile(path)  # copied into the driver's file server
+    folder = tempfile.mkdtemp(prefix="sparkronym-zip-")  # the driver's own: executors get the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{top.name}-{uuid.uuid4().hex[:8]}.zip")
+    Path(path).write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 

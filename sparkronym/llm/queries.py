@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import exact_dedup
+from sparkronym.llm import bpe, exact_dedup, mixing
 
 QUERIES = {
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
