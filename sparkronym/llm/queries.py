@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import bpe, exact_dedup, mixing
+from sparkronym.llm import bpe, exact_dedup, mixing, sharding
 
 QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
