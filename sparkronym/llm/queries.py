@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import bpe, exact_dedup, mixing, sharding
+from sparkronym.llm import bpe, exact_dedup, mixing, sharding, substrings
 
 QUERIES = {
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_substring_dedup": substrings.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

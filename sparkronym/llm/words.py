@@ -75,7 +75,7 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if seed not in _cache:
-        t = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 2 + 1) * U(0xD1B54A32D192ED03))
+        t = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U((seed * 2 + 1) * 0xD1B54A32D192ED03 & (2**64 - 1)))
         p = int(mix(np.array([seed + 77], U))[0]) | 1
         inv = pow(p, -1, 1 << 64)
         up = np.full(CHUNK + 1, p, U)
