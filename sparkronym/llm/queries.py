@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import bpe, exact_dedup, jaccard, mixing, sharding, substrings
+from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, mixing, sharding, substrings
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_sharding": sharding.op8_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_embedding_dedup": embeddings.ORACLE,
     "op2_ngram_jaccard": jaccard.ORACLE,
     "op4_substring_dedup": substrings.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
