@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, mixing, sharding, substrings
+from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, mixing, sharding, substrings, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
