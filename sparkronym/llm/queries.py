@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, mixing, sharding, substrings, toxicity
+from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, mixing, sharding, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op4_substring_dedup": substrings.op4_substring_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_warc": warc.ORACLE,
     "op3_embedding_dedup": embeddings.ORACLE,
     "op2_ngram_jaccard": jaccard.ORACLE,
     "op4_substring_dedup": substrings.ORACLE,

@@ -260,7 +260,7 @@ def fit(texts: list[str], labels: list[int], rate: float, seed: int = 0) -> dict
     if len(yt) and yt.min() != yt.max():
         weight = np.where(yt == 1, rate / max(1, yt.sum()), (1 - rate) / max(1, (1 - yt).sum()))
         # few rows say little: the less of them, the nearer to the network's own logit at that rate
-        hold, b0 = 1 / len(yt), float(np.log(rate / (1 - rate)) - np.log(n_pos / n_neg))
+        hold, b0 = 0.1 / len(yt), float(np.log(rate / (1 - rate)) - np.log(n_pos / n_neg))
         s, b = 1.0, b0
         for _ in range(50):  # Newton steps
             q = sigmoid(s * raw + b)
