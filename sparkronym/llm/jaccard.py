@@ -10,8 +10,10 @@ Sets are named by 64-bit hashes of shingles, sorted.
    their hashes; which are in many is counted over all sets. Sets that share such a
    shingle are a group.
 3. Tiles. Candidates come in tiles of one group and one band of sizes. Each set has a
-   bitmap of BITS hashed bits; |A xor B| is at least the number of bits that differ, which
-   bounds the overlap from above before the exact intersection of sorted arrays.
+   bitmap of its shingles' hashes, of about as many bits as shingles; |A xor B| is at
+   least the number of bits that differ, which bounds the overlap from above. Only sets
+   of candidates that may link by this bound are read, for the exact intersection of
+   sorted arrays.
 4. In each group all are first compared with one pivot, which joins most; then, in groups
    that are still of several components, those of different components with each other.
    Groups about a shingle that is in many sets are first divided: by pigeonhole, two
@@ -33,7 +35,8 @@ from sparkronym.llm import words as w
 from sparkronym.llm.common import Scratch, ship
 from sparkronym.llm.graph import components
 
-BITS = 512
+#: Bits of the bitmap of a small set, and cells by which texts are sifted before a join (8 MB).
+LEAST_BITS, CELLS = 512, 1 << 20
 #: A shingle that is among the first ones of more sets than this comes last in the order ...
 MANY = 32
 #: ... of which the driver and each worker hold so many at most, the most frequent.
@@ -78,8 +81,11 @@ def _sets(k: int, percent: int, with_all: bool):
                 b = np.array([np.add.reduce(w.mix(s ^ U(0x5851F42D4C957F2D))) for s in sets], U).view(np.int64)
                 first = [s if with_all else s[: max(64, 2 * prefix(len(s), percent) + 10)] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i, c in enumerate(part.schema.names) if c != "text"), pa.array(list(map(len, sets)), pa.int64()), pa.array(a), pa.array(b), pa.array([s.tobytes() for s in first], pa.binary())],
-                    names=[*(c for c in part.schema.names if c != "text"), "n", "s1", "s2", "first"],
+                    [
+                        part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(a), pa.array(b), pa.array([s.tobytes() for s in first], pa.binary()),
+                        pa.array([None if with_all else bitmap(s) for s in sets], pa.binary()),
+                    ],
+                    names=["doc_id", "n", "s1", "s2", "first", "bitmap"],
                 )
 
     return run
@@ -149,32 +155,46 @@ def _prefixes(percent: int, hot, with_all: bool):
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s & U(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    n = max(LEAST_BITS, 1 << max(0, len(s) - 1).bit_length())
+    bits = np.zeros(n, np.uint8)
+    bits[(s & U(n - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _with_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        maps = [bitmap(np.frombuffer(s, U)) for s in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps, pa.binary())], names=["row", "n", "shingles", "bitmap"])
+def differing(x: bytes, y: bytes) -> int:
+    """How many bits differ; the larger bitmap is folded to the smaller one's bits."""
+    a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_or.reduce(a.reshape(-1, len(b)))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
-def _verify(percent: int):
-    """Of candidates with both bitmaps and sets, those that link."""
+def _maybe(percent: int):
+    """Of candidates with sizes and bitmaps, those that may link by the bound on their overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy() for i in (2, 3))
-            maps = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BITS // 64, 8).view(U)[:, :, 0] for i in (4, 5)]
-            differ = np.bitwise_count(maps[0] ^ maps[1]).sum(1, dtype=np.int64) if len(a) else a
-            bound = np.minimum((a + b - differ) // 2, np.minimum(a, b))  # the overlap is no larger
-            maybe = np.flatnonzero(100 * bound >= percent * (a + b - bound))
+            differ = np.fromiter(map(differing, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, len(batch))
+            bound = np.minimum((a + b - differ) // 2, np.minimum(a, b))
+            at = pa.array(np.flatnonzero(100 * bound >= percent * (a + b - bound)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["x", "y"])
+
+    return run
+
+
+def _exact(percent: int):
+    """Of candidates with their sets, those that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             keep = []
-            x, y = batch.column(6), batch.column(7)
-            for i in maybe.tolist():
-                both = len(np.intersect1d(np.frombuffer(x[i].as_buffer(), U), np.frombuffer(y[i].as_buffer(), U), assume_unique=True))
-                if 100 * both >= percent * (a[i] + b[i] - both):
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["x", "y"])
@@ -221,22 +241,37 @@ def _bucket_rows(percent: int, begin: list[int]):
 
 
 class _Join:
-    """The state of one join: signatures, links found, components so far."""
+    """The state of one join: what is known of the sets, links found, components so far."""
 
-    def __init__(self, scratch: Scratch, signatures: DataFrame, percent: int):
-        self.scratch, self.sig, self.percent, self.step = scratch, signatures, percent, 0
+    def __init__(self, scratch: Scratch, light: DataFrame, read, percent: int):
+        """light: row, n, bitmap. read: rows -> row, shingles of these rows' texts."""
+        self.scratch, self.light, self.read, self.percent, self.step = scratch, light, read, percent, 0
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
+        self.sets: DataFrame | None = None
+
+    def fetch(self, rows: DataFrame) -> None:
+        """Reads the sets of these rows (column row) that aren't there yet."""
+        if self.sets is not None:
+            rows = rows.join(self.sets.select("row"), "row", "left_anti")
+        rows = self.scratch.save(rows.distinct(), f"wanted{self.step}")
+        if self.sets is None or not rows.isEmpty():
+            new = self.scratch.save(self.read(rows), f"sets{self.step}")
+            self.sets = new if self.sets is None else self.sets.unionByName(new)
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds the links among candidate pairs (x, y) and renews the components."""
         self.step += 1
-        sx = self.sig.select(F.col("row").alias("x"), F.col("n").alias("a"), F.col("bitmap").alias("bx"), F.col("shingles").alias("kx"))
-        sy = self.sig.select(F.col("row").alias("y"), F.col("n").alias("b"), F.col("bitmap").alias("by"), F.col("shingles").alias("ky"))
-        # sizes decide first, without the sets
-        sized = pairs.distinct().join(sx.select("x", "a"), "x").join(sy.select("y", "b"), "y").where(100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")).select("x", "y")
-        tiles = sized.join(sx, "x").join(sy, "y").select("x", "y", "a", "b", "bx", "by", "kx", "ky")
-        found = self.scratch.save(tiles.mapInArrow(_verify(self.percent), "x long, y long"), f"links{self.step}")
+        side = lambda v, n, m: self.light.select(F.col("row").alias(v), F.col("n").alias(n), F.col("bitmap").alias(m))
+        x, y = side("x", "a", "bx"), side("y", "b", "by")
+        # sizes decide first, then bitmaps, then sets
+        sized = pairs.distinct().join(x.select("x", "a"), "x").join(y.select("y", "b"), "y").where(100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")).select("x", "y")
+        tiles = sized.join(x, "x").join(y, "y").select("x", "y", "a", "b", "bx", "by")
+        maybe = self.scratch.save(tiles.mapInArrow(_maybe(self.percent), "x long, y long"), f"maybe{self.step}")
+        self.fetch(maybe.select(F.col("x").alias("row")).unionByName(maybe.select(F.col("y").alias("row"))))
+        sx, sy = self.sets.select(F.col("row").alias("x"), F.col("shingles").alias("kx")), self.sets.select(F.col("row").alias("y"), F.col("shingles").alias("ky"))
+        exact = maybe.join(sx, "x").join(sy, "y").select("x", "y", "kx", "ky")
+        found = self.scratch.save(exact.mapInArrow(_exact(self.percent), "x long, y long"), f"links{self.step}")
         self.edges = found if self.edges is None else self.edges.unionByName(found)
         self.labels = components(self.edges, self.scratch, f"labels{self.step}")
 
@@ -270,7 +305,7 @@ class _Join:
             self.verify_star(left.where("label <> lo"), "row")
             k += 1
         x, y = left.select("gid", F.col("row").alias("x"), F.col("label").alias("lx")), left.select("gid", F.col("row").alias("y"), F.col("label").alias("ly"))
-        n = self.sig.select(F.col("row"), F.col("n"))
+        n = self.light.select("row", "n")
         x = x.join(n.withColumnsRenamed({"row": "x", "n": "a"}), "x")
         y = y.join(n.withColumnsRenamed({"row": "y", "n": "b"}), "y")
         pairs = x.join(y, "gid").where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (100 * F.least("a", "b") >= self.percent * F.greatest("a", "b"))).select("x", "y")
@@ -293,7 +328,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, s1 long, s2 long, first binary"
+    schema = f"doc_id {kind}, n long, s1 long, s2 long, first binary, bitmap binary"
     sets = scratch.save(src.mapInArrow(_sets(words, percent, False), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
 
     key = ["s1", "s2", "n"]
@@ -301,6 +336,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = scratch.save(sets.select("row", "doc_id", *key).join(reps, key, "left").select("row", "doc_id", "n", "s1", "s2", F.coalesce("rep", "row").alias("rep")), "members")
     copies = members.where("row <> rep").select("row")
     own = sets.where("n > 0").join(copies, "row", "left_anti").select("row", "n", "first")
+    light = sets.where("n > 0").select("row", "n", "bitmap")
+
+    def read(rows: DataFrame) -> DataFrame:
+        """Whole sets of rows. Texts are first sifted by a hash of their id, whose values are
+        few enough to be broadcast whatever the number of rows; what passes is joined."""
+        wanted = rows.join(members, "row").select("row", F.col("doc_id").alias("_id"), "s1", "s2")
+        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
+        sift = F.broadcast(wanted.select(cell("_id").alias("_c")).distinct())
+        texts = src.join(sift, cell("doc_id") == F.col("_c"), "left_semi")
+        texts = texts.join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        full = texts.mapInArrow(_sets(words, percent, True), schema).join(wanted, ["s1", "s2"])
+        return full.where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["row"]).select("row", F.col("first").alias("shingles"))
 
     # shingles of many sets
     volume = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -310,14 +357,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r[0] for r in hot.collect()), U)).tobytes())
     out_schema = "row long, cold array<long>, hot array<long>, short boolean"
     lead = scratch.save(own.mapInArrow(_prefixes(percent, hot, False), out_schema), "lead")
-    short = lead.where("short").select("row").join(members, "row").select("row", "doc_id", "s1", "s2")
+    short = lead.where("short").select("row")
     if not short.isEmpty():  # sets whose stored part doesn't reach far enough are read again, whole
-        again = src.join(short.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        again = again.mapInArrow(_sets(words, percent, True), schema)
-        again = again.join(short.withColumnRenamed("doc_id", "_id"), ["s1", "s2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["row"]).select("row", "n", "first")
+        again = read(short).join(members.select("row", "n"), "row").select("row", "n", F.col("shingles").alias("first"))
         lead = scratch.save(lead.where("not short").unionByName(again.mapInArrow(_prefixes(percent, hot, True), out_schema)), "lead2")
         scratch.drop("lead")
-    scratch.drop("sets")
 
     shared = lambda rows: rows.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     cold = lead.select(F.explode("cold").alias("gid"), "row")
@@ -325,21 +369,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     warm = scratch.save(lead.where("size(hot) > 0").select("row"), "warm")
     scratch.drop("lead", "lead2")
 
-    # signatures of all that may be compared
-    wanted = cold.select("row").unionByName(warm).distinct().join(members.select("row", "doc_id", "s1", "s2"), "row")
-    texts = src.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    full = texts.mapInArrow(_sets(words, percent, True), schema)
-    full = full.join(wanted.withColumnRenamed("doc_id", "_id"), ["s1", "s2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("row", "n", F.col("first").alias("shingles"))
-    sig = scratch.save(full.mapInArrow(_with_bitmap, "row long, n long, shingles binary, bitmap binary").dropDuplicates(["row"]), "signatures")
-
-    join = _Join(scratch, sig, percent)
+    light = scratch.save(light.join(cold.select("row").unionByName(warm).distinct(), "row"), "light")
+    scratch.drop("sets")
+    join = _Join(scratch, light, read, percent)
     join.resolve(cold, "cold", 1)
     if not warm.isEmpty():
-        top = sig.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+        join.fetch(warm)
+        top = light.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
         begin = bands(percent, top) + [0, 0]
         begin[-2] = begin[-3] * 100 // percent + 1
         begin[-1] = begin[-2] * 100 // percent + 1
-        parts = sig.join(warm, "row").select("row", "shingles").mapInArrow(_bucket_rows(percent, begin), "row long, gids array<long>").select(F.explode("gids").alias("gid"), "row")
+        parts = join.sets.join(warm, "row").select("row", "shingles").mapInArrow(_bucket_rows(percent, begin), "row long, gids array<long>").select(F.explode("gids").alias("gid"), "row")
         parts = scratch.save(parts, "buckets")
         parts = scratch.save(parts.join(shared(parts), "gid"), "shared-buckets")
         scratch.drop("buckets")
@@ -347,7 +387,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     labels = join.labels
     named = members.join(labels, members.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep"))
     named = scratch.save(named.select("doc_id", "n", "label"), "named")
-    scratch.drop("signatures", "cold", "warm", "shared-buckets")
+    scratch.drop("light", "cold", "warm", "shared-buckets")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
