@@ -191,7 +191,7 @@ def coder(rank_file: bytes, pattern: str) -> Bpe:
 
 
 OUTPUTS = {
-    "ids": T.ArrayType(T.LongType(), False),
+    "ids": T.ArrayType(T.IntegerType(), False),
     "n_tokens": T.LongType(),
     "ids_sha256": T.StringType(),
     "decoded": T.BinaryType(),
@@ -229,7 +229,7 @@ class _Encode:
                 ids = bpe.encode([t or "" for t in part.column(len(self.cols)).to_pylist()])
                 decoded = bpe.decode(ids) if any(o.startswith("decoded") for o in self.outputs) else []
                 made = {
-                    "ids": lambda ids=ids: pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())),
+                    "ids": lambda ids=ids: pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())),
                     "n_tokens": lambda ids=ids: pa.array([len(x) // 4 for x in ids], pa.int64()),
                     "ids_sha256": lambda ids=ids: pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                     "decoded": lambda d=decoded: pa.array(d, pa.binary()),
