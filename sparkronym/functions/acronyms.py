@@ -12,7 +12,8 @@ ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII
 
 
 def _found(text: str | Column, pattern: str) -> Column:
-    return F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
+    # word boundaries of all scripts, whatever the Java version
+    return F.regexp_extract_all(col(text), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
 def _upper_half(a: Column) -> Column:

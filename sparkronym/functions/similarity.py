@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkronym.functions.text import col
+from sparkronym.shipping import ship
 
 
 def plain(c: str | Column) -> Column:
@@ -75,9 +76,9 @@ def normalised_confidences(m: str | Column) -> Column:
     return F.transform_values(col(m), lambda _, v: F.coalesce(F.try_divide(v - low, total), F.lit(0.0)))
 
 
-@F.pandas_udf("boolean")
-def rival_similar(a: pd.Series, b: pd.Series) -> pd.Series:
+def rival_similar(a: str | Column, b: str | Column) -> Column:
     """Equal without case and outer spaces, or a ratio of matching blocks above 0.8."""
+    ship()
 
     def one(x, y):
         if x is None or y is None:
@@ -85,4 +86,7 @@ def rival_similar(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = x.lower().strip(), y.lower().strip()
         return x == y or difflib.SequenceMatcher(None, x, y).ratio() > 0.8
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+    def both(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(*z) for z in zip(x, y, strict=True)], dtype=object)
+
+    return F.pandas_udf(both, "boolean")(col(a), col(b))

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from sparkronym.functions.similarity import cosine, normalised_confidences
 from sparkronym.operators.dictionary import most_frequent as _frequent
+from sparkronym.shipping import ship
 
 KEYS = ["article_id", "acronym"]
 
@@ -176,6 +177,7 @@ def fitted(mentions: DataFrame, dictionary: DataFrame, test_vectors: DataFrame,
 
     model: (training matrix, labels, label names, test matrix) -> scores by test row and
     label. A group holds one acronym's rows; binary margins give the loser 0."""
+    ship(mentions.sparkSession)
     pack = lambda v: v.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("tv")).select("article_id", F.col("tv.term").alias("terms"), F.col("tv.weight").alias("weights"))
     train = dictionary.select("acronym", "expansion", "article_id").distinct().join(pack(train_vectors), "article_id")
     test = mentions.select(*KEYS).distinct().join(pack(test_vectors), "article_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from sparkronym.operators import matchers
+from sparkronym.shipping import ship
 
 SCHEMA = "article_id string, acronym string, expansion string, error string"
 
@@ -38,6 +39,7 @@ def extract(articles: DataFrame, rule: str | Callable[[str], dict] = "schwartz_h
     Texts go to Python in Arrow batches and are independent of each other: no shuffle.
     nulls: keep acronyms seen without an expansion. A text on which the rule fails
     gives one row with the error."""
+    ship(articles.sparkSession)
     fn = REGISTRY[rule] if isinstance(rule, str) else rule
     out = articles.select(F.col("article_id").cast("string"), "raw_text").mapInArrow(_run(fn), SCHEMA)
     return out if nulls else out.where("expansion is not null or error is not null")
@@ -45,6 +47,7 @@ def extract(articles: DataFrame, rule: str | Callable[[str], dict] = "schwartz_h
 
 def register(spark: SparkSession) -> list[str]:
     """Every rule as a table function extract_<rule>(text) for SQL's LATERAL."""
+    ship(spark)
     names = []
     for name, fn in REGISTRY.items():
 
@@ -62,6 +65,7 @@ def register(spark: SparkSession) -> list[str]:
 
 def from_tags(rows: DataFrame) -> DataFrame:
     """Pairs of tagged token sequences (article_id, tokens, tags)."""
+    ship(rows.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

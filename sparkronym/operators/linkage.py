@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkronym.functions.similarity import similar
 from sparkronym.functions.text import singular_acronym
 from sparkronym.operators.dictionary import representatives
+from sparkronym.shipping import ship
 
 #: Steps of label propagation at most; a cluster is a small block's component.
 MOST_STEPS = 20
@@ -76,6 +77,8 @@ def greedy_labels(dictionary: DataFrame) -> DataFrame:
 
     Not transitive and dependent on order, unlike clusters()."""
 
+    ship(dictionary.sparkSession)
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         labels: list[str] = []
         out = []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkronym.functions.text import url_join
+from sparkronym.shipping import ship
 
 
 class _Links(HTMLParser):
@@ -70,6 +71,7 @@ LINKS = "article_id string, url string, kind string, text string, title string,
 
 def links(pages: DataFrame) -> DataFrame:
     """(article_id, url, kind, text, title, href) of <a> and <abbr> in pages (article_id, url, html)."""
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,6 +88,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """(article_id, raw_text) of pages (article_id, html)."""
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
