@@ -1,19 +1,16 @@
 """What the operators of this subpackage share: intermediate tables in the shared
-folder, and shipping of this package to Python workers."""
+folder, and words."""
 
 from __future__ import annotations
 
 import atexit
-import io
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkronym.shipping import ship  # noqa: F401 the operators import it from here
+
 #: What separates words, in every operator here, as a class for Java's, RE2's and Python's patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,27 +65,6 @@ class Scratch:
             pass
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, which may not have it on their path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    folder = tempfile.mkdtemp(prefix="sparkronym-zip-")  # the driver's own: executors get the file from the driver
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, f"{top.name}-{uuid.uuid4().hex[:8]}.zip")
-    Path(path).write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
