@@ -45,8 +45,13 @@ def context_vectors(docs: DataFrame, train: DataFrame | None = None, concept_col
 def n_grams(tokens_col: str, low: int = 1, high: int = 1):
     """All runs of low to high tokens, joined by spaces."""
     t = col(tokens_col)
-    parts = [F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i, n=n: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.flatten(F.array(*parts))
+    parts, grams = [], t
+    for n in range(1, high + 1):
+        if n > 1:  # each run of n - 1 tokens and the token after it
+            grams = F.zip_with(F.slice(grams, 1, F.greatest(F.lit(0), F.size(t) - n + 1)), F.slice(t, n, F.greatest(F.lit(0), F.size(t) - n + 1)), lambda x, y: F.concat_ws(" ", x, y))
+        if n >= low:
+            parts.append(grams)
+    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
 
 
 def tfidf(docs: DataFrame, train: DataFrame | None = None, max_features: int | str | None = None, max_df: float = 1.0, min_df: float = 0, ngram: tuple[int, int] = (1, 1), stop_words: list[str] = (), id_col: str = "article_id") -> DataFrame:
@@ -160,10 +165,10 @@ def sentence_means(docs: DataFrame, encode: Callable[[list[str]], list[list[floa
     else:
         pieces = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
 
-    @F.pandas_udf("array<double>")
-    def vectors(s: pd.Series) -> pd.Series:
+    def run(s):
         return pd.Series([list(map(float, v)) for v in encode(s.tolist())])
 
+    vectors = F.pandas_udf(run, "array<double>")
     rows = docs.select("article_id", F.explode(pieces).alias("piece")).select("article_id", vectors("piece").alias("vector"))
     n = rows.groupBy("article_id").agg(F.count("*").alias("n"))
     return vector_sum(rows, ["article_id"]).join(n, "article_id").select("article_id", F.transform("vector", lambda x: x / F.col("n")).alias("vector"))
