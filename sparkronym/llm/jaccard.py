@@ -9,13 +9,15 @@ Sets are named by 64-bit hashes of shingles, sorted.
    n - that + 1. The order here: shingles that are in many sets come last, the others by
    their hashes; which are in many is counted over all sets. Sets that share such a
    shingle are a group.
-3. Tiles. Candidates come in tiles of one group and one band of sizes. Each set has a
+3. Bounds. Candidates must be of one band of sizes. Each set has a
    bitmap of its shingles' hashes, of about as many bits as shingles; |A xor B| is at
    least the number of bits that differ, which bounds the overlap from above. Only sets
    of candidates that may link by this bound are read, for the exact intersection of
    sorted arrays.
-4. In each group all are first compared with one pivot, which joins most; then, in groups
-   that are still of several components, those of different components with each other.
+4. In each group all are first compared with one pivot, which joins most; then, in small
+   groups that are still of several components, those of different components with each
+   other. What is left of large groups is sorted by size and cut into blocks; each pair
+   of blocks whose sizes may link is a tile, compared as such.
    Groups about a shingle that is in many sets are first divided: by pigeonhole, two
    linked sets agree in all shingles of some of their hashed buckets, as there are more
    buckets than shingles by which linked sets of that size band can differ; documents
@@ -37,8 +39,10 @@ from sparkronym.llm.graph import components
 
 #: Bits of the bitmap of a small set, and cells by which texts are sifted before a join (8 MB).
 LEAST_BITS, CELLS = 512, 1 << 20
+#: Bytes of the sets of a block of a tile; each counts as 2 KB at least.
+TILE_BYTES = 1 << 21
 #: A shingle that is among the first ones of more sets than this comes last in the order ...
-MANY = 32
+MANY = 8
 #: ... of which the driver and each worker hold so many at most, the most frequent.
 MOST_HOT = 1 << 20
 U = np.uint64
@@ -245,7 +249,7 @@ class _Join:
 
     def __init__(self, scratch: Scratch, light: DataFrame, read, percent: int):
         """light: row, n, bitmap. read: rows -> row, shingles of these rows' texts."""
-        self.scratch, self.light, self.read, self.percent, self.step = scratch, light, read, percent, 0
+        self.scratch, self.light, self.read, self.percent, self.step, self.fetched = scratch, light, read, percent, 0, 0
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.sets: DataFrame | None = None
@@ -254,9 +258,10 @@ class _Join:
         """Reads the sets of these rows (column row) that aren't there yet."""
         if self.sets is not None:
             rows = rows.join(self.sets.select("row"), "row", "left_anti")
-        rows = self.scratch.save(rows.distinct(), f"wanted{self.step}")
+        self.fetched += 1
+        rows = self.scratch.save(rows.distinct(), f"wanted{self.fetched}")
         if self.sets is None or not rows.isEmpty():
-            new = self.scratch.save(self.read(rows), f"sets{self.step}")
+            new = self.scratch.save(self.read(rows), f"sets{self.fetched}")
             self.sets = new if self.sets is None else self.sets.unionByName(new)
 
     def verify(self, pairs: DataFrame) -> None:
@@ -287,33 +292,88 @@ class _Join:
         mixed = lab.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid", "lo")
         return self.scratch.save(lab.join(mixed, "gid").select("gid", "row", "label", "lo"), name)
 
-    def resolve(self, groups: DataFrame, name: str, stars: int) -> None:
+    def resolve(self, groups: DataFrame, name: str, stars: int, small: bool) -> None:
         """Finds all links inside of groups that matter for the components.
 
-        First stars about the smallest row of those outside of the group's first
-        component, then what is left between components, one with the other."""
-        left, k = self.open(groups, f"{name}-open"), 0
-        self.verify_star(left, "row")
-        while True:
+        First stars, later ones among those outside of the group's first component, then
+        what is left between components: of small groups by group, else by tiles."""
+        left = self.open(groups, f"{name}-open")
+        for k in range(stars):
+            outside = left if not k else left.where("label <> lo")
+            pivot = outside.groupBy("gid").agg(F.min_by("row", F.xxhash64("row", F.lit(k))).alias("y"))
+            self.verify(outside.join(pivot, "gid").where("row <> y").select(F.col("row").alias("x"), "y"))
             now = self.open(left.select("gid", "row"), f"{name}-open{k}")
             self.scratch.drop(f"{name}-open" if not k else f"{name}-open{k - 1}")
             left = now
             if left.isEmpty():
                 return
-            if k == stars:
-                break
-            self.verify_star(left.where("label <> lo"), "row")
-            k += 1
-        x, y = left.select("gid", F.col("row").alias("x"), F.col("label").alias("lx")), left.select("gid", F.col("row").alias("y"), F.col("label").alias("ly"))
+        if not small:
+            self.tiles(left.select("row", "label").distinct())
+            return
         n = self.light.select("row", "n")
-        x = x.join(n.withColumnsRenamed({"row": "x", "n": "a"}), "x")
-        y = y.join(n.withColumnsRenamed({"row": "y", "n": "b"}), "y")
-        pairs = x.join(y, "gid").where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & (100 * F.least("a", "b") >= self.percent * F.greatest("a", "b"))).select("x", "y")
-        self.verify(pairs)
+        x, y = (left.join(n, "row").select("gid", F.col("row").alias(v), F.col("label").alias(f"l{v}"), F.col("n").alias(m)) for v, m in (("x", "a"), ("y", "b")))
+        sizes = 100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")
+        self.verify(x.join(y, "gid").where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & sizes).select("x", "y"))
 
-    def verify_star(self, members: DataFrame, by: str) -> None:
-        pivot = members.groupBy("gid").agg(F.min(by).alias("y"))
-        self.verify(members.join(pivot, "gid").where("row <> y").select(F.col("row").alias("x"), "y"))
+    def tiles(self, rows: DataFrame) -> None:
+        """Adds links between rows of different labels (row, label), enough to join all that are linked."""
+        self.step += 1
+        self.fetch(rows.select("row"))
+        weight = F.greatest(F.lit(2048), F.col("n") * 8)
+        r = self.scratch.save(rows.join(self.light, "row").select("row", "label", "n", "bitmap", weight.alias("w")), f"tile-rows{self.step}")
+        by_size = r.groupBy("n").agg(F.sum("w").alias("total"))
+        from pyspark.sql import Window as W
+
+        # one row for each size; rows of a size are spread over its stretch of bytes
+        at = by_size.withColumn("at", F.sum("total").over(W.orderBy("n")) - F.col("total"))
+        r = r.join(at, "n").withColumn("block", F.floor((F.col("at") + F.pmod(F.xxhash64("row"), F.col("total"))) / TILE_BYTES))
+        meta = sorted((b["block"], b["lo"], b["hi"]) for b in r.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect())  # one for each block
+        pairs = [(i, j, b) for p, (i, _, hi) in enumerate(meta) for j, lo, _ in meta[p:] if 100 * hi >= self.percent * lo for b in {i, j}]
+        uses = self.scratch.spark.createDataFrame(pairs or [(0, 0, -1)], "i long, j long, block long")
+        held = r.join(self.sets, "row").select("row", "label", "n", "bitmap", "shingles", "block")
+        found = held.join(uses, "block").groupBy("i", "j").applyInPandas(_tile(self.percent), "x long, y long")
+        found = self.scratch.save(found, f"links{self.step}")
+        self.edges = found if self.edges is None else self.edges.unionByName(found)
+        self.labels = components(self.edges, self.scratch, f"labels{self.step}")
+
+
+def _tile(percent: int):
+    """Links between two blocks of sets (or inside of one) of different labels; none between what is already joined."""
+
+    def run(key, rows):
+        import pandas as pd
+
+        least = min(map(len, rows["bitmap"]))
+        fold = lambda m: np.bitwise_or.reduce(np.frombuffer(m, U).reshape(-1, least // 8))
+        rows = rows.sort_values("row").reset_index(drop=True)
+        maps, n, block = np.stack([fold(m) for m in rows["bitmap"]]), rows["n"].to_numpy(), rows["block"].to_numpy()
+        label, ids = rows["label"].to_numpy(), rows["row"].to_numpy()
+        sets = [np.frombuffer(s, U) for s in rows["shingles"]]
+        root = {x: x for x in label.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        left = np.flatnonzero(block == key[0])
+        right = np.flatnonzero(block == key[1])
+        out = []
+        for a in left.tolist():
+            other = right[right > a] if key[0] == key[1] else right
+            differ = np.bitwise_count(maps[other] ^ maps[a]).sum(1, dtype=np.int64)
+            bound = np.minimum((n[other] + n[a] - differ) // 2, np.minimum(n[other], n[a]))
+            for b in other[(100 * bound >= percent * (n[other] + n[a] - bound)) & (label[other] != label[a])].tolist():
+                x, y = find(int(label[a])), find(int(label[b]))
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= percent * (n[a] + n[b] - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(ids[a]), int(ids[b])))
+        return pd.DataFrame(out, columns=["x", "y"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
@@ -363,16 +423,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         lead = scratch.save(lead.where("not short").unionByName(again.mapInArrow(_prefixes(percent, hot, True), out_schema)), "lead2")
         scratch.drop("lead")
 
-    shared = lambda rows: rows.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
+    shared = lambda rows: rows.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1")
     cold = lead.select(F.explode("cold").alias("gid"), "row")
-    cold = scratch.save(cold.join(shared(cold), "gid"), "cold")
-    warm = scratch.save(lead.where("size(hot) > 0").select("row"), "warm")
+    cold = scratch.save(cold.join(shared(cold), "gid"), "groups")
+    # shingles beyond the stored parts weren't counted before: their groups may be as large as those of hot ones
+    warm = scratch.save(lead.where("size(hot) > 0").select("row").unionByName(cold.where(F.col("c") > many).select("row")).distinct(), "warm")
+    cold = scratch.save(cold.where(F.col("c") <= many).select("gid", "row"), "cold")
+    scratch.drop("groups")
     scratch.drop("lead", "lead2")
 
     light = scratch.save(light.join(cold.select("row").unionByName(warm).distinct(), "row"), "light")
     scratch.drop("sets")
     join = _Join(scratch, light, read, percent)
-    join.resolve(cold, "cold", 1)
+    join.resolve(cold, "cold", 2, True)
     if not warm.isEmpty():
         join.fetch(warm)
         top = light.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
@@ -381,9 +444,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         begin[-1] = begin[-2] * 100 // percent + 1
         parts = join.sets.join(warm, "row").select("row", "shingles").mapInArrow(_bucket_rows(percent, begin), "row long, gids array<long>").select(F.explode("gids").alias("gid"), "row")
         parts = scratch.save(parts, "buckets")
-        parts = scratch.save(parts.join(shared(parts), "gid"), "shared-buckets")
+        parts = scratch.save(parts.join(shared(parts).select("gid"), "gid"), "shared-buckets")
         scratch.drop("buckets")
-        join.resolve(parts, "warm", 3)
+        join.resolve(parts, "warm", 3, False)
     labels = join.labels
     named = members.join(labels, members.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep"))
     named = scratch.save(named.select("doc_id", "n", "label"), "named")
