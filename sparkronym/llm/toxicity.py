@@ -25,7 +25,7 @@ from sparkronym.llm.common import ship
 
 WINDOW, STRIDE = 32, 16
 #: Labelled rows of each class that the network is fitted on at most, and characters of each of these.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 50_000
 WORD_ROWS, WORD_DIM = 1 << 13, 6
 CHAR_ROWS, CHAR_DIM = 1 << 12, 4
 GRAM = 6
@@ -198,18 +198,27 @@ def fit(texts: list[str], labels: list[int], rate: float, seed: int = 0) -> dict
     tune = np.arange(len(y)) % 4 == 3  # for the calibration
     n_pos, n_neg = int(y[~tune].sum()), int((1 - y[~tune]).sum())
 
-    def odds(thing: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds without a document of label 0, without one of label 1, and with all; and which things were met."""
-        fitted = ~tune[of]
-        pos, neg = np.bincount(thing[fitted], y[of[fitted]], n), np.bincount(thing[fitted], 1 - y[of[fitted]], n)
+    def odds(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+        """Log odds without a document of label 0, without one of label 1, and with all."""
         less = [log_odds(np.maximum(pos - lab, 0), np.maximum(neg - (1 - lab), 0), n_pos, n_neg) for lab in (0, 1)]
-        return np.stack((*less, log_odds(pos, neg, n_pos, n_neg))), pos + neg > 1
+        return np.stack((*less, log_odds(pos, neg, n_pos, n_neg)))
 
-    word_odds, met = odds(word, of, len(x.hash))
+    fitted = ~tune[of]
+    pos, neg = (np.bincount(word[fitted & (y[of] == lab)], minlength=len(x.hash)) for lab in (1, 0))
+    word_odds, met = odds(pos, neg), pos + neg > 1
     gram_hash, gram = np.unique(x.gram, return_inverse=True)
-    each = np.repeat(x.gram_first[word] - np.cumsum(x.n_grams[word]) + x.n_grams[word], x.n_grams[word]) + np.arange(x.n_grams[word].sum())
-    gram_pair = np.unique(gram[each] * len(y) + np.repeat(of, x.n_grams[word]))
-    gram_odds, gram_met = odds(gram_pair // len(y), gram_pair % len(y), len(gram_hash))
+    pos, neg = np.zeros(len(gram_hash), np.int64), np.zeros(len(gram_hash), np.int64)
+    order = np.argsort(of, kind="stable")
+    bound = np.searchsorted(of[order], np.arange(0, len(y) + 100, 100))
+    for a, b in zip(bound[:-1], bound[1:], strict=True):  # a hundred documents at a time
+        some = order[a:b]
+        some = some[fitted[some]]
+        n = x.n_grams[word[some]]
+        each = np.repeat(x.gram_first[word[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        once = np.unique(gram[each] * len(y) + np.repeat(of[some], n))
+        np.add.at(pos, once[y[once % len(y)] == 1] // len(y), 1)
+        np.add.at(neg, once[y[once % len(y)] == 0] // len(y), 1)
+    gram_odds, gram_met = odds(pos, neg), pos + neg > 1
     odds3 = np.stack([np.stack((o, x.strongest(g[gram])), 1) for o, g in zip(word_odds, gram_odds, strict=True)])
     full = odds3[2]
     start, length, text = windows(x.of)
