@@ -14,10 +14,9 @@ Sets are named by 64-bit hashes of shingles, sorted.
    least the number of bits that differ, which bounds the overlap from above. Only sets
    of candidates that may link by this bound are read, for the exact intersection of
    sorted arrays.
-4. In each group all are first compared with one pivot, which joins most; then, in small
-   groups that are still of several components, those of different components with each
-   other. What is left of large groups is sorted by size and cut into blocks; each pair
-   of blocks whose sizes may link is a tile, compared as such.
+4. Small groups are compared pair by pair. In large ones all are first compared with one
+   row, which joins most; what is then still of several components is sorted by size and
+   cut into blocks; each pair of blocks whose sizes may link is a tile, compared as such.
    Groups about a shingle that is in many sets are first divided: by pigeonhole, two
    linked sets agree in all shingles of some of their hashed buckets, as there are more
    buckets than shingles by which linked sets of that size band can differ; documents
@@ -292,28 +291,23 @@ class _Join:
         mixed = lab.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid", "lo")
         return self.scratch.save(lab.join(mixed, "gid").select("gid", "row", "label", "lo"), name)
 
-    def resolve(self, groups: DataFrame, name: str, stars: int, small: bool) -> None:
-        """Finds all links inside of groups that matter for the components.
-
-        First stars, later ones among those outside of the group's first component, then
-        what is left between components: of small groups by group, else by tiles."""
+    def resolve(self, groups: DataFrame, name: str, small: bool) -> None:
+        """Finds the links inside of groups: of small ones by all pairs whose sizes may link; else first by a star
+        about one row of each group, then by tiles of what is still in several components."""
+        if small:
+            n = self.light.select("row", "n")
+            x, y = (groups.join(n, "row").select("gid", F.col("row").alias(v), F.col("n").alias(m)) for v, m in (("x", "a"), ("y", "b")))
+            sizes = 100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")
+            self.verify(x.join(y, "gid").where((F.col("x") < F.col("y")) & sizes).select("x", "y"))
+            return
         left = self.open(groups, f"{name}-open")
-        for k in range(stars):
-            outside = left if not k else left.where("label <> lo")
-            pivot = outside.groupBy("gid").agg(F.min_by("row", F.xxhash64("row", F.lit(k))).alias("y"))
-            self.verify(outside.join(pivot, "gid").where("row <> y").select(F.col("row").alias("x"), "y"))
-            now = self.open(left.select("gid", "row"), f"{name}-open{k}")
-            self.scratch.drop(f"{name}-open" if not k else f"{name}-open{k - 1}")
-            left = now
-            if left.isEmpty():
-                return
-        if not small:
-            self.tiles(left.select("row", "label").distinct())
+        if left.isEmpty():
             return
-        n = self.light.select("row", "n")
-        x, y = (left.join(n, "row").select("gid", F.col("row").alias(v), F.col("label").alias(f"l{v}"), F.col("n").alias(m)) for v, m in (("x", "a"), ("y", "b")))
-        sizes = 100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")
-        self.verify(x.join(y, "gid").where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & sizes).select("x", "y"))
+        pivot = left.groupBy("gid").agg(F.min("row").alias("y"))
+        self.verify(left.join(pivot, "gid").where("row <> y").select(F.col("row").alias("x"), "y"))
+        left = self.open(left.select("gid", "row"), f"{name}-left")
+        if not left.isEmpty():
+            self.tiles(left.select("row", "label").distinct())
 
     def tiles(self, rows: DataFrame) -> None:
         """Adds links between rows of different labels (row, label), enough to join all that are linked."""
@@ -435,7 +429,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     light = scratch.save(light.join(cold.select("row").unionByName(warm).distinct(), "row"), "light")
     scratch.drop("sets")
     join = _Join(scratch, light, read, percent)
-    join.resolve(cold, "cold", 2, True)
+    join.resolve(cold, "cold", True)
     if not warm.isEmpty():
         join.fetch(warm)
         top = light.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
@@ -446,7 +440,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         parts = scratch.save(parts, "buckets")
         parts = scratch.save(parts.join(shared(parts).select("gid"), "gid"), "shared-buckets")
         scratch.drop("buckets")
-        join.resolve(parts, "warm", 3, False)
+        join.resolve(parts, "warm", False)
     labels = join.labels
     named = members.join(labels, members.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep"))
     named = scratch.save(named.select("doc_id", "n", "label"), "named")
