@@ -9,7 +9,9 @@ with a window is at most that of documents with its anchor, which a count-min sk
 estimates from above. Each partition makes its own sketch; they are merged cell by cell,
 and of the sum only whether it reaches two is kept: one bit a cell. Second pass: windows
 whose anchor is estimated in two documents or more are grouped exactly, by 128 bits of
-their words, and no other; none that repeats is lost.
+their words, and no other; none that repeats is lost. Of marked documents with the same
+words from end to end, by their digest, one goes on to be grouped, as the windows of the
+others are its own.
 
 The sketch has CELLS cells for each anchor. It is broadcast up to MOST_BITS; a larger one
 is made and asked in parts, by ranges of the anchors' hashes, over the stored anchors.
@@ -268,7 +270,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     for s in sketches:
         s.destroy()
 
-    some = marked.where("size(runs) > 0").select("doc_id", "row", "text", "runs")
+    # rows of the same words as one of a smaller id are removed as a whole: each of their windows starts there too
+    light = marked.where((F.size("runs") > 0) & (F.col("n_words") >= window)).select("row", "doc_id", "sha")
+    same = light.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    copies = scratch.save(light.join(same, "sha").where("doc_id is null or first < doc_id").select("row"), "copies")
+
+    some = marked.where("size(runs) > 0").join(copies, "row", "left_anti").select("doc_id", "row", "text", "runs")
     rows = some.mapInArrow(_windows(window), f"a long, b long, doc_id {id_type}, row long, at int")
     first = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
     hit = rows.join(first, ["a", "b"]).where("first is not null and (doc_id is null or first < doc_id)")
@@ -276,7 +283,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     cut = some.select("row", "text").join(places, "row").select("row", "text", "at")
     cut = scratch.save(cut.mapInArrow(_cut(window), "row long, n_removed long, kept_sha256 string, kept_text string").select("row", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])), "cut")
     whole = marked.select("row", "doc_id", "n_words", "sha", *(["text"] if with_text else []))
-    out = whole.join(cut, "row", "left")
+    nothing = hashlib.sha256(b"").hexdigest()
+    gone = marked.select("row", F.col("n_words").alias("n_removed")).join(copies, "row", "left_semi").withColumn("kept_sha256", F.lit(nothing))
+    if with_text:
+        gone = gone.withColumn("kept_text", F.lit(""))
+    out = whole.join(cut.unionByName(gone), "row", "left")
     result = [F.col("doc_id"), F.col("n_words"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
     if with_text:
         joined = F.trim(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", " "))
