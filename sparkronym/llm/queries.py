@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, mixing, sharding, substrings, toxicity, warc
+from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, lines, mixing, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_embedding_dedup": embeddings.op3_embedding_dedup,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_sharding": sharding.op8_sharding,

@@ -382,3 +382,17 @@ def test_archive(spark, monkeypatch):
     e = warc.Archive(spark, s.path("empty"))
     e.write(spark.createDataFrame([], "page_id long, url string, html string"), s)
     assert e.lookup(d).count() == 0
+
+
+# -- lines -------------------------------------------------------------------------------------------
+
+
+def test_drop_lines(spark):
+    from sparkronym.llm import lines
+
+    t = {1: "Page 1 of the long report\nown words here only", 2: "Page 22 of the long report\nother text", 3: "first\n\nPage 3 of the long report", 4: None, 5: "", 6: "own words here only", 7: "Page 4 of the long paper\nlast"}
+    d = spark.createDataFrame([(i, x, 1) for i, x in t.items()] + [(None, "Page 9 of the long report", 1)], "doc_id long, text string, pos int")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in lines.drop_lines(d).collect()}
+    assert got == {1: (2, 0, t[1]), 2: (2, 1, "other text"), 3: (3, 1, "first\n"), 4: (0, 0, ""), 5: (1, 0, ""), 6: (1, 0, t[6]), 7: (2, 1, "last"), None: (1, 1, "")}
+    assert lines.drop_lines(empty(spark)).count() == 0
+    assert lines.parse(["a b c d x", "a b c d y", "q r s t u"]) == ["a b c d <*>", "a b c d <*>", "q r s t u"]
