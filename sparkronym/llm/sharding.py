@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from sparkronym.llm.common import Scratch, ship
+from sparkronym.llm.common import Scratch, delete, ship
 
 LAWS = ("bytes", "rows", "key")
 
@@ -182,16 +182,27 @@ def reshard(
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit(law).alias("law"), "old_shard", "shard", (F.col("before") + F.col("_r")).alias("slot"), "grown_shard")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, root: str, id_col: str = "doc_id") -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Writes rows into root/shard=N, only for shards that rows enter or leave; returns those shards.
 
-    Other folders of root stay as they are. docs' ids must be unique. Rows go to their
-    shard's file in the order of their slots."""
+    Folders of shards that all rows leave are deleted, after the others are written; other
+    folders of root stay as they are. placed is reshard's result for these docs: null ids
+    are ids like others there, and of repeated ids each row has its slot here too. Rows go
+    to their shard's file in the order of their slots."""
     moved = placed.where("old_shard <> shard")
     hit = sorted({r[0] for r in moved.select("old_shard").distinct().collect()} | {r[0] for r in moved.select("shard").distinct().collect()})
-    rows = docs.join(placed.where(F.col("shard").isin(hit)).select(F.col(id_col).alias("_id"), "shard", "slot"), F.col(id_col) == F.col("_id")).drop("_id")
+    filled = {r[0] for r in placed.select("shard").distinct().collect()}
+    # rows of one id and text are numbered on both sides, so that each meets one slot
+    left = docs.withColumn("_crc", F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
+    left = left.withColumn("_k", F.row_number().over(W.partitionBy(id_col, "_crc").orderBy(text_col)))
+    right = placed.select(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc2"), "shard", "slot")
+    right = right.withColumn("_k2", F.row_number().over(W.partitionBy("_id", "_crc2").orderBy("shard", "slot"))).where(F.col("shard").isin(hit))
+    rows = left.join(right, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_crc2")) & (F.col("_k") == F.col("_k2"))).drop("_id", "_crc", "_crc2", "_k", "_k2")
     rows = rows.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(root)
+    for shard in hit:
+        if shard not in filled:
+            delete(docs.sparkSession, f"{root}/shard={shard}")
     return hit
 
 

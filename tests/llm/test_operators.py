@@ -325,6 +325,19 @@ def test_rewrite(spark, tmp_path):
     assert back.count() == 40 and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
 
 
+def test_rewrite_shrinks_and_keeps_null_ids(spark, tmp_path):
+    rows = [(i if i % 5 else None, "x" * (i % 7), i % 4) for i in range(40)] + [(1, "x", 1), (1, None, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    want = sorted((str(i), str(t)) for i, t, _ in rows)
+    root = str(tmp_path / "shards")
+    d.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(root)
+    placed = sharding.reshard(d, 2, "rows", old="old", n_old=4)
+    assert sharding.rewrite(d, placed, root) == [0, 1, 2, 3]
+    back = spark.read.parquet(root)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in back.collect()) == want
+    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 21, 1: 21}
+
+
 # -- mixing ------------------------------------------------------------------------------------------
 
 
