@@ -299,6 +299,12 @@ def j1_candidates(spark, sf):
     return D.candidates(m, dictionary(spark, sf)).groupBy("acronym", "option").agg(F.count("*").alias("n"))
 
 
+@query()
+def j1_candidates_whole(spark, sf):
+    """The same over all mentions; the SQL of j1_candidates reads every fiftieth order only."""
+    return D.candidates(mentions(spark, sf).select("acronym"), dictionary(spark, sf)).groupBy("acronym", "option").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {VARIANTS}, k AS (SELECT DISTINCT acronym FROM var) SELECT k.acronym, v.expansion AS option, count(*) AS n FROM k JOIN var v ON v.acronym = k.acronym OR (v.acronym <> k.acronym AND v.acronym = regexp_replace(k.acronym, 's$', '')) GROUP BY 1, 2")
 def j2_candidates_plural(spark, sf):
     v = variants(spark, sf)
@@ -833,9 +839,9 @@ def e2_most_frequent(spark, sf):
     return E.most_frequent(mentions(spark, sf), dictionary(spark, sf))
 
 
-def context_of(spark, sf):
-    """Ambiguous mentions of every fortieth order, and vectors of mentions and of parts by their attributes."""
-    m = mentions(spark, sf).where(F.col("order") % 40 == 1)
+def context_of(spark, sf, only="true"):
+    """Ambiguous mentions, and vectors of mentions and of parts by their attributes."""
+    m = mentions(spark, sf).where(only)
     d = dictionary(spark, sf)
     rivals = D.gate(m, d).where("n_options > 1").select("article_id", "acronym")
     vec = lambda df: df.select("article_id", F.explode(F.split("raw_text", " ")).alias("term")).distinct().withColumn("weight", F.lit(1.0))
@@ -849,6 +855,12 @@ COS = f"WITH {DICT}, {MENTIONS}, {OPTS}, tvs AS (SELECT article_id, list(DISTINC
 
 @query(f"{COS} SELECT article_id, acronym, expansion, round(c, 8) AS confidence FROM s")
 def e3_cosine(spark, sf):
+    """Mentions of every fortieth order, as in the SQL; e3_cosine_whole has all."""
+    return E.cosine_scores(*context_of(spark, sf, "order % 40 = 1")).withColumn("confidence", F.round("confidence", 8))
+
+
+@query()
+def e3_cosine_whole(spark, sf):
     return E.cosine_scores(*context_of(spark, sf)).withColumn("confidence", F.round("confidence", 8))
 
 
@@ -932,7 +944,7 @@ def _corpus(spark, sf):
 @query()
 def m1_expand(spark, sf):
     """Line items' texts that mention an acronym, expanded by what part texts say."""
-    m = mentions(spark, sf).where(F.col("order") % 40 == 1)
+    m = mentions(spark, sf)
     a = m.select("article_id", F.concat(F.lit("Item "), "acronym", F.lit(" "), "raw_text").alias("raw_text"))
     return P.expand(a, _corpus(spark, sf))
 
@@ -975,7 +987,7 @@ def m8_out_expansion_benchmark(spark, sf):
 
 @query()
 def m9_end_to_end_benchmark(spark, sf):
-    m = mentions(spark, sf).where(F.col("order") % 40 == 1)
+    m = mentions(spark, sf)
     a = m.select("article_id", F.concat(F.lit("Item "), "acronym", F.lit(" "), "raw_text").alias("raw_text"))
     return P.end_to_end_benchmark(a, m.select("article_id", "acronym", "expansion"), _corpus(spark, sf), P.RunConfig(expander="most_frequent"))
 
