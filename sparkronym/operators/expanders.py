@@ -68,6 +68,41 @@ def dense_cosine_scores(mentions: DataFrame, dictionary: DataFrame, test_vectors
     return sims.groupBy(*KEYS, "expansion").agg(F.greatest(F.lit(0.0), F.max("cos")).alias("confidence"))
 
 
+def dense_cosine_others(rows: DataFrame, block_rows: int = 4096) -> DataFrame:
+    """For each row of (article_id, acronym, expansion, vector) and option of its acronym the largest cosine with
+    another row of that option, at least 0. article_id is unique in an acronym.
+
+    Each pair of blocks of rows is one product of matrices."""
+    ship(rows.sparkSession)
+    top = rows.groupBy("acronym").count().agg(F.max("count")).first()[0] or 1
+    n = -(-top // block_rows)
+    b = rows.select(*KEYS, "expansion", "vector", F.pmod(F.xxhash64("article_id"), F.lit(n)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = b.select("acronym", "article_id", "vector", F.col("own").alias("i"), every.alias("j"))
+    right = b.select("acronym", "article_id", "expansion", "vector", F.col("own").alias("j"), every.alias("i"))
+
+    def unit(v):
+        x = np.array(v.tolist(), dtype=float)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def one(key, a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(t):
+            return pd.DataFrame(columns=["article_id", "acronym", "expansion", "confidence"])
+        t = t.sort_values("expansion", ignore_index=True)
+        cos = unit(a["vector"]) @ unit(t["vector"]).T
+        at = pd.Series(t.index, index=t["article_id"]).reindex(a["article_id"]).to_numpy()
+        same = ~np.isnan(at)
+        cos[np.flatnonzero(same), at[same].astype(int)] = 0.0
+        first = np.flatnonzero(~t["expansion"].duplicated())
+        best = np.maximum(0.0, np.maximum.reduceat(cos, first, axis=1))
+        labels = t["expansion"].to_numpy()[first]
+        return pd.DataFrame({"article_id": np.repeat(a["article_id"].to_numpy(), len(labels)), "acronym": key[0], "expansion": np.tile(labels, len(a)), "confidence": best.ravel()})
+
+    keys = ["acronym", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, SCORES).groupBy(*KEYS, "expansion").agg(F.max("confidence").alias("confidence"))
+
+
 def term_cosine_scores(mentions: DataFrame, terms: DataFrame, test_vectors: DataFrame) -> DataFrame:
     """Cosine of the article with each option's own vector: terms (acronym, expansion, vector)."""
     m = mentions.select(*KEYS).distinct().join(test_vectors, "article_id")

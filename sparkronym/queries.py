@@ -873,6 +873,13 @@ def e4_e5_dense_cosine(spark, sf):
     return s.withColumn("confidence", F.round("confidence", 8))
 
 
+@query()
+def e4_e5_dense_cosine_whole(spark, sf):
+    """Every vector against all others; the SQL of e4_e5_dense_cosine has one tenth of either side."""
+    v = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("article_id"), F.lit("L").alias("acronym"), F.col("label").cast("string").alias("expansion"), F.col("embedding").cast("array<double>").alias("vector"))
+    return E.dense_cosine_others(v).withColumn("confidence", F.round("confidence", 8))
+
+
 def _fitted(fn, **args):
     def run(spark, sf):
         return fn(*context_of(spark, sf), **args)

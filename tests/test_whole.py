@@ -1,11 +1,13 @@
 """Queries that read whole tables, held against brute force on small ones."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 
 from sparkronym import queries as own
+from sparkronym.operators import expanders as E
 
 PARTS = [(1, "red sky", "T1 A", "B1"), (2, "raw salt", "T2 A", "B1"), (3, "rose stem", "T1 C", "B2"), (4, "big cat", "T1 A", "B2"), (5, "blue car", "T2 C", "B1"), (6, "old dog", "T1 A", "B1")]
 ITEMS = [(k, 1, k % 6 + 1, "NR"[k % 2], "OF"[k % 3 % 2]) for k in range(1, 91)]
@@ -50,3 +52,19 @@ def test_candidates_of_all(spark, tables):
 def test_every_item_is_expanded(spark, tables):
     assert {r["article_id"] for r in own.QUERIES["m1_expand"](spark, tables).collect()} == {f"{k}-1" for k, *_ in ITEMS}
     assert [r["gold_pairs"] for r in own.QUERIES["m9_end_to_end_benchmark"](spark, tables).collect() if r["module"] is None] == [len(ITEMS)]
+
+
+@pytest.mark.parametrize("block_rows", [7, 4096])
+def test_dense_cosine_of_all_others(spark, tmp_path, block_rows):
+    r = random.Random(1)
+    rows = [(i, i % 3, [r.gauss(0, 1) for _ in range(4)]) for i in range(30)] + [(30, 3, [1.0, 0.0, 0.0, 0.0]), (31, 0, [0.0] * 4)]
+    d = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    d.write.parquet(f"{tmp_path}/embeddings.parquet")
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / (math.hypot(*x) * math.hypot(*y) or 1)
+    want = {(str(i), str(k)): max([0.0] + [cos(x, y) for j, m, y in rows if m == k and j != i]) for i, _, x in rows for k in range(4)}
+    if block_rows == 4096:
+        got = own.QUERIES["e4_e5_dense_cosine_whole"](spark, str(tmp_path))
+    else:
+        got = E.dense_cosine_others(d.selectExpr("cast(vec_id as string) article_id", "'L' acronym", "cast(label as string) expansion", "embedding vector"), block_rows)
+    got = {(x["article_id"], x["expansion"]): x["confidence"] for x in got.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
