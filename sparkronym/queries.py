@@ -711,6 +711,12 @@ def f22_f24_spaces(spark, sf):
     return t(spark, sf, "documents").where("not contains(text, '\"')").select("doc_id", X.plain_space("text").alias("text"), X.no_controls("text").alias("plain"))
 
 
+@query()
+def f22_f24_spaces_whole(spark, sf):
+    """The same over all documents; the SQL of f22_f24_spaces leaves out those with a double quote."""
+    return t(spark, sf, "documents").select("doc_id", X.plain_space("text").alias("text"), X.no_controls("text").alias("plain"))
+
+
 @query()
 def f23_found_nearly(spark, sf):
     from sparkronym.sources.readers import found_nearly
@@ -773,11 +779,22 @@ def spanish(spark, sf):
     return t(spark, sf, "documents").where("lang = 'es'").select(F.col("doc_id").cast("string").alias("article_id"), "text", F.split("text", " ").alias("tokens"))
 
 
+def all_tokens(spark, sf):
+    """All documents; a null text has no tokens."""
+    return t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text", F.coalesce(F.split("text", " "), F.array().cast("array<string>")).alias("tokens"))
+
+
 @query(f"WITH {TF} SELECT article_id, term, tf / (SELECT max(tf) FROM tf) AS weight FROM tf")
 def r1_context_vectors(spark, sf):
+    """Documents in Spanish, as in the SQL; r1_context_vectors_whole and r2_tfidf_whole have all."""
     return R.context_vectors(spanish(spark, sf).withColumnRenamed("text", "raw_text"), tokenise=lambda c: F.split(c, " "))
 
 
+@query()
+def r1_context_vectors_whole(spark, sf):
+    return R.context_vectors(all_tokens(spark, sf).withColumnRenamed("text", "raw_text"), tokenise=lambda c: F.split(c, " "))
+
+
 IDF = TF + ", df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), i AS (SELECT term, ln((1 + (SELECT count(DISTINCT article_id) FROM w)) / (1 + df)) + 1 AS idf FROM df), x AS (SELECT article_id, term, tf * idf AS w FROM tf JOIN i USING (term))"
 
 
@@ -786,25 +803,30 @@ def r2_tfidf(spark, sf):
     return R.tfidf(spanish(spark, sf)).withColumn("weight", F.round("weight", 8))
 
 
+@query()
+def r2_tfidf_whole(spark, sf):
+    return R.tfidf(all_tokens(spark, sf)).withColumn("weight", F.round("weight", 8))
+
+
 @query()
 def r2_tfidf_bigrams(spark, sf):
-    return R.tfidf(spanish(spark, sf), max_features=1000, ngram=(1, 2), stop_words=["de", "la"])
+    return R.tfidf(all_tokens(spark, sf), max_features=1000, ngram=(1, 2), stop_words=["de", "la"])
 
 
 @query()
 def r3_lda(spark, sf):
-    return R.lda(spanish(spark, sf), topics=5, vocab=2000)[1].select("article_id", F.size("vector").alias("n"))
+    return R.lda(all_tokens(spark, sf), topics=5, vocab=2000)[1].select("article_id", F.size("vector").alias("n"))
 
 
 @query()
 def r4_document_means(spark, sf):
-    d = spanish(spark, sf)
+    d = all_tokens(spark, sf)
     return R.document_means(d, R.word_vectors(d, size=16)[1]).select("article_id", F.size("vector").alias("n"))
 
 
 @query()
 def r5_r8_window_vectors(spark, sf):
-    d = spanish(spark, sf).withColumn("concept", F.lit("de"))
+    d = all_tokens(spark, sf).withColumn("concept", F.lit("de"))
     return R.window_vectors(d, "concept", R.word_vectors(d, size=8)[1]).select("article_id", "concept", F.size("vector").alias("n"))
 
 

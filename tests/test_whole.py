@@ -68,3 +68,34 @@ def test_dense_cosine_of_all_others(spark, tmp_path, block_rows):
         got = E.dense_cosine_others(d.selectExpr("cast(vec_id as string) article_id", "'L' acronym", "cast(label as string) expansion", "embedding vector"), block_rows)
     got = {(x["article_id"], x["expansion"]): x["confidence"] for x in got.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+
+
+TEXTS = [(1, "de la casa de", "es"), (2, 'the "house" de', "en"), (3, None, "en"), (4, "das Haus\tde", None)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    sf = str(tmp_path_factory.mktemp("texts"))
+    spark.createDataFrame(TEXTS, "doc_id long, text string, lang string").write.parquet(f"{sf}/documents.parquet")
+    return sf
+
+
+@pytest.mark.parametrize("name", ["r2_tfidf_bigrams", "r3_lda", "r4_document_means", "r5_r8_window_vectors"])
+def test_documents_of_all_languages(spark, texts, name):
+    ids = {r["article_id"] for r in own.QUERIES[name](spark, texts).select("article_id").collect()}
+    assert ids - {"3"} == ({"1", "2"} if name[:2] == "r5" else {"1", "2", "4"})
+
+
+def test_weights_of_all_languages(spark, texts):
+    tf = {(str(k), w): n for k, x, _ in TEXTS if x for w, n in Counter(x.split(" ")).items()}
+    df = Counter(w for _, w in tf)
+    raw = {(k, w): n * (math.log(5 / (1 + df[w])) + 1) for (k, w), n in tf.items()}
+    norm = {k: math.hypot(*(x for (i, _), x in raw.items() if i == k)) for k, _ in raw}
+    for name, want in (("r1_context_vectors_whole", {k: n / 2 for k, n in tf.items()}), ("r2_tfidf_whole", {k: x / norm[k[0]] for k, x in raw.items()})):
+        got = {(r["article_id"], r["term"]): r["weight"] for r in own.QUERIES[name](spark, texts).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+
+
+def test_spaces_of_all_documents(spark, texts):
+    got = {r["doc_id"]: (r["text"], r["plain"]) for r in own.QUERIES["f22_f24_spaces_whole"](spark, texts).collect()}
+    assert got == {k: (x and x.replace("\t", " ").replace('"', "'"), x and x.replace("\t", "")) for k, x, _ in TEXTS}
