@@ -815,19 +815,19 @@ def r2_tfidf_bigrams(spark, sf):
 
 @query()
 def r3_lda(spark, sf):
-    return R.lda(all_tokens(spark, sf), topics=5, vocab=2000)[1].select("article_id", F.size("vector").alias("n"))
+    return R.lda(all_tokens(spark, sf))[1].select("article_id", F.size("vector").alias("n"))
 
 
 @query()
 def r4_document_means(spark, sf):
     d = all_tokens(spark, sf)
-    return R.document_means(d, R.word_vectors(d, size=16)[1]).select("article_id", F.size("vector").alias("n"))
+    return R.document_means(d, R.word_vectors(d)[1]).select("article_id", F.size("vector").alias("n"))
 
 
 @query()
 def r5_r8_window_vectors(spark, sf):
     d = all_tokens(spark, sf).withColumn("concept", F.lit("de"))
-    return R.window_vectors(d, "concept", R.word_vectors(d, size=8)[1]).select("article_id", "concept", F.size("vector").alias("n"))
+    return R.window_vectors(d, "concept", R.word_vectors(d)[1]).select("article_id", "concept", F.size("vector").alias("n"))
 
 
 @query()
@@ -913,7 +913,7 @@ QUERIES["e6_logistic"] = _fitted(E.logistic)
 QUERIES["e6_logistic_l1"] = _fitted(E.logistic, penalty="l1", c=1.0)
 QUERIES["e7_svm"] = _fitted(E.svm)
 QUERIES["e7_svm_balanced"] = _fitted(E.svm, balanced=True, penalty="l1")
-QUERIES["e8_random_forest"] = _fitted(E.random_forest, trees=5)
+QUERIES["e8_random_forest"] = _fitted(E.random_forest)
 
 
 @query()
@@ -927,7 +927,7 @@ def e9_vote(spark, sf):
 @query()
 def e14_trained_vote(spark, sf):
     gold = dictionary(spark, sf).select("article_id", "acronym", "expansion")
-    return E.choose(E.trained_vote(scored(spark, sf), gold, rounds=5)[1])
+    return E.choose(E.trained_vote(scored(spark, sf), gold)[1])
 
 
 @query(f"WITH {DICT}, {OPTS}, {FREQ}, o AS (SELECT acronym, unnest(options) AS expansion FROM opts) SELECT d.article_id, d.acronym, o.expansion, CASE WHEN o.expansion = f.expansion THEN f.share ELSE 0 END AS confidence FROM dict d JOIN o USING (acronym) JOIN freq f ON f.acronym = d.acronym AND f.r = 1")
@@ -1010,8 +1010,8 @@ def m7_in_expansion_benchmark(spark, sf):
 @query()
 def m8_out_expansion_benchmark(spark, sf):
     d = dictionary(spark, sf)
-    folds = Sp.folds(d, 3)
-    return P.out_expansion_benchmark(d, d, folds, lambda m, train: E.most_frequent(m, train), 3)
+    folds = Sp.folds(d)
+    return P.out_expansion_benchmark(d, d, folds, lambda m, train: E.most_frequent(m, train), 5)
 
 
 @query()
@@ -1024,12 +1024,12 @@ def m9_end_to_end_benchmark(spark, sf):
 @query()
 def m10_randomisation_test(spark, sf):
     l = t(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.col("quality").alias("a"), F.col("toxic").alias("b"))  # noqa: E741
-    return M.randomisation_test(l, 200)
+    return M.randomisation_test(l)
 
 
 @query()
 def m11_t7_bootstrap(spark, sf):
-    return M.bootstrap(t(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("value")), 200)
+    return M.bootstrap(t(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("value")))
 
 
 @query()

@@ -8,6 +8,7 @@ import pytest
 
 from sparkronym import queries as own
 from sparkronym.operators import expanders as E
+from sparkronym.operators import metrics as M
 
 PARTS = [(1, "red sky", "T1 A", "B1"), (2, "raw salt", "T2 A", "B1"), (3, "rose stem", "T1 C", "B2"), (4, "big cat", "T1 A", "B2"), (5, "blue car", "T2 C", "B1"), (6, "old dog", "T1 A", "B1")]
 ITEMS = [(k, 1, k % 6 + 1, "NR"[k % 2], "OF"[k % 3 % 2]) for k in range(1, 91)]
@@ -99,3 +100,23 @@ def test_weights_of_all_languages(spark, texts):
 def test_spaces_of_all_documents(spark, texts):
     got = {r["doc_id"]: (r["text"], r["plain"]) for r in own.QUERIES["f22_f24_spaces_whole"](spark, texts).collect()}
     assert got == {k: (x and x.replace("\t", " ").replace('"', "'"), x and x.replace("\t", "")) for k, x, _ in TEXTS}
+
+
+def test_sizes_of_vectors_are_the_defaults(spark, texts):
+    for name, n in (("r3_lda", 100), ("r4_document_means", 200), ("r5_r8_window_vectors", 200)):
+        assert {r["n"] for r in own.QUERIES[name](spark, texts).collect()} - {-1} == {n}
+
+
+def test_rounds_are_the_defaults(spark, tables, tmp_path, monkeypatch):
+    l = [(i, i * 7 % 5 % 2, i % 2) for i in range(40)]  # noqa: E741
+    spark.createDataFrame(l, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = spark.createDataFrame([(i, a, b, float(a)) for i, a, b in l], "item long, a int, b int, value double")
+    assert own.QUERIES["m10_randomisation_test"](spark, str(tmp_path)).collect() == M.randomisation_test(d.select("item", "a", "b"), 1000).collect()
+    assert own.QUERIES["m11_t7_bootstrap"](spark, str(tmp_path)).collect() == M.bootstrap(d.select("item", "value"), 10_000).collect()
+    assert {r["fold"] for r in own.QUERIES["m8_out_expansion_benchmark"](spark, tables).collect()} == set(range(5))
+    shares = {round(r["confidence"] * 100, 6) for r in own.QUERIES["e8_random_forest"](spark, tables).collect()}
+    assert all(x == int(x) for x in shares) and any(x % 20 for x in shares)
+    monkeypatch.setattr(own, "scored", lambda *_: None)
+    monkeypatch.setattr(E, "trained_vote", lambda scores, gold, rounds=100: (None, rounds))
+    monkeypatch.setattr(E, "choose", lambda x: x)
+    assert own.QUERIES["e14_trained_vote"](spark, tables) == 100
