@@ -902,6 +902,14 @@ def e4_e5_dense_cosine_whole(spark, sf):
     return E.dense_cosine_others(v).withColumn("confidence", F.round("confidence", 8))
 
 
+@query()
+def e4_term_cosine(spark, sf):
+    """Every vector against each label's sum of vectors."""
+    v = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("article_id"), F.lit("L").alias("acronym"), F.col("label").cast("string").alias("expansion"), F.col("embedding").cast("array<double>").alias("vector"))
+    terms = R.term_vectors(v.select("article_id", "vector"), v.select("article_id", "acronym", "expansion"))
+    return E.term_cosine_scores(v.select("article_id", "acronym"), terms, v.select("article_id", "vector")).withColumn("confidence", F.round("confidence", 8))
+
+
 def _fitted(fn, **args):
     def run(spark, sf):
         return fn(*context_of(spark, sf), **args)

@@ -120,3 +120,15 @@ def test_rounds_are_the_defaults(spark, tables, tmp_path, monkeypatch):
     monkeypatch.setattr(E, "trained_vote", lambda scores, gold, rounds=100: (None, rounds))
     monkeypatch.setattr(E, "choose", lambda x: x)
     assert own.QUERIES["e14_trained_vote"](spark, tables) == 100
+
+
+def test_term_cosine_of_all(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, i % 3, [r.gauss(0, 1) for _ in range(4)]) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    terms = {k: [sum(x) for x in zip(*(v for _, m, v in rows if m == k), strict=True)] for k in range(3)}
+    got = {(x["article_id"], x["expansion"]): x["confidence"] for x in own.QUERIES["e4_term_cosine"](spark, str(tmp_path)).collect()}
+    assert len(got) == 60
+    for i, _, v in rows:
+        for k, w in terms.items():
+            assert abs(got[str(i), str(k)] - max(0.0, sum(a * b for a, b in zip(v, w, strict=True)) / (math.hypot(*v) * math.hypot(*w)))) < 1e-7
