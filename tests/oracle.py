@@ -19,7 +19,7 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, list | tuple):
         return "[" + ",".join(map(plain, v)) + "]"
-    if v is None or v is pd.NaT or v != v:
+    if v is None or v is pd.NaT or v is pd.NA or v != v:
         return "~"
     if isinstance(v, float):
         return f"{v:.8g}"
