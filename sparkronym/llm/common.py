@@ -4,6 +4,7 @@ folder, and words."""
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="sparkronym-")
     return _own
@@ -45,6 +49,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -52,11 +57,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, self.path(name))
+            self.names = [x for x in self.names if x != name]
 
     def close(self) -> None:
         try:
@@ -65,6 +72,17 @@ class Scratch:
             pass
 
 
+def names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of an operator's own that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

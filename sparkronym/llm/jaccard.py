@@ -4,23 +4,24 @@ Two documents link when 100 * |A and B| >= percent * |A or B| of their sets of s
 Sets are named by 64-bit hashes of shingles, sorted.
 
 1. Equal sets are folded: one representative each, with its members.
-2. Candidates. Of a set of n shingles, any linked set shares at least ceil(percent * n /
-   100), so that in any common order of all shingles the two share one among their first
-   n - that + 1. The order here: shingles that are in many sets come last, the others by
-   their hashes; which are in many is counted over all sets. Sets that share such a
-   shingle are a group.
-3. Bounds. Candidates must be of one band of sizes. Each set has a
-   bitmap of its shingles' hashes, of about as many bits as shingles; |A xor B| is at
-   least the number of bits that differ, which bounds the overlap from above. Only sets
-   of candidates that may link by this bound are read, for the exact intersection of
-   sorted arrays.
-4. Small groups are compared pair by pair. In large ones all are first compared with one
-   row, which joins most; what is then still of several components is sorted by size and
-   cut into blocks; each pair of blocks whose sizes may link is a tile, compared as such.
-   Groups about a shingle that is in many sets are first divided: by pigeonhole, two
-   linked sets agree in all shingles of some of their hashed buckets, as there are more
-   buckets than shingles by which linked sets of that size band can differ; documents
-   that have such a bucket in common are a group, and a shared passage makes none.
+2. Which sets a tile need compare. Of a set of n shingles, any linked set shares at least
+   ceil(percent * n / 100), so that in any common order of all shingles the two share one
+   among their first n - that + 1. The order here: shingles that are in many sets come
+   last, the others by their hashes; which are in many is counted over all sets. Sets that
+   share such a shingle are a group. Sets that need a shingle of many sets for this are
+   grouped by hashed buckets instead: by pigeonhole, two linked sets agree in all shingles
+   of some bucket, as there are more buckets than shingles by which linked sets of that
+   band of sizes can differ; documents that have such a bucket in common are a group, and
+   a shared passage makes none.
+3. Tiles. Sets are sorted by size and cut into blocks of bounded bytes; two blocks whose
+   sizes may link are a tile, and all comparisons are made in tiles, whatever group they
+   are of: a tile gets each set it needs once. First it gets bitmaps of hashed shingles,
+   of about as many bits as shingles; |A xor B| is at least the number of bits that
+   differ, which bounds the overlap from above. Of what passes it gets the sets, for the
+   exact intersection of sorted arrays.
+4. Each group is first compared with its first row, which joins most. Groups that are then
+   still of several components are compared in full, in tiles again: small groups by
+   their pairs, of large ones all rows whose components differ.
 """
 
 from __future__ import annotations
@@ -33,15 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkronym.llm import words as w
-from sparkronym.llm.common import Scratch, ship
+from sparkronym.llm.common import Scratch, names, ship
 from sparkronym.llm.graph import components
+from sparkronym.llm.sieve import Sieve
 
-#: Bits of the bitmap of a small set, and cells by which texts are sifted before a join (8 MB).
-LEAST_BITS, CELLS = 512, 1 << 20
+#: Bits of the bitmap of a small set.
+LEAST_BITS = 512
 #: Bytes of the sets of a block of a tile; each counts as 2 KB at least.
-TILE_BYTES = 1 << 21
+TILE_BYTES = 1 << 22
 #: A shingle that is among the first ones of more sets than this comes last in the order ...
-MANY = 8
+MANY = 16
 #: ... of which the driver and each worker hold so many at most, the most frequent.
 MOST_HOT = 1 << 20
 U = np.uint64
@@ -73,25 +75,38 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _sets(k: int, percent: int, with_all: bool):
-    """Per row: size, 128 bits of the set, and its first shingles by hash (or all of them)."""
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits of each set."""
+    return [pa.array(np.array([np.add.reduce(w.mix(x)) for x in some], U).view(np.int64)) for some in ([s + U(11) for s in sets], [s ^ U(0x5851F42D4C957F2D) for s in sets])]
+
+
+def _sets(k: int, percent: int):
+    """Per row: size, 128 bits of the set, its first shingles by hash, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in w.slices(batch, "text"):
-                sets = shingle_sets(part.column(part.schema.get_field_index("text")), k)
-                a = np.array([np.add.reduce(w.mix(s + U(11))) for s in sets], U).view(np.int64)
-                b = np.array([np.add.reduce(w.mix(s ^ U(0x5851F42D4C957F2D))) for s in sets], U).view(np.int64)
-                first = [s if with_all else s[: max(64, 2 * prefix(len(s), percent) + 10)] for s in sets]
+                sets = shingle_sets(part.column(1), k)
+                first = [s[: max(64, 2 * prefix(len(s), percent) + 10)].tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(a), pa.array(b), pa.array([s.tobytes() for s in first], pa.binary()),
-                        pa.array([None if with_all else bitmap(s) for s in sets], pa.binary()),
-                    ],
+                    [part.column(0), pa.array(list(map(len, sets)), pa.int64()), *_digests(sets), pa.array(first, pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary())],
                     names=["doc_id", "n", "s1", "s2", "first", "bitmap"],
                 )
 
-    return run
+    return w.tidy(run)
+
+
+def _whole(k: int, sieve: Sieve):
+    """The sets of rows whose key (third column) passes the sieve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.take(pa.array(np.flatnonzero(sieve.passes(batch.column(2).to_numpy()))))
+            for part in w.slices(some, "text"):
+                sets = shingle_sets(part.column(1), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_id", "s1", "s2", "shingles"])
+
+    return w.tidy(run)
 
 
 def _count(shards: int):
@@ -115,7 +130,9 @@ def _count(shards: int):
     return run
 
 
-def _hot(most: int, many: int):
+def _hot(many: int):
+    """The shingles of a range that are in more than so many sets, by the logarithm of how many."""
+
     def run(rows):
         import pandas as pd
 
@@ -124,10 +141,8 @@ def _hot(most: int, many: int):
         full[:, :5] = t
         x, at = np.unique(full.view(U).ravel(), return_inverse=True)
         n = np.bincount(at, np.frombuffer(b"".join(rows["counts"]), np.uint8), len(x))
-        hot = np.flatnonzero(n > many)
-        if len(hot) > most:
-            hot = np.sort(hot[np.argsort(-n[hot], kind="stable")[:most]])
-        return pd.DataFrame({"hot": [x[hot].tobytes()]})
+        x, level = x[n > many], np.log2(n[n > many]).astype(np.int64)
+        return pd.DataFrame([(v, int((level == v).sum()), x[level == v].tobytes()) for v in np.unique(level).tolist()], columns=["level", "n", "tokens"])
 
     return run
 
@@ -154,7 +169,7 @@ def _prefixes(percent: int, hot, with_all: bool):
                 hot_out.append((np.zeros(0, np.int64) if lacks or need <= 0 else warm[:need].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cold_out, pa.list_(pa.int64())), pa.array(hot_out, pa.list_(pa.int64())), pa.array(short, pa.bool_())], names=["row", "cold", "hot", "short"])
 
-    return run
+    return w.tidy(run)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -174,33 +189,37 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
-def _maybe(percent: int):
-    """Of candidates with sizes and bitmaps, those that may link by the bound on their overlap."""
+def _may_link(percent: int, a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b whose bitmaps differ in so many bits may link."""
+    bound = np.minimum((a + b - differ) // 2, np.minimum(a, b))
+    return 100 * bound >= percent * (a + b - bound)
+
+
+def _links(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in (2, 3))
-            differ = np.fromiter(map(differing, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, len(batch))
-            bound = np.minimum((a + b - differ) // 2, np.minimum(a, b))
-            at = pa.array(np.flatnonzero(100 * bound >= percent * (a + b - bound)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["x", "y"])
+
+def _bound(percent: int):
+    """Of a tile's candidates, those that may link by the bound on their overlap. sets: row, n, bitmap."""
+
+    def run(pairs, sets):
+        at = {r: k for k, r in enumerate(sets["row"].tolist())}
+        n, maps = sets["n"].to_numpy(), sets["bitmap"].to_numpy()
+        x, y = (np.fromiter((at[r] for r in pairs[c].tolist()), np.int64, len(pairs)) for c in "xy")
+        differ = np.fromiter((differing(maps[i], maps[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(pairs))
+        return pairs[_may_link(percent, n[x], n[y], differ)] if len(pairs) else pairs
 
     return run
 
 
 def _exact(percent: int):
-    """Of candidates with their sets, those that link."""
+    """Of a tile's candidates, those that link. sets: row, shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                a, b = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["x", "y"])
+    def run(pairs, sets):
+        own = {r: np.frombuffer(s, U) for r, s in zip(sets["row"].tolist(), sets["shingles"], strict=True)}
+        keep = [_links(percent, own[x], own[y]) for x, y in zip(pairs["x"].tolist(), pairs["y"].tolist(), strict=True)]
+        return pairs[np.array(keep, bool)][["x", "y"]]
 
     return run
 
@@ -240,14 +259,14 @@ def _bucket_rows(percent: int, begin: list[int]):
             names = [np.concatenate(buckets(np.frombuffer(s, U), percent, begin)) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.int64()))], names=["row", "gids"])
 
-    return run
+    return w.tidy(run)
 
 
 class _Join:
     """The state of one join: what is known of the sets, links found, components so far."""
 
     def __init__(self, scratch: Scratch, light: DataFrame, read, percent: int):
-        """light: row, n, bitmap. read: rows -> row, shingles of these rows' texts."""
+        """light: row, n, bitmap, block. read: rows -> row, shingles of these rows' texts."""
         self.scratch, self.light, self.read, self.percent, self.step, self.fetched = scratch, light, read, percent, 0, 0
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -263,49 +282,48 @@ class _Join:
             new = self.scratch.save(self.read(rows), f"sets{self.fetched}")
             self.sets = new if self.sets is None else self.sets.unionByName(new)
 
+    def found(self, edges: DataFrame) -> None:
+        edges = self.scratch.save(edges, f"links{self.step}")
+        self.edges = edges if self.edges is None else self.edges.unionByName(edges)
+        self.labels = components(self.edges, self.scratch, f"labels{self.step}")
+
+    def tiled(self, pairs: DataFrame, sets: DataFrame, run, schema: str) -> DataFrame:
+        """run over each tile's pairs (i, j, x, y) and the sets (row and more) that these need."""
+        ends = [pairs.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col(c).alias("row")) for c in "xy"]
+        held = ends[0].unionByName(ends[1]).distinct().join(sets, "row")
+        return pairs.groupBy("i", "j").cogroup(held.groupBy("ti", "tj")).applyInPandas(run, schema)
+
     def verify(self, pairs: DataFrame) -> None:
         """Adds the links among candidate pairs (x, y) and renews the components."""
         self.step += 1
-        side = lambda v, n, m: self.light.select(F.col("row").alias(v), F.col("n").alias(n), F.col("bitmap").alias(m))
-        x, y = side("x", "a", "bx"), side("y", "b", "by")
-        # sizes decide first, then bitmaps, then sets
-        sized = pairs.distinct().join(x.select("x", "a"), "x").join(y.select("y", "b"), "y").where(100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")).select("x", "y")
-        tiles = sized.join(x, "x").join(y, "y").select("x", "y", "a", "b", "bx", "by")
-        maybe = self.scratch.save(tiles.mapInArrow(_maybe(self.percent), "x long, y long"), f"maybe{self.step}")
+        x, y = (self.light.select(F.col("row").alias(v), F.col("n").alias(n), F.col("block").alias(b)) for v, n, b in (("x", "a", "p"), ("y", "b", "q")))
+        sized = pairs.distinct().join(x, "x").join(y, "y").where(100 * F.least("a", "b") >= self.percent * F.greatest("a", "b"))
+        dealt = self.scratch.save(sized.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "x", "y"), f"dealt{self.step}")
+        maybe = self.tiled(dealt, self.light.select("row", "n", "bitmap"), _bound(self.percent), "i long, j long, x long, y long")
+        maybe = self.scratch.save(maybe, f"maybe{self.step}")
+        self.scratch.drop(f"dealt{self.step}")
         self.fetch(maybe.select(F.col("x").alias("row")).unionByName(maybe.select(F.col("y").alias("row"))))
-        sx, sy = self.sets.select(F.col("row").alias("x"), F.col("shingles").alias("kx")), self.sets.select(F.col("row").alias("y"), F.col("shingles").alias("ky"))
-        exact = maybe.join(sx, "x").join(sy, "y").select("x", "y", "kx", "ky")
-        found = self.scratch.save(exact.mapInArrow(_exact(self.percent), "x long, y long"), f"links{self.step}")
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.labels = components(self.edges, self.scratch, f"labels{self.step}")
-
-    def labelled(self, groups: DataFrame) -> DataFrame:
-        if self.labels is None:
-            return groups.withColumn("label", F.col("row"))
-        lab = self.labels
-        return groups.join(lab, groups.row == lab.v, "left").select("gid", "row", F.coalesce("label", "row").alias("label"))
+        self.found(self.tiled(maybe, self.sets, _exact(self.percent), "x long, y long"))
+        self.scratch.drop(f"maybe{self.step}")
 
     def open(self, groups: DataFrame, name: str) -> DataFrame:
-        """The members (gid, row, label) of groups that are of several components."""
-        lab = self.labelled(groups)
-        mixed = lab.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid", "lo")
-        return self.scratch.save(lab.join(mixed, "gid").select("gid", "row", "label", "lo"), name)
-
-    def resolve(self, groups: DataFrame, name: str, small: bool) -> None:
-        """Finds the links inside of groups: of small ones by all pairs whose sizes may link; else first by a star
-        about one row of each group, then by tiles of what is still in several components."""
-        if small:
-            n = self.light.select("row", "n")
-            x, y = (groups.join(n, "row").select("gid", F.col("row").alias(v), F.col("n").alias(m)) for v, m in (("x", "a"), ("y", "b")))
-            sizes = 100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")
-            self.verify(x.join(y, "gid").where((F.col("x") < F.col("y")) & sizes).select("x", "y"))
-            return
-        left = self.open(groups, f"{name}-open")
-        if left.isEmpty():
-            return
-        pivot = left.groupBy("gid").agg(F.min("row").alias("y"))
-        self.verify(left.join(pivot, "gid").where("row <> y").select(F.col("row").alias("x"), "y"))
-        left = self.open(left.select("gid", "row"), f"{name}-left")
+        """The members (gid, c, row, label) of groups that are of several components."""
+        lab = groups.join(self.labels, groups.row == self.labels.v, "left").select("gid", "c", "row", F.coalesce("label", "row").alias("label"))
+        lab = self.scratch.save(lab, f"{name}-labelled")
+        mixed = self.scratch.save(lab.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid"), f"{name}-mixed")
+        return self.scratch.save(lab.join(mixed, "gid"), name)
+
+    def resolve(self, groups: DataFrame, many: int) -> None:
+        """groups: gid, c (members), row, pivot (the first of them). Finds links enough to join all that are linked."""
+        self.verify(groups.where("row <> pivot").select(F.col("row").alias("x"), F.col("pivot").alias("y")))
+        left = self.open(groups.where("c > 2"), "open")
+        few = left.where(F.col("c") <= many)
+        x, y = (few.select("gid", F.col("row").alias(v), F.col("label").alias(m)) for v, m in (("x", "k"), ("y", "l")))
+        pairs = x.join(y, "gid").where("x < y and k <> l").select("x", "y")
+        if not few.isEmpty():
+            self.verify(pairs)
+            left = self.open(left.where(F.col("c") > many).drop("label"), "still-open")
+        left = left.where(F.col("c") > many)
         if not left.isEmpty():
             self.tiles(left.select("row", "label").distinct())
 
@@ -313,22 +331,29 @@ class _Join:
         """Adds links between rows of different labels (row, label), enough to join all that are linked."""
         self.step += 1
         self.fetch(rows.select("row"))
-        weight = F.greatest(F.lit(2048), F.col("n") * 8)
-        r = self.scratch.save(rows.join(self.light, "row").select("row", "label", "n", "bitmap", weight.alias("w")), f"tile-rows{self.step}")
-        by_size = r.groupBy("n").agg(F.sum("w").alias("total"))
-        from pyspark.sql import Window as W
-
-        # one row for each size; rows of a size are spread over its stretch of bytes
-        at = by_size.withColumn("at", F.sum("total").over(W.orderBy("n")) - F.col("total"))
-        r = r.join(at, "n").withColumn("block", F.floor((F.col("at") + F.pmod(F.xxhash64("row"), F.col("total"))) / TILE_BYTES))
-        meta = sorted((b["block"], b["lo"], b["hi"]) for b in r.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect())  # one for each block
-        pairs = [(i, j, b) for p, (i, _, hi) in enumerate(meta) for j, lo, _ in meta[p:] if 100 * hi >= self.percent * lo for b in {i, j}]
-        uses = self.scratch.spark.createDataFrame(pairs or [(0, 0, -1)], "i long, j long, block long")
+        r = blocks(self.scratch, rows.join(self.light.drop("block"), "row"), f"tile-rows{self.step}")
+        # blocks meet if their sizes may link: then they touch one band of sizes, or two that are neighbours
+        band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(np.log(100 / self.percent))).cast("long")
+        meta = self.scratch.save(r.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), f"tile-blocks{self.step}")
+        a = meta.select(F.col("block").alias("i"), F.col("hi").alias("top"), F.explode(F.sequence(band("lo"), band("hi") + 2)).alias("band"))
+        b = meta.select(F.col("block").alias("j"), F.col("lo").alias("low"), F.explode(F.sequence(band("lo"), band("hi"))).alias("band"))
+        tile = a.join(b, "band").where((F.col("i") <= F.col("j")) & (100 * F.col("top") >= self.percent * F.col("low"))).select("i", "j").distinct()
+        uses = self.scratch.save(tile.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), f"tile-uses{self.step}")
         held = r.join(self.sets, "row").select("row", "label", "n", "bitmap", "shingles", "block")
-        found = held.join(uses, "block").groupBy("i", "j").applyInPandas(_tile(self.percent), "x long, y long")
-        found = self.scratch.save(found, f"links{self.step}")
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.labels = components(self.edges, self.scratch, f"labels{self.step}")
+        self.found(held.join(uses, "block").groupBy("i", "j").applyInPandas(_tile(self.percent), "x long, y long"))
+
+
+def blocks(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """rows (row, n and more) with a block: sorted by n and cut where TILE_BYTES of sets are together."""
+    from pyspark.sql import Window as W
+
+    r = rows.withColumn("_w", F.greatest(F.lit(2048), F.col("n") * 8))
+    by_size = r.groupBy("n").agg(F.sum("_w").alias("total"))
+    # one row for each size; rows of a size are spread over its stretch of bytes
+    at = by_size.withColumn("at", F.sum("total").over(W.orderBy("n")) - F.col("total"))
+    at = scratch.save(at, f"{name}-sizes")
+    out = r.join(at, "n").withColumn("block", F.floor((F.col("at") + F.pmod(F.xxhash64("row"), F.col("total"))) / TILE_BYTES))
+    return scratch.save(out.drop("_w", "total", "at"), name)
 
 
 def _tile(percent: int):
@@ -339,7 +364,7 @@ def _tile(percent: int):
 
         least = min(map(len, rows["bitmap"]))
         fold = lambda m: np.bitwise_or.reduce(np.frombuffer(m, U).reshape(-1, least // 8))
-        rows = rows.sort_values("row").reset_index(drop=True)
+        rows = rows.sort_values("row").drop_duplicates("row").reset_index(drop=True)
         maps, n, block = np.stack([fold(m) for m in rows["bitmap"]]), rows["n"].to_numpy(), rows["block"].to_numpy()
         label, ids = rows["label"].to_numpy(), rows["row"].to_numpy()
         sets = [np.frombuffer(s, U) for s in rows["shingles"]]
@@ -356,13 +381,9 @@ def _tile(percent: int):
         for a in left.tolist():
             other = right[right > a] if key[0] == key[1] else right
             differ = np.bitwise_count(maps[other] ^ maps[a]).sum(1, dtype=np.int64)
-            bound = np.minimum((n[other] + n[a] - differ) // 2, np.minimum(n[other], n[a]))
-            for b in other[(100 * bound >= percent * (n[other] + n[a] - bound)) & (label[other] != label[a])].tolist():
+            for b in other[_may_link(percent, n[other], n[a], differ) & (label[other] != label[a])].tolist():
                 x, y = find(int(label[a])), find(int(label[b]))
-                if x == y:
-                    continue
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * both >= percent * (n[a] + n[b] - both):
+                if x != y and _links(percent, sets[a], sets[b]):
                     root[max(x, y)] = min(x, y)
                     out.append((int(ids[a]), int(ids[b])))
         return pd.DataFrame(out, columns=["x", "y"])
@@ -376,84 +397,106 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     A-Z are lower-cased, words are [^\\x20\\x09-\\x0D]+. A null or wordless text has no
     shingles, no links and its own id as component; a null id is never smallest unless
     all of its component are null. Repeated rows have equal sets and so one component.
-    An empty table gives an empty result. Texts are read whole. Other columns are not read."""
+    An empty table gives an empty result. Texts are read whole. Other columns are not
+    read, whatever their names."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, s1 long, s2 long, first binary, bitmap binary"
-    sets = scratch.save(src.mapInArrow(_sets(words, percent, False), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = src.mapInArrow(_sets(words, percent), f"doc_id {kind}, n long, s1 long, s2 long, first binary, bitmap binary")
+    sets = scratch.save(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
 
     key = ["s1", "s2", "n"]
-    reps = sets.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"))
+    reps = scratch.save(sets.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "reps")
     members = scratch.save(sets.select("row", "doc_id", *key).join(reps, key, "left").select("row", "doc_id", "n", "s1", "s2", F.coalesce("rep", "row").alias("rep")), "members")
     copies = members.where("row <> rep").select("row")
     own = sets.where("n > 0").join(copies, "row", "left_anti").select("row", "n", "first")
-    light = sets.where("n > 0").select("row", "n", "bitmap")
 
     def read(rows: DataFrame) -> DataFrame:
-        """Whole sets of rows. Texts are first sifted by a hash of their id, whose values are
-        few enough to be broadcast whatever the number of rows; what passes is joined."""
-        wanted = rows.join(members, "row").select("row", F.col("doc_id").alias("_id"), "s1", "s2")
-        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
-        sift = F.broadcast(wanted.select(cell("_id").alias("_c")).distinct())
-        texts = src.join(sift, cell("doc_id") == F.col("_c"), "left_semi")
-        texts = texts.join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        full = texts.mapInArrow(_sets(words, percent, True), schema).join(wanted, ["s1", "s2"])
-        return full.where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["row"]).select("row", F.col("first").alias("shingles"))
-
-    # shingles of many sets
-    volume = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = int(max(16, volume >> 23))
+        """The whole sets of rows: their texts' ids pass a sieve, and a join by id and digest decides."""
+        wanted = rows.join(members, "row").select("row", F.col("doc_id").alias("id"), "s1", "s2")
+        sieve = Sieve(wanted.select(F.xxhash64("id").alias("key")), wanted.count())
+        full = src.withColumn("key", F.xxhash64("doc_id")).mapInArrow(_whole(words, sieve), f"_id {kind}, s1 long, s2 long, shingles binary").alias("f")
+        same = (F.col("f.s1") == F.col("r.s1")) & (F.col("f.s2") == F.col("r.s2")) & F.col("_id").eqNullSafe(F.col("id"))
+        return full.join(wanted.alias("r"), same).select("row", "shingles")
+
+    # shingles of many sets: counted by ranges of their hashes
+    volume = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = int(max(16, volume >> 20))
     counted = own.select("first").mapInArrow(_count(shards), "shard long, tokens binary, counts binary")
-    hot = counted.groupBy("shard").applyInPandas(_hot(max(1, MOST_HOT // shards), many), "hot binary")
+    frequent = scratch.save(counted.groupBy("shard").applyInPandas(_hot(many), "level long, n long, tokens binary"), "frequent")
+    level, held = None, 0  # the most frequent, as many as MOST_HOT allows
+    for r in sorted(frequent.groupBy("level").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        if held + r["n"] > MOST_HOT:
+            break
+        level, held = r["level"], held + r["n"]
+    hot = frequent.where(F.lit(False) if level is None else F.col("level") >= level).select("tokens")
     hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r[0] for r in hot.collect()), U)).tobytes())
     out_schema = "row long, cold array<long>, hot array<long>, short boolean"
     lead = scratch.save(own.mapInArrow(_prefixes(percent, hot, False), out_schema), "lead")
     short = lead.where("short").select("row")
     if not short.isEmpty():  # sets whose stored part doesn't reach far enough are read again, whole
-        again = read(short).join(members.select("row", "n"), "row").select("row", "n", F.col("shingles").alias("first"))
+        again = read(short).join(members.select("row", "n"), "row").select("row", "n", F.col("shingles").alias("first")).dropDuplicates(["row"])
         lead = scratch.save(lead.where("not short").unionByName(again.mapInArrow(_prefixes(percent, hot, True), out_schema)), "lead2")
         scratch.drop("lead")
+    scratch.drop("frequent")
+
+    def grouped(rows: DataFrame, name: str) -> DataFrame:
+        """Members (gid, row) of groups of two or more, with their number c and the first of them."""
+        shared = scratch.save(rows.groupBy("gid").agg(F.count("*").alias("c"), F.min("row").alias("pivot")).where("c > 1"), f"{name}-shared")
+        out = scratch.save(rows.join(shared, "gid").select("gid", "c", "row", "pivot"), name)
+        scratch.drop(f"{name}-shared")
+        return out
 
-    shared = lambda rows: rows.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1")
-    cold = lead.select(F.explode("cold").alias("gid"), "row")
-    cold = scratch.save(cold.join(shared(cold), "gid"), "groups")
+    cold = grouped(lead.select(F.explode("cold").alias("gid"), "row"), "groups")
     # shingles beyond the stored parts weren't counted before: their groups may be as large as those of hot ones
     warm = scratch.save(lead.where("size(hot) > 0").select("row").unionByName(cold.where(F.col("c") > many).select("row")).distinct(), "warm")
-    cold = scratch.save(cold.where(F.col("c") <= many).select("gid", "row"), "cold")
-    scratch.drop("groups")
     scratch.drop("lead", "lead2")
+    cold = cold.where(F.col("c") <= many)
 
-    light = scratch.save(light.join(cold.select("row").unionByName(warm).distinct(), "row"), "light")
-    scratch.drop("sets")
+    light = sets.select("row", "n", "bitmap").join(cold.select("row").unionByName(warm).distinct(), "row")
+    light = blocks(scratch, light, "light")
+    scratch.drop("sets", "reps")
     join = _Join(scratch, light, read, percent)
-    join.resolve(cold, "cold", True)
+    groups = cold
     if not warm.isEmpty():
         join.fetch(warm)
         top = light.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
         begin = bands(percent, top) + [0, 0]
         begin[-2] = begin[-3] * 100 // percent + 1
         begin[-1] = begin[-2] * 100 // percent + 1
-        parts = join.sets.join(warm, "row").select("row", "shingles").mapInArrow(_bucket_rows(percent, begin), "row long, gids array<long>").select(F.explode("gids").alias("gid"), "row")
-        parts = scratch.save(parts, "buckets")
-        parts = scratch.save(parts.join(shared(parts).select("gid"), "gid"), "shared-buckets")
+        parts = join.sets.mapInArrow(_bucket_rows(percent, begin), "row long, gids array<long>").select(F.explode("gids").alias("gid"), "row")
+        groups = cold.unionByName(grouped(scratch.save(parts, "buckets"), "bucket-groups"))
         scratch.drop("buckets")
-        join.resolve(parts, "warm", False)
+    join.resolve(groups, many)
     labels = join.labels
     named = members.join(labels, members.rep == labels.v, "left").withColumn("label", F.coalesce("label", "rep"))
     named = scratch.save(named.select("doc_id", "n", "label"), "named")
-    scratch.drop("light", "cold", "warm", "shared-buckets")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = scratch.save(least, "least")
+    hot.destroy()
+    for name in [p for p in scratch.names if p not in ("named", "least")]:
+        scratch.drop(name)
     return named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs of which each component stays with its smallest id. Ids should be unique; a null id stays."""
-    found = near_duplicates(docs, id_col=id_col, **how)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, of which one of each component stays: that with the smallest id, null last.
+
+    Rows that share an id are told apart by their texts, the first by its digest being
+    the smaller; rows that repeat id and text are reduced to one. Wordless texts are
+    linked with nothing and all stay, but for such repeats."""
+    key = names(docs, "key")[0]
+    made = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    own = docs.select(made.alias("doc_id"), F.col(text_col).alias("text"))
+    found = near_duplicates(own, **how)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    keyed = docs.withColumn(key, made)
+    left = keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates([key])
+    return left.select(*docs.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

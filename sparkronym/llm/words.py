@@ -5,6 +5,7 @@ is bounded by the slice of texts that is passed, see slices()."""
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -17,10 +18,11 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Bytes that are hashed at a time.
-CHUNK = 1 << 20
+#: Words of more bytes than this are hashed by a digest, each by itself.
+LONG = 64
 U = np.uint64
-_cache: dict = {}
+#: The lowest n bytes of a 64-bit integer, by n.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +43,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about so many bytes together (more only where one text has more)."""
     if not len(batch):
         return
@@ -73,71 +75,78 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if seed not in _cache:
-        t = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U((seed * 2 + 1) * 0xD1B54A32D192ED03 & (2**64 - 1)))
-        p = int(mix(np.array([seed + 77], U))[0]) | 1
-        inv = pow(p, -1, 1 << 64)
-        up = np.full(CHUNK + 1, p, U)
-        up[0] = 1
-        down = np.full(CHUNK + 1, inv, U)
-        down[0] = 1
-        _cache[seed] = (t, np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _cache[seed]
-
-
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand.
 
-    A polynomial over random byte values modulo 2^64, finalised with the length. Spans
-    longer than CHUNK are hashed by blake2b."""
-    out = np.empty(len(starts), U)
+    Eight bytes at a time go into a chain of bijections, so that spans of one length up
+    to eight bytes never collide, and no pattern of longer ones (a word and its
+    complement, say) cancels out, as it would in a polynomial modulo 2^64. Hashes of
+    different seeds are independent. Spans longer than LONG go through blake2b."""
+    n = ends - starts
+    out = mix(n.astype(U) * U(0x9E3779B97F4A7C15) + U((seed * 2 + 1) * 0xD1B54A32D192ED03 & (2**64 - 1)))
     if not len(starts):
         return out
-    t, up, down = _tables(seed)
-    i, n = 0, len(starts)
-    while i < n:
-        base = starts[i]
-        j = int(np.searchsorted(ends, base + CHUNK, "right"))
-        if j <= i:
-            d = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
-            out[i] = np.frombuffer(d, U)[0]
-            i += 1
-            continue
-        part = t[data[base : ends[j - 1]]]
-        part *= up[: len(part)]
-        cs = np.empty(len(part) + 1, U)
-        cs[0] = 0
-        np.cumsum(part, out=cs[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((cs[e] - cs[s]) * down[s] + (e - s).astype(U) * U(0x9E3779B97F4A7C15))
-        i = j
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)], padded[len(data) :] = data, 0
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    which, at, left = None, starts, n
+    for _ in range(LONG // 8):
+        out_now = mix(out if which is None else out[which])
+        out_now ^= eight[at] & _LOW[np.minimum(left, 8)]
+        out_now = mix(out_now + U(0x632BE59BD9B4E019))
+        if which is None:
+            out = out_now
+        else:
+            out[which] = out_now
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        which = more if which is None else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        d = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = np.frombuffer(d, U)[0]
     return out
 
 
 def runs(word: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash of each k consecutive words, by where they start; len(word) - k + 1 of them.
 
-    A polynomial over the words' hashes, by sums of prefixes."""
+    Runs of twice the length are made of two of half the length, and k of the powers of
+    two in it, each step mixed, so that no pattern of words cancels out."""
     n = len(word) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    out = np.zeros(n, U)
-    if k <= 8:
-        for j in range(k):
-            out += mix(word[j : j + n] + U((j + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
-        return mix(out + U(seed))
-    m = U(int(mix(np.array([seed + 5], U))[0]) | 1)
-    inv = U(pow(int(m), -1, 1 << 64))
-    step = 1 << 19
-    for a in range(0, n, step):
-        b = min(n, a + step)
-        w = word[a : b + k - 1]
-        up = np.full(len(w), m, U)
-        up[0] = 1
-        down = np.full(b - a, inv, U)
-        down[0] = 1
-        cs = np.zeros(len(w) + 1, U)
-        np.cumsum(w * np.multiply.accumulate(up), out=cs[1:])
-        out[a:b] = mix((cs[k : k + b - a] - cs[: b - a]) * np.multiply.accumulate(down) + U(k))
-    return out
+    salt = U((seed * 2 + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    power, size, out, done, left = word, 1, None, 0, k
+    while True:
+        if left & 1:
+            part = power[done : done + n]
+            out = mix(part + salt) if out is None else mix((out ^ (out >> U(32))) * U(0xD6E8FEB86659FD93) + part)
+            done += size
+        left >>= 1
+        if not left:
+            return out
+        power = mix(power[:-size] * U(0xA0761D6478BD642F) + mix(power[size:] + salt))
+        size *= 2
+
+
+def tidy(run):
+    """The function over Arrow batches, after which a worker gives back the memory it holds no more."""
+
+    def clean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return clean
+
+
+def release() -> None:
+    """Gives free memory back to the system: a worker that is used again would keep the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only in glibc
+        pass
