@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from sparkronym.llm.common import ship
-from sparkronym.llm.words import slices
+from sparkronym.llm.common import names, ship
+from sparkronym.llm.words import slices, tidy
 
-#: Pieces that a worker remembers; beyond it its memory starts anew.
-REMEMBERED = 600_000
+#: Pieces that a worker remembers, and their bytes with those of their ids; beyond either its memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 16 << 20
 #: The white space of Unicode, as the library's \\s has it; Python's has four separators more.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters, numbers and white space below U+0100.
@@ -89,6 +89,7 @@ class Bpe:
         self.pair = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[int(k)] for k in self.pair], np.int64)
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids; NONE where they don't join."""
@@ -161,10 +162,14 @@ class Bpe:
         split = [(self.split_latin if _is_latin(t) else self.split)(t) for t in texts]
         met = set().union(*split)
         new = list(met.difference(self.pieces))
-        if len(self.pieces) + len(new) > REMEMBERED:
+        raw = [x.encode() for x in new]
+        if len(self.pieces) + len(new) > REMEMBERED or self.held + sum(map(len, raw)) > REMEMBERED_BYTES:
             self.pieces.clear()
-            new = list(met)
-        self.pieces.update(zip(new, self.merge([x.encode() for x in new]), strict=True))
+            self.held, new = 0, list(met)
+            raw = [x.encode() for x in new]
+        ids = self.merge(raw)
+        self.pieces.update(zip(new, ids, strict=True))
+        self.held += sum(map(len, raw)) + sum(map(len, ids))
         get = self.pieces.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -215,7 +220,8 @@ def encode(
         ranks = spark.sparkContext.broadcast(f.read())
     cols = [c for c in (keep if keep is not None else docs.columns) if c != text_col and c not in outputs]
     schema = T.StructType([docs.schema[c] for c in cols] + [T.StructField(c, OUTPUTS[c]) for c in outputs])
-    return docs.select(*cols, docs[text_col].cast("string").alias("_text")).mapInArrow(_Encode(ranks, pattern, cols, outputs), schema)
+    (text,) = names(docs, "text")
+    return docs.select(*cols, docs[text_col].cast("string").alias(text)).mapInArrow(tidy(_Encode(ranks, pattern, cols, outputs)), schema)
 
 
 class _Encode:
@@ -225,7 +231,7 @@ class _Encode:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(self.ranks.value, self.pattern)
         for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
+            for part in slices(batch, len(self.cols)):
                 ids = bpe.encode([t or "" for t in part.column(len(self.cols)).to_pylist()])
                 decoded = bpe.decode(ids) if any(o.startswith("decoded") for o in self.outputs) else []
                 made = {
@@ -246,12 +252,12 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "tex
         ranks = spark.sparkContext.broadcast(f.read())
     cols = [c for c in rows.columns if c != out_col]
     schema = T.StructType([rows.schema[c] for c in cols] + [T.StructField(out_col, T.StringType())])
-    return rows.select(*cols).mapInArrow(_Decode(ranks, cols, cols.index(ids_col)), schema)
+    return rows.select(*cols).mapInArrow(_Decode(ranks, cols, cols.index(ids_col), out_col), schema)
 
 
 class _Decode:
-    def __init__(self, ranks, cols, at):
-        self.ranks, self.cols, self.at = ranks, cols, at
+    def __init__(self, ranks, cols, at, out_col):
+        self.ranks, self.cols, self.at, self.out_col = ranks, cols, at, out_col
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(self.ranks.value, "")
@@ -259,7 +265,7 @@ class _Decode:
             ids = batch.column(self.at).to_pylist()
             got = bpe.decode([np.array(x or (), "<u4").tobytes() for x in ids])
             text = [None if x is None else y.decode("utf-8", "replace") for x, y in zip(ids, got, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*self.cols, "_t"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*self.cols, self.out_col])
 
 
 #: The tokenizer of the query and of the pipeline.

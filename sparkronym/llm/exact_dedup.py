@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkronym.llm.common import SPACE, Scratch
+from sparkronym.llm.common import SPACE, Scratch, names
 
 BLOCK_BYTES = 4096
 
@@ -85,9 +85,11 @@ def exact_groups(
             more.where("pos = 0 and r = -1").select("id", "sha", F.lit(level).alias("level"), F.col("l").alias("name"))
         )
         more = more.where("not (pos = 0 and r = -1)")
-        names = more.groupBy("l", "r").agg(F.lit(1).alias("x")).sortWithinPartitions("l", "r").select("l", "r", F.monotonically_increasing_id().alias("name"))
         level, many = level + 1, many // 2
-        seq = scratch.save(more.join(names, ["l", "r"]).select("id", "sha", "pos", "name"), f"level{level}")
+        pairs = more.groupBy("l", "r").agg(F.lit(1).alias("x")).sortWithinPartitions("l", "r").select("l", "r", F.monotonically_increasing_id().alias("name"))
+        pairs = scratch.save(pairs, f"pairs{level}")  # written, so that the join deals both sides anew and a pair of many copies can be split
+        seq = scratch.save(more.join(pairs, ["l", "r"]).select("id", "sha", "pos", "name"), f"level{level}")
+        scratch.drop(f"pairs{level}")
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
@@ -96,7 +98,7 @@ def exact_groups(
     counts = raw.groupBy("id", "sha").agg(F.count("*").alias("n"))
     rows = scratch.save(found.join(counts, (found.id.eqNullSafe(counts.id)) & (found.sha == counts.sha)).select(found.id, found.sha, "level", "name", "n"), "rows")
     scratch.drop(*(f"level{i}" for i in range(level + 1)))
-    groups = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = scratch.save(rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     return (
         rows.join(groups, ["level", "name"])
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
@@ -115,15 +117,17 @@ def scalar_max(df: DataFrame, c: str) -> int:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, all columns, of which each text stays once: that with the smallest id.
 
-    Rows are dropped by id, so that ids should be unique; rows that repeat id and text
-    are reduced to one. What is dropped is the smaller side of an anti join, which
-    Spark broadcasts or sorts by its size."""
+    Rows that share an id are told apart by their texts; rows that repeat id and text are
+    reduced to one. Nulls, empty texts and an empty table are as in exact_groups; other
+    columns stay as they are, whatever their names. What is dropped is the smaller side
+    of an anti join, which Spark broadcasts or sorts by its size."""
     found = exact_groups(docs, id_col, text_col, **how)
-    gone = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("k"), F.count("*").alias("n"))
-    out = gone.where("not k").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    left = docs.join(out, docs[id_col].eqNullSafe(out["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == out["_sha"]), "left_anti")
-    if not gone.where("n > 1").isEmpty():  # repeated ids: one row of each group
-        left = left.withColumn("_sha", F.sha2(normalised(text_col), 256)).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    rows = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("k"), F.count("*").alias("n"))
+    own, sha = names(docs, "id", "sha")
+    gone = rows.where("not k").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha))
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone[own]) & (F.sha2(normalised(docs[text_col]), 256) == gone[sha]), "left_anti")
+    if not rows.where("n > 1").isEmpty():
+        left = left.withColumn(sha, F.sha2(normalised(text_col), 256)).dropDuplicates([id_col, sha]).drop(sha)
     return left
 
 

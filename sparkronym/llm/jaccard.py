@@ -407,9 +407,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = src.mapInArrow(_sets(words, percent), f"doc_id {kind}, n long, s1 long, s2 long, first binary, bitmap binary")
     sets = scratch.save(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
 
-    key = ["s1", "s2", "n"]
-    reps = scratch.save(sets.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "reps")
-    members = scratch.save(sets.select("row", "doc_id", *key).join(reps, key, "left").select("row", "doc_id", "n", "s1", "s2", F.coalesce("rep", "row").alias("rep")), "members")
+    digest = ["s1", "s2", "n"]
+    reps = scratch.save(sets.where("n > 0").groupBy(*digest).agg(F.min("row").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "reps")
+    members = scratch.save(sets.select("row", "doc_id", *digest).join(reps, digest, "left").select("row", "doc_id", "n", "s1", "s2", F.coalesce("rep", "row").alias("rep")), "members")
     copies = members.where("row <> rep").select("row")
     own = sets.where("n > 0").join(copies, "row", "left_anti").select("row", "n", "first")
 
@@ -487,13 +487,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that share an id are told apart by their texts, the first by its digest being
     the smaller; rows that repeat id and text are reduced to one. Wordless texts are
     linked with nothing and all stay, but for such repeats."""
-    key = names(docs, "key")[0]
+    key, other = names(docs, "key", "other")
     made = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
     own = docs.select(made.alias("doc_id"), F.col(text_col).alias("text"))
     found = near_duplicates(own, **how)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
     keyed = docs.withColumn(key, made)
-    left = keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    left = keyed.join(gone, F.col(key) == F.col(other), "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         left = left.dropDuplicates([key])
     return left.select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkronym.llm.common import WORD, Scratch, ship
+from sparkronym.llm.common import WORD, Scratch, names, ship
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -193,9 +193,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them, columns as they are. Ids should be unique and not null:
-    rows that share an id get the copies of the one with most."""
-    got = mix(docs, targets, **how).groupBy("doc_id").agg(F.max("n_copies").alias("_n"))
-    out = docs.join(got, docs["doc_id"].eqNullSafe(got["doc_id"])).select(*(docs[c] for c in docs.columns), "_n").where("_n > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them, columns as they are whatever their names.
+
+    Rows that share an id, null too, are told apart by their texts; rows that repeat id
+    and text get the copies of the one of them with most. Null and empty texts have no
+    words and stay once. An empty table gives an empty result."""
+    key, other, n, k = names(docs, "key", "other", "n", "k")
+    made = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    keyed = docs.withColumn(key, made)
+    got = mix(keyed, targets, id_col=key, text_col=text_col, **how).groupBy(F.col(key).alias(other)).agg(F.max("n_copies").alias(n))
+    out = keyed.join(got, F.col(key).eqNullSafe(F.col(other))).where(F.col(n) > 0)
+    return out.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)

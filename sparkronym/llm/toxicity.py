@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkronym.llm import words as w
-from sparkronym.llm.common import ship
+from sparkronym.llm.common import Scratch, names, ship
 
 WINDOW, STRIDE = 32, 16
-#: Labelled rows of each class that the network is fitted on at most, and characters of each of these.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 50_000
+#: Labelled rows of each label that the network is fitted on at most, and bytes of their texts together, which are
+#: read whole. A row of more than a LARGEST-th of these bytes is not in the sample.
+SAMPLE_ROWS, SAMPLE_BYTES, LARGEST = 2000, 3 << 20, 8
 WORD_ROWS, WORD_DIM = 1 << 13, 6
 CHAR_ROWS, CHAR_DIM = 1 << 12, 4
 GRAM = 6
@@ -304,17 +306,19 @@ def logits(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.isfinite(out)
 
 
-def _score(model, at: int, cols: list[str]):
+def _score(model, kept: int, columns: list[str]):
+    """The first so many columns, and the score of the text in the one after them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for part in w.slices(batch, "_text", 1 << 20):
-                raw, has = logits(m, part.column(at))
+            for part in w.slices(batch, kept):
+                raw, has = logits(m, part.column(kept))
                 score = np.full(len(part), m.get("empty", float(sigmoid(np.float64(m["shift"])))))
                 score[has] = sigmoid(m["scale"] * raw[has] + m["shift"])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), pa.array(score, pa.float64())], names=[*cols, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(score, pa.float64())], names=columns)
 
-    return run
+    return w.tidy(run)
 
 
 def is_held_out(id_col: str | Column) -> Column:
@@ -322,37 +326,65 @@ def is_held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> dict:
-    """A model fitted on at most so many labelled rows of each label, none of them held out, chosen by a hash of the id.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
+) -> dict:
+    """A model fitted on at most so many labelled rows of each label and so many bytes of their whole texts, none of
+    them held out, chosen by a hash of the id.
 
     Labels that are null or neither 0 nor 1 are left out; of several of one id the
-    largest counts. Without rows of both labels scores are a constant."""
-    lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("y").alias("y")).where(~is_held_out("_id"))
+    largest counts, and of several texts of one id the smallest. A null text is empty.
+    Ids that no document has are passed over. Rows of no id are not learnt from. Without
+    rows of both labels scores are a constant. Other columns are not read, whatever
+    their names."""
+    lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y")).where(~is_held_out("id"))
     n = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    order = F.xxhash64(F.lit("sample"), "id")
     few = None
     for v in (0, 1):
-        part = lab.where(F.col("y") == v).orderBy(F.xxhash64(F.lit("sample"), "_id"), "_id").limit(rows)
+        part = lab.where(F.col("y") == v).orderBy(order, "id").limit(rows)
         few = part if few is None else few.unionByName(part)
-    got = docs.join(F.broadcast(few), docs[id_col] == few["_id"]).select("_id", "y", F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
-    got = sorted(got.collect(), key=lambda r: (r["_id"], r["t"]))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    got = docs.select(F.col(id_col).alias("d"), text.alias("t")).where(F.octet_length("t") <= most_bytes // LARGEST)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    got = got.join(F.broadcast(few), F.col("d") == F.col("id")).groupBy("id", "y").agg(F.min("t").alias("t"))
+    got = scratch.save(got.withColumn("h", order).withColumn("size", F.octet_length("t")), "sample")
+    chosen, left = [], {0: most_bytes, 1: most_bytes}
+    for r in got.select("id", "y", "size", "h").orderBy("h", "id").collect():  # one for each row of the sample
+        left[r["y"]] -= r["size"]
+        if left[r["y"]] >= 0:
+            chosen.append((r["id"],))
+    if chosen:
+        ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", got.schema["id"].dataType)]))
+        took = sorted(got.join(F.broadcast(ids), "id").select("h", "id", "y", "t").collect())
+    else:
+        took = []
+    scratch.close()
     total = n.get(0, 0) + n.get(1, 0)
-    return fit([r["t"] for r in got], [r["y"] for r in got], n.get(1, 0) / total if total else 0.0)
+    model = fit([r["t"] for r in took], [r["y"] for r in took], n.get(1, 0) / total if total else 0.0)
+    del took
+    w.release()
+    return model
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns keep of docs (all by default) and score. A text without words has the rate of label 1. Texts are read whole."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
+    """Columns keep of docs (all by default) and the score, which replaces a column of its name.
+
+    Each row is scored by itself, repeated ones alike. A null, empty or wordless text has
+    the rate of label 1. Texts are read whole, whatever their length. An empty table
+    gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != "score"]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(_score(spark.sparkContext.broadcast(model), len(keep), keep), schema)
+    keep = [c for c in (keep if keep is not None else docs.columns) if c != out_col]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out_col, T.DoubleType())])
+    (text,) = names(docs, "text")
+    return docs.select(*keep, F.col(text_col).cast("string").alias(text)).mapInArrow(_score(spark.sparkContext.broadcast(model), len(keep), [*keep, out_col]), schema)
 
 
-def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, columns as they are, that score below the threshold."""
-    return score(docs, train(docs, labels)).where(F.col("score") < threshold).select(*docs.columns)
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
+    """The rows of docs, columns as they are whatever their names, that score below the threshold."""
+    (out,) = names(docs, "score")
+    return score(docs, train(docs, labels, **how), out_col=out).where(F.col(out) < threshold).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

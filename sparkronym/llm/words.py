@@ -43,11 +43,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about so many bytes together (more only where one text has more)."""
     if not len(batch):
         return
-    col = batch.column(batch.schema.get_field_index(column))
+    col = batch.column(column)
     size = np.asarray(pc.fill_null(pc.binary_length(col), 0).cast(pa.int64()))
     group = np.cumsum(size) // most
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(batch)]))
