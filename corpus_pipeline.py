@@ -7,7 +7,12 @@
 4. mixing: documents as often as the entropy-balanced mix takes them;
 5. byte-level BPE: the token ids of each row, with digests of them and of what they decode to.
 
-doc_ids of documents are taken to be unique.
+Every stage takes what its predecessor kept, and whole texts. Rows that share a doc_id,
+null too, are told apart by their texts; rows that repeat doc_id and text are reduced to
+one by the second stage, and the fourth repeats rows on purpose. A null text counts as
+empty: it is scored with the rate of toxic rows, is a copy of other empty texts, is
+linked with nothing, and has no tokens. An empty table gives an empty result. Further
+columns of documents, whatever their names, stay through all stages but the last.
 """
 
 from __future__ import annotations
