@@ -4,110 +4,224 @@ A line's tokens with a digit are variable fields. The tree's path to a leaf is o
 depth: the number of tokens, then the first DEPTH of them. In a leaf, a line joins the
 first template that agrees with it in SIMILAR of the tokens, and the template's other
 tokens become variable; lines come in order, so that reruns agree. A template that
-occurs in MIN_DOCS documents or more is recurring: its lines are dropped, but for those
-of the document with the smallest id.
-
-Only leaves that more than one document has can hold a recurring template: lines of
-others, nearly all of them, stop at the hash of their leaf.
+occurs in min_docs documents or more is recurring: its lines are dropped, but for those
+of the document with the smallest id. A line that stands in two documents alike, up to
+its variable fields, is dropped from the second on, whatever its template.
+
+Lines go through the plan as 128 bits, without their texts. Only leaves of two or more
+different lines and documents need a template; the texts of their lines are read again,
+past a sieve, as one row for each different line. A leaf of many different lines is
+parsed in chunks of bounded size; the chunks' templates, dealt anew by other tokens, are
+then merged by the same rule, so that no leaf is held by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkronym.llm.common import SPACE, Scratch, ship
+from sparkronym.llm import words as w
+from sparkronym.llm.common import Scratch, ship
+from sparkronym.llm.sieve import Sieve
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 3
-#: Values of a leaf's hash by which lines are sifted before they are joined, few enough to be broadcast.
-CELLS = 1 << 20
+#: Tokens of the different lines that are parsed together at most (a line of more is parsed by itself).
+CHUNK_TOKENS = 1 << 21
 VARIABLE = "<*>"
+U = np.uint64
+
+
+def _constant(k: int) -> np.uint64:
+    return U(k * 0x9E3779B97F4A7C15 & (2**64 - 1))
 
 
 def parse(rows: list[str]) -> list[str]:
-    """The template of each line of a leaf (tokens joined by one space)."""
-    found: list[list[str]] = []
-    index: dict[tuple[int, str], list[int]] = {}
-    owner = []
-    for line in rows:
-        tokens = line.split(" ")
-        seen: dict[int, int] = {}
-        for k, x in enumerate(tokens):  # templates that agree in a token, by place
-            for i in index.get((k, x), ()):
-                seen[i] = seen.get(i, 0) + 1
-        best = min((i for i, n in seen.items() if n >= SIMILAR * len(tokens)), default=None)
-        if best is None:
-            best = len(found)
-            found.append(tokens)
-            for k, x in enumerate(tokens):
-                index.setdefault((k, x), []).append(best)
+    """The template of each of different lines (tokens joined by one space) of as many tokens each."""
+    ids: dict[str, int] = {VARIABLE: 0}
+    lines = np.array([[ids.setdefault(t, len(ids)) for t in r.split(" ")] for r in rows], np.int32)
+    found, n, owner = np.empty_like(lines), 0, []
+    for line in lines:
+        alike = np.flatnonzero((found[:n] == line).sum(1) >= SIMILAR * len(line))
+        if len(alike):
+            best = int(alike[0])
+            found[best][found[best] != line] = 0
         else:
-            t = found[best]
-            for k, x in enumerate(tokens):
-                if t[k] != x and t[k] != VARIABLE:
-                    index[(k, t[k])].remove(best)
-                    t[k] = VARIABLE
-                    index.setdefault((k, VARIABLE), []).append(best)
+            best, n = n, n + 1
+            found[best] = line
         owner.append(best)
-    return [" ".join(found[i]) for i in owner]
+    names = list(ids)
+    text = [" ".join([names[t] for t in f]) for f in found[:n].tolist()]
+    return [text[i] for i in owner]
+
+
+class _Lines:
+    """The lines with words of a slice of texts: document, place in it, leaf and 128 bits of the masked line."""
+
+    def __init__(self, column: pa.Array):
+        data, off = w.text_bytes(column)
+        starts, ends, of = w.spans(data, off)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(of))
+        feeds = np.concatenate(([0], np.cumsum(data == 0x0A)))
+        line = feeds[starts] + doc
+        digits = np.concatenate(([0], np.cumsum((data >= 0x30) & (data <= 0x39))))
+        token = w.hashes(data, starts, ends, 2)
+        self.masked = digits[ends] > digits[starts]
+        variable = np.frombuffer(VARIABLE.encode(), np.uint8)
+        token[self.masked] = w.hashes(variable, np.array([0]), np.array([len(variable)]), 2)[0]
+        new = np.ones(len(line), bool)
+        new[1:] = line[1:] != line[:-1]
+        self.data, self.starts, self.ends = data, starts, ends
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, len(line)))
+        self.doc = doc[self.first]
+        self.pos = line[self.first] - (feeds[off[:-1]] + np.arange(len(off) - 1))[self.doc]
+        leaf = w.mix(self.size.astype(U) * _constant(1))
+        for k in range(DEPTH):
+            has = self.size > k
+            leaf[has] = w.mix(leaf[has] * _constant(3) ^ token[self.first[has] + k])
+        self.leaf = leaf.view(np.int64)
+        place = np.arange(len(token)) - np.repeat(self.first, self.size)
+        self.bits = []
+        for seed in (5, 7):
+            each = w.mix(token ^ w.mix(place.astype(U) * _constant(seed) + _constant(seed + 1)))
+            total = np.add.reduceat(each, self.first) if len(each) else each
+            self.bits.append(w.mix(total + self.size.astype(U)).view(np.int64))
+
+    def text(self, k: int) -> str:
+        a, n = self.first[k], self.size[k]
+        tokens = [VARIABLE if m else self.data[s:e].tobytes().decode() for s, e, m in zip(self.starts[a : a + n], self.ends[a : a + n], self.masked[a : a + n], strict=True)]
+        return " ".join(tokens)
+
+
+def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line with words."""
+    for batch in batches:
+        for part in w.slices(batch, 2):
+            x = _Lines(part.column(2))
+            at = pa.array(x.doc)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(x.pos, pa.int32()), pa.array(x.leaf), *map(pa.array, x.bits)], names=["doc_id", "of", "pos", "leaf", "a", "b"])
+
+
+def _texts(sieve: Sieve):
+    """The masked lines whose leaf passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch, 0):
+                x = _Lines(part.column(0))
+                at = np.flatnonzero(sieve.passes(x.leaf))
+                _, one = np.unique(np.stack([b[at] for b in x.bits], 1), axis=0, return_index=True)
+                at = at[one]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.leaf[at]), *(pa.array(b[at]) for b in x.bits), pa.array(x.size[at], pa.int64()), pa.array([x.text(k) for k in at.tolist()], pa.string())],
+                    names=["leaf", "a", "b", "size", "masked"],
+                )
+
+    return w.tidy(run)
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (leaf, masked) rows, leaf by leaf; a leaf's rows are in one partition."""
-    leaf, held = None, []
+    """Sorted rows (leaf, key, part, masked), chunk by chunk; a chunk's rows are in one partition."""
+    chunk, held = None, []
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([leaf] * len(held), pa.int64()), pa.array(held, pa.string()), pa.array(parse(held), pa.string())], names=["leaf", "masked", "template"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk[0]] * len(held), pa.int64()), pa.array(held, pa.string()), pa.array(parse(held), pa.string())], names=["leaf", "masked", "template"])
 
     for batch in batches:
-        for x, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if x != leaf:
+        for *x, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if x != chunk:
                 if held:
                     yield done()
-                leaf, held = x, []
+                chunk, held = x, []
             held.append(m)
     if held:
         yield done()
 
 
-def _parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
-    tokens = F.filter(F.split("line", SPACE), lambda x: x != "")
-    rows = rows.select("doc_id", "pos", F.transform(tokens, lambda x: F.when(x.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(x)).alias("t")).where("size(t) > 0")
-    return rows.select("doc_id", "pos", F.xxhash64(F.size("t"), *(F.get("t", F.lit(k)) for k in range(DEPTH))).alias("leaf"), F.array_join("t", " ").alias("masked"))
-
-
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _parsed(scratch: Scratch, lines: DataFrame, key, chunk_tokens: int, name: str) -> DataFrame:
+    """leaf, masked, template of different lines (leaf, size, masked), in chunks of a leaf's lines of one key."""
+    keyed = lines.select("leaf", "size", "masked", key.alias("key"))
+    n = scratch.save(keyed.groupBy("leaf", "key").agg(F.ceil(F.sum("size") / F.lit(chunk_tokens)).alias("parts")), f"{name}-counts")
+    dealt = keyed.join(n, ["leaf", "key"]).select("leaf", "key", F.pmod(F.xxhash64("masked"), "parts").alias("part"), "masked")
+    dealt = dealt.repartition("leaf", "key", "part").sortWithinPartitions("leaf", "key", "part", "masked")
+    return scratch.save(dealt.mapInArrow(w.tidy(_templates), "leaf long, masked string, template string"), name)
+
+
+def templates(scratch: Scratch, lines: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """leaf, masked, template of different lines (leaf, size, masked)."""
+    at = lambda *places: F.xxhash64(*(F.get(F.split("masked", " "), F.lit(p) if p >= 0 else F.size(F.split("masked", " ")) + p) for p in places))
+    out = _parsed(scratch, lines, F.lit(0), chunk_tokens, "templates")
+    big = scratch.save(lines.groupBy("leaf").agg(F.sum("size").alias("tokens")).where(F.col("tokens") > chunk_tokens).select("leaf"), "big-leaves")
+    if big.isEmpty():
+        return out
+    for step, key in enumerate((F.lit(0), at(DEPTH, DEPTH + 1), at(-1, -2))):  # templates of leaves that were parsed in chunks are merged
+        some = out.join(big, "leaf", "left_semi").select("leaf", F.col("template").alias("masked")).distinct()
+        merged = _parsed(scratch, some.withColumn("size", F.size(F.split("masked", " "))), key, chunk_tokens, f"merge{step}")
+        merged = merged.select("leaf", F.col("masked").alias("template"), F.col("template").alias("into"))
+        out = scratch.save(out.join(merged, ["leaf", "template"], "left").select("leaf", "masked", F.coalesce("into", "template").alias("template")), f"templates{step}")
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, places of lines that go) as id, number of lines, of those gone, and the others' text."""
+    for batch in batches:
+        for part in w.slices(batch, 1):
+            n, k, kept = [], [], []
+            for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                lines = [] if text is None else text.split("\n")
+                drop = set(gone or ())
+                n.append(len(lines))
+                k.append(len(drop))
+                kept.append("\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else text or "")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, kept_text (kept lines joined by line feeds).
 
-    A null text has no lines; blank lines are of no template and stay. Rows that share an
-    id count as one document and lose the same lines. A null id is a document of its own,
-    larger than all others. An empty table gives an empty result. Other columns are not
-    read. Texts are read whole."""
+    A null text has no lines and an empty kept text; an empty text has one line. Blank
+    lines are of no template and stay. Rows that share an id count as one document, with
+    all their lines; repeated rows lose the same lines. Rows of no id count as one
+    document, larger than all others. Among documents with a line alike the smallest id
+    keeps it; among templates that a line agrees with equally the first by text wins. An
+    empty table gives an empty result. Other columns are not read, whatever their names.
+    Texts and lines are read whole, whatever their length."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
-    parsed = _parsed(docs, id_col, text_col)
-    many = parsed.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.col("doc_id").isNull()).alias("z")).where("a <> b or z").select("leaf")
-    many = scratch.save(many, "leaves")
-    sift = F.broadcast(many.select(F.pmod("leaf", F.lit(CELLS)).alias("_c")).distinct())
-    rows = parsed.join(sift, F.pmod("leaf", F.lit(CELLS)) == F.col("_c"), "left_semi").join(many, "leaf", "left_semi")
-    rows = scratch.save(rows.select("doc_id", "pos", "leaf", "masked"), "rows")
-    distinct = rows.select("leaf", "masked").distinct().repartition("leaf").sortWithinPartitions("leaf", "masked").select("leaf", "masked")
-    named = scratch.save(distinct.mapInArrow(_templates, "leaf long, masked string, template string"), "templates")
-    of = rows.join(named, ["leaf", "masked"]).select("doc_id", "pos", "leaf", "template")
-    per = of.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    gone = of.join(per, ["leaf", "template"]).where("not doc_id <=> first").groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    gone = scratch.save(gone.withColumnRenamed("doc_id", "_id"), "gone")
-    scratch.drop("leaves", "rows", "templates")
-    lines = F.split(F.col(text_col), "\n", -1)
-    j = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), lines.alias("l")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.filter("l", lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n = F.coalesce(F.size("l"), F.lit(0))
-    return j.select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("t").isNull() | F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda i: i < F.size("l")))).cast("long").alias("n_dropped"), F.coalesce(kept, F.lit("")).alias("kept_text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    keyed = src.select("doc_id", F.xxhash64("text").alias("of"), "text")  # of: tells texts of one id apart
+    lines = scratch.save(keyed.mapInArrow(w.tidy(_light), f"doc_id {kind}, of long, pos int, leaf long, a long, b long"), "lines")
+
+    several = "lo <> hi or (none and lo is not null)"
+    docs_of = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("none")]
+    different = scratch.save(lines.groupBy("a", "b").agg(F.min("leaf").alias("leaf"), *docs_of), "different")
+    leaves = different.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("none").alias("none")).where("n > 1").where(several)
+    leaves = scratch.save(leaves.select("leaf", "n"), "leaves")
+
+    sieve = Sieve(leaves.select("leaf"), leaves.count())
+    texts = src.select("text").mapInArrow(_texts(sieve), "leaf long, a long, b long, size long, masked string").join(leaves.select("leaf"), "leaf", "left_semi")
+    texts = scratch.save(texts.dropDuplicates(["a", "b"]), "texts")
+    named = templates(scratch, texts.select("leaf", "size", "masked"), chunk_tokens)
+    # the templates by name; lines that are alike up to their hashed bits have one text
+    of = texts.join(named, ["leaf", "masked"]).select("a", "b", F.xxhash64("leaf", "template").alias("t"), F.xxhash64("template", "leaf").alias("u"))
+    of = scratch.save(of, "of")
+    held = lines.select("a", "b", "doc_id").join(of, ["a", "b"]).select("t", "u", "doc_id").distinct()
+    recurring = scratch.save(held.groupBy("t", "u").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("t", "u", "first"), "recurring")
+    none = F.lit(None).cast(kind)
+    goes = different.where(several).select("a", "b", F.col("lo").alias("own"), none.alias("first")).unionByName(of.join(recurring, ["t", "u"]).select("a", "b", none.alias("own"), "first"))
+    goes = scratch.save(goes.groupBy("a", "b").agg(F.max("own").alias("own"), F.max("first").alias("first")), "goes")
+    other = lambda c: F.col(c).isNotNull() & ~F.col("doc_id").eqNullSafe(F.col(c))
+    gone = lines.join(goes, ["a", "b"]).where(other("own") | other("first")).groupBy("doc_id", "of").agg(F.collect_set("pos").alias("gone"))
+    gone = scratch.save(gone.select(F.col("doc_id").alias("id"), F.col("of").alias("text_of"), "gone"), "gone")
+    scratch.drop(*(x for x in scratch.names if x != "gone"))
+    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("text_of")), "left").select("doc_id", "text", "gone")
+    return both.mapInArrow(w.tidy(_cut), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

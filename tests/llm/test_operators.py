@@ -400,12 +400,71 @@ def test_archive(spark, monkeypatch):
 # -- lines -------------------------------------------------------------------------------------------
 
 
+def kept_lines(docs, min_docs=3):
+    """The lines that stay, by a tree of dictionaries and lists."""
+    masked = lambda line: ["<*>" if re.search("[0-9]", t) else t for t in WORD.findall(line)]
+    where: dict = {}
+    for i, text in docs:
+        for line in (text or "").split("\n"):
+            if m := tuple(masked(line)):
+                where.setdefault(m, set()).add(i)
+    leaves: dict = {}
+    for m in where:
+        leaves.setdefault((len(m), *m[:3]), []).append(m)
+    template = {}
+    for own in leaves.values():
+        found: list = []
+        for m in sorted(own, key=lambda m: " ".join(m).encode()):
+            best = next((f for f in found if sum(a == b for a, b in zip(f[0], m, strict=True)) >= 0.7 * len(m)), None)
+            if best is None:
+                best = [list(m), set()]
+                found.append(best)
+            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], m, strict=True)]
+            best[1] |= where[m]
+            template[m] = best
+    least = lambda ids: min(ids, key=lambda i: (i is None, i or 0))
+    out = []
+    for i, text in docs:
+        lines, kept = ([] if text is None else text.split("\n")), []
+        for line in lines:
+            m = tuple(masked(line))
+            alike = m and len(where[m]) > 1 and i != least(where[m])
+            recurs = m and len(template[m][1]) >= min_docs and i != least(template[m][1])
+            if not alike and not recurs:
+                kept.append(line)
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
 def test_drop_lines(spark):
     from sparkronym.llm import lines
 
     t = {1: "Page 1 of the long report\nown words here only", 2: "Page 22 of the long report\nother text", 3: "first\n\nPage 3 of the long report", 4: None, 5: "", 6: "own words here only", 7: "Page 4 of the long paper\nlast"}
     d = spark.createDataFrame([(i, x, 1) for i, x in t.items()] + [(None, "Page 9 of the long report", 1)], "doc_id long, text string, pos int")
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in lines.drop_lines(d).collect()}
-    assert got == {1: (2, 0, t[1]), 2: (2, 1, "other text"), 3: (3, 1, "first\n"), 4: (0, 0, ""), 5: (1, 0, ""), 6: (1, 0, t[6]), 7: (2, 1, "last"), None: (1, 1, "")}
+    assert got == {1: (2, 0, t[1]), 2: (2, 1, "other text"), 3: (3, 1, "first\n"), 4: (0, 0, ""), 5: (1, 0, ""), 6: (1, 1, ""), 7: (2, 1, "last"), None: (1, 1, "")}
     assert lines.drop_lines(empty(spark)).count() == 0
     assert lines.parse(["a b c d x", "a b c d y", "q r s t u"]) == ["a b c d <*>", "a b c d <*>", "q r s t u"]
+
+
+def test_drop_lines_like_brute_force(spark):
+    from sparkronym.llm import lines
+
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice(["a", "b", "c", "x1", "\tv\u00e4", "w\u3000w", "<*>"]) for _ in range(n))
+    pool = [say(r.choice((1, 2, 4, 7, 12))) for _ in range(60)] + ["", "  ", "\r", "long " * 3000]
+    rows = [(i % 70 if i % 9 else None, "\n".join(r.choice(pool) if r.random() < 0.5 else say(r.choice((1, 3, 6, 10))) for _ in range(r.randrange(8)))) for i in range(90)]
+    rows += rows[:5] + [(500, None), (501, ""), (502, "\n\n"), (None, None)]
+    d = spark.createDataFrame([(i, x, 0, 0) for i, x in rows], "doc_id long, text string, of int, gone int").repartition(3)
+    got = sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["kept_text"]) for x in lines.drop_lines(d).collect()), key=str)
+    assert got == kept_lines(rows)
+    assert sum(x[2] for x in got) > 50
+
+
+def test_a_large_leaf_is_parsed_in_chunks(spark):
+    """Thousands of values of one field, more than a chunk holds, still make one template."""
+    from sparkronym.llm import lines
+
+    d = spark.createDataFrame([(i, f"Written by the user {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} for the club") for i in range(600)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_lines(d, chunk_tokens=200).collect()}
+    assert got == {i: int(i > 0) for i in range(600)}
