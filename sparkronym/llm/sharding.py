@@ -6,18 +6,24 @@ moves goes through the hub at a cost of 1 a byte. Successive shortest paths solv
 the hub's flow is taken apart into transfers from shard to shard. Blocks of rows (those
 of one old shard and size) then fulfil the transfers, the largest first, each to where
 most is still missing, so that what is left over is about one small row.
+
+Then files are rewritten: those of shards that give rows, without these; shards that take
+rows get further files. Rows that repeat id and text are one row with a number until the
+end, so that no group of them is held by one task.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from sparkronym.llm.common import Scratch, delete, ship
+from sparkronym.llm.common import Scratch, names, ship
+from sparkronym.llm.sieve import Sieve
 
 LAWS = ("bytes", "rows", "key")
 
@@ -123,6 +129,66 @@ def _deal(moves: dict[tuple[int, int], int]):
     return deal
 
 
+#: Rows with one block number, about; blocks are numbered one by one.
+BLOCK_ROWS, MOST_BLOCKS = 800, 1 << 16
+#: What tells rows apart here; rows that agree in it are alike.
+ROW = ["_id", "text_crc32", "size", "old_shard"]
+
+
+def _numbered(rows: DataFrame, blocks: int, by: list[str], name: str) -> DataFrame:
+    """rows (ROW and c) with the number of copies that come before in the same values of by, in an order of the ids' hashes.
+
+    Counted by blocks of ids, then inside of each."""
+    b = rows.withColumn("_b", F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(blocks)))
+    per = b.groupBy(*by, "_b").agg(F.sum("c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).drop("_n")
+    order = [F.xxhash64(F.lit(1), "_id"), F.col("_id"), F.col("text_crc32"), F.col("size"), F.col("old_shard")]
+    inside = F.coalesce(F.sum("c").over(W.partitionBy(*by, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return b.withColumn("_in", inside).join(per, [*by, "_b"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
+
+
+def _described(docs: DataFrame, id_col: str, text_col: str, old: Column) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("_id"), F.crc32(text).alias("text_crc32"), (F.octet_length(text) + 1).cast("long").alias("size"), old.cast("int").alias("old_shard"))
+
+
+def _blocks(rows: DataFrame) -> int:
+    return int(min(MOST_BLOCKS, max(16, rows.count() // BLOCK_ROWS)))
+
+
+def plan(scratch: Scratch, docs: DataFrame, n_new: int, law: str, old: Column, n_old: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """ROW, shard, grown_shard and c: how many rows that are alike go from their old shard to which."""
+    rows = scratch.save(_described(docs, id_col, text_col, old).groupBy(*ROW).agg(F.count("*").alias("c")), "rows")
+    if law == "key":
+        own = lambda n: F.array_max(F.array(*(F.struct(F.xxhash64(F.lit("shard"), "_id", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(n))))["j"]
+        return scratch.save(rows.withColumn("shard", own(n_new)).withColumn("grown_shard", own(n_new + 1)), "plan")
+    m = F.col("size") if law == "bytes" else F.lit(1).cast("long")
+    rows = rows.withColumn("m", m)
+    held = {r["old_shard"]: int(r["m"]) for r in rows.groupBy("old_shard").agg(F.sum(F.col("m") * F.col("c")).alias("m")).collect()}
+    sizes = [held.get(i, 0) for i in range(n_old)]
+    moves = transfers(sizes, capacities(sum(sizes), n_new))
+    groups = rows.groupBy(F.col("old_shard").alias("old"), "m").agg(F.sum("c").alias("n"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("old", "m", "lo", "hi", "shard")])
+    dealt = scratch.save(groups.groupBy("old").applyInPandas(_deal(moves), schema), "dealt")
+    # of equal size, rows are numbered; a range of numbers goes to a shard
+    ranges = dealt.groupBy(F.col("old").cast("int").alias("old_shard"), "m").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("to"))
+    ranges = scratch.save(ranges, "ranges")
+    at = _numbered(rows, _blocks(rows), ["old_shard", "m"], "at").join(ranges, ["old_shard", "m"])
+    part = F.transform("to", lambda x: F.struct(x["shard"].cast("int").alias("shard"), (F.least(x["hi"], F.col("at") + F.col("c")) - F.greatest(x["lo"], F.col("at"))).alias("c")))
+    out = at.select(*ROW, F.explode(F.filter(part, lambda x: x["c"] > 0)).alias("p")).select(*ROW, "p.shard", F.lit(None).cast("int").alias("grown_shard"), "p.c")
+    return scratch.save(out, "plan")
+
+
+def _slots(scratch: Scratch, rows: DataFrame, law: str, id_col: str) -> DataFrame:
+    """A row for each of c alike, with slots that count from 0 in each shard."""
+    rows = scratch.save(_numbered(rows, _blocks(rows), ["shard"], "at"), "placed")
+    step = 1024  # rows that are alike come back in portions, so that no array is as long as a group
+    out = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / step))))
+    out = out.withColumn("_i", F.explode(F.sequence(F.col("_k") * step, F.least(F.col("c"), (F.col("_k") + 1) * step) - 1)))
+    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit(law).alias("law"), "old_shard", "shard", (F.col("at") + F.col("_i")).alias("slot"), "grown_shard")
+
+
 def reshard(
     docs: DataFrame, n_new: int, law: str = "bytes", old=None, n_old: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -135,78 +201,109 @@ def reshard(
     shard, so that id and count decide, and a further shard takes rows only into itself
     (grown_shard); old shards then don't matter.
     size is the UTF-8 bytes of the text plus 1; a null text has 1, and crc 0. Null ids are
-    ids like others. Repeated rows each get their slot. An empty table gives an empty
-    result. Slots count from 0 in each shard without gaps.
+    ids like others. Repeated rows each get their slot; ties of the order are broken by
+    id, crc and size. An empty table gives an empty result. Other columns are not read,
+    whatever their names. Slots count from 0 in each shard without gaps.
     Tables on the driver have a row for each old and new shard; all else is counted,
     summed and numbered by blocks, of which a group of equal texts has many."""
     if law not in LAWS:
         raise ValueError(f"law is one of {LAWS}")
-    spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "sharding")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "sharding")
     n_old = n_old or n_new
-    crc = F.crc32(text)
-    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"), (F.pmod(F.xxhash64(F.lit("old"), id_col), F.lit(n_old)) if old is None else F.col(old)).cast("int").alias("old_shard"))
-    rows = scratch.save(rows, "rows")
-    blocks = int(min(4096, max(16, rows.count() // 800)))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(blocks)))
-    order = [F.xxhash64(F.lit(1), "_id"), F.col("_id"), F.col("text_crc32")]
-    if law == "key":
-        own = lambda n: F.array_max(F.array(*(F.struct(F.xxhash64(F.lit("shard"), "_id", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(n))))["j"]
-        placed = rows.withColumn("shard", own(n_new)).withColumn("grown_shard", own(n_new + 1))
-    else:
-        m = F.col("size") if law == "bytes" else F.lit(1).cast("long")
-        rows = rows.withColumn("m", m)
-        held = {r["old_shard"]: int(r["m"]) for r in rows.groupBy("old_shard").agg(F.sum("m").alias("m")).collect()}
-        sizes = [held.get(i, 0) for i in range(n_old)]
-        moves = transfers(sizes, capacities(sum(sizes), n_new))
-        part = scratch.save(rows.groupBy("old_shard", "m", "_b").agg(F.count("*").alias("n")), "parts")
-        groups = part.groupBy(F.col("old_shard").alias("old"), "m").agg(F.sum("n").alias("n"))
-        schema = T.StructType([T.StructField(c, T.LongType()) for c in ("old", "m", "lo", "hi", "shard")])
-        dealt = scratch.save(groups.groupBy("old").applyInPandas(_deal(moves), schema), "dealt")
-        # of equal size, rows are numbered by block and within it; a range of numbers goes to a shard
-        ranges = dealt.groupBy("old", "m").agg(F.array_sort(F.collect_list(F.struct("hi", "shard"))).alias("to"))
-        before = F.coalesce(F.sum("n").over(W.partitionBy("old_shard", "m").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        start = scratch.save(part.withColumn("before", before).join(ranges, (F.col("old_shard") == F.col("old")) & (part["m"] == ranges["m"])).select("old_shard", part["m"], "_b", "before", "to"), "start")
-        number = F.row_number().over(W.partitionBy("old_shard", "m", "_b").orderBy(*order)) - 1
-        placed = rows.withColumn("_r", number).join(start, ["old_shard", "m", "_b"])
-        placed = placed.withColumn("shard", F.filter("to", lambda x: x["hi"] > F.col("before") + F.col("_r"))[0]["shard"].cast("int")).withColumn("grown_shard", F.lit(None).cast("int"))
-    placed = scratch.save(placed.select("_id", "size", "text_crc32", "old_shard", "shard", "grown_shard", "_b"), "placed")
-    per = placed.groupBy("shard", "_b").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("before", before).select("shard", "_b", "before")
-    slot = (F.row_number().over(W.partitionBy("shard", "_b").orderBy(*order)) - 1).cast("long")
-    out = placed.withColumn("_r", slot).join(per, ["shard", "_b"])
-    scratch.drop("rows", "parts", "dealt", "start")
-    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit(law).alias("law"), "old_shard", "shard", (F.col("before") + F.col("_r")).alias("slot"), "grown_shard")
-
-
-def rewrite(docs: DataFrame, placed: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Writes rows into root/shard=N, only for shards that rows enter or leave; returns those shards.
-
-    Folders of shards that all rows leave are deleted, after the others are written; other
-    folders of root stay as they are. placed is reshard's result for these docs: null ids
-    are ids like others there, and of repeated ids each row has its slot here too. Rows go
-    to their shard's file in the order of their slots."""
-    moved = placed.where("old_shard <> shard")
-    hit = sorted({r[0] for r in moved.select("old_shard").distinct().collect()} | {r[0] for r in moved.select("shard").distinct().collect()})
-    filled = {r[0] for r in placed.select("shard").distinct().collect()}
-    # rows of one id and text are numbered on both sides, so that each meets one slot
-    left = docs.withColumn("_crc", F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
-    left = left.withColumn("_k", F.row_number().over(W.partitionBy(id_col, "_crc").orderBy(text_col)))
-    right = placed.select(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc2"), "shard", "slot")
-    right = right.withColumn("_k2", F.row_number().over(W.partitionBy("_id", "_crc2").orderBy("shard", "slot"))).where(F.col("shard").isin(hit))
-    rows = left.join(right, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_crc2")) & (F.col("_k") == F.col("_k2"))).drop("_id", "_crc", "_crc2", "_k", "_k2")
-    rows = rows.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(root)
-    for shard in hit:
-        if shard not in filled:
-            delete(docs.sparkSession, f"{root}/shard={shard}")
-    return hit
+    placed = plan(scratch, docs, n_new, law, dealt_by_id(id_col, n_old) if old is None else F.col(old), n_old, id_col, text_col)
+    out = _slots(scratch, placed, law, id_col)
+    scratch.drop(*(x for x in scratch.names if x != "placed"))
+    return out
+
+
+def dealt_by_id(id_col: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("old"), id_col), F.lit(n)).cast("int")
+
+
+def store(docs: DataFrame, root: str, shard: Column, shard_col: str = "shard") -> None:
+    """Writes docs into root/<shard_col>=N; docs may not have a column of that name."""
+    docs.withColumn(shard_col, shard).write.option("compression", "zstd").partitionBy(shard_col).parquet(root)
+
+
+def read_store(spark: SparkSession, root: str, schema: T.StructType, shard_col: str = "shard") -> DataFrame:
+    return spark.read.schema(T.StructType([*(f for f in schema if f.name != shard_col), T.StructField(shard_col, T.IntegerType())])).parquet(root)
+
+
+def rewrite(spark: SparkSession, root: str, schema: T.StructType, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> list[int]:
+    """Moves rows between the shards of a store, rewriting only files that this affects; returns the shards that rows enter or leave.
+
+    placed: the plan for the rows of root (schema: without or with shard_col). Shards that
+    give rows are written anew without them, those that take rows get further files, all
+    others stay as they are. Everything is written beside root first; old files go only
+    after that. Most rows that stay never meet the plan: it is asked, in a join, only for
+    rows that pass a sieve of those that move. Null ids are ids like others; of rows that
+    repeat id and text, as many go as the plan says. Rows of a null shard stay.
+    Columns of any name but shard_col are kept as they are."""
+    ship(spark)
+    scratch = Scratch(spark, "rewrite")
+    moves = placed.where("old_shard <> shard")
+    pairs = [tuple(r) for r in moves.select("old_shard", "shard").distinct().collect()]  # at most old times new shards
+    givers, takers = sorted({i for i, _ in pairs}), sorted({j for _, j in pairs})
+    if not pairs:
+        return []
+    keys = moves.select(*ROW).distinct()
+    sieve = Sieve(keys.select(F.xxhash64("_id", "text_crc32").alias("key")), keys.count())
+
+    @F.pandas_udf("boolean")
+    def passes(key: pd.Series) -> pd.Series:
+        return pd.Series(sieve.passes(key.to_numpy()))
+
+    rows = read_store(spark, root, schema, shard_col).where(F.col(shard_col).isin(givers))
+    key, row, at, copies, num, k, to = names(rows, "key", "row", "at", "copies", "num", "k", "to")
+    crc = F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    asked = rows.withColumn(key, passes(F.xxhash64(F.col(id_col), crc)))
+    stay = asked.where(~F.col(key)).drop(key)
+    # the others, numbered among rows that are alike: by portions of them, then inside of each
+    size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) + 1
+    own = F.struct(F.col(id_col).alias("_id"), crc.alias("text_crc32"), size.cast("long").alias("size"), F.col(shard_col).alias("old_shard"))
+    asked = scratch.save(asked.where(key).withColumn(key, own).withColumn(row, F.monotonically_increasing_id()).withColumn(at, F.shiftright(F.col(row), 10)), "asked")
+    portion = asked.groupBy(key, at).agg(F.count("*").alias(num))
+    before = F.coalesce(F.sum(num).over(W.partitionBy(key).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    portion = scratch.save(portion.select(F.col(key).alias(k), F.col(at).alias(copies), before.alias(to)), "portions")
+    numbered = asked.withColumn(num, F.row_number().over(W.partitionBy(key, at).orderBy(row)) - 1)
+    numbered = numbered.join(portion, F.col(key).eqNullSafe(F.col(k)) & (F.col(at) == F.col(copies))).withColumn(num, F.col(num) + F.col(to)).drop(k, copies, to)
+    targets = placed.groupBy(F.struct(*ROW).alias("k")).agg(F.array_sort(F.collect_list(F.struct("shard", "c"))).alias("to"), F.max(F.col("old_shard") != F.col("shard")).alias("moves")).where("moves")
+    upto = F.transform("to", lambda x, i: F.struct(F.aggregate(F.slice("to", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, y: s + y["c"]).alias("hi"), x["shard"].alias("shard")))
+    targets = scratch.save(targets.select(F.col("k").alias(k), upto.alias(to)), "targets")
+    found = numbered.join(targets, F.col(key).eqNullSafe(F.col(k)), "left").withColumn(copies, F.filter(to, lambda x: x["hi"] > F.col(num))[0]["shard"])
+    went = found.withColumn(shard_col, F.coalesce(copies, shard_col)).select(*rows.columns)
+    staged = scratch.path("staged")
+    stay.unionByName(went).write.option("compression", "zstd").partitionBy(shard_col).parquet(staged)
+    fs, path = _files(spark, root)
+    for j in sorted({*givers, *takers}):
+        new, place = path(f"{staged}/{shard_col}={j}"), path(f"{root}/{shard_col}={j}")
+        if j in givers:
+            fs.delete(place, True)
+        if fs.exists(new):
+            fs.mkdirs(place)
+            for f in fs.listStatus(new):
+                fs.rename(f.getPath(), path(f"{root}/{shard_col}={j}/{f.getPath().getName()}"))
+    scratch.close()
+    return sorted({*givers, *takers})
+
+
+def _files(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents from 12 old shards into 16 of near equal bytes."""
+    """All documents from 12 old shards into 16 of near equal bytes: written, planned, rewritten and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return reshard(docs, 16, "bytes", n_old=12)
+    scratch = Scratch(spark, "op8")
+    root = scratch.path("shards")
+    store(docs, root, dealt_by_id("doc_id", 12))
+    held = read_store(spark, root, docs.schema)
+    placed = plan(scratch, held, 16, "bytes", F.col("shard"), 12)
+    rewrite(spark, root, docs.schema, placed)
+    back = _described(read_store(spark, root, docs.schema), "doc_id", "text", F.col("shard")).withColumn("shard", F.col("old_shard"))
+    back = back.groupBy(*ROW, "shard").agg(F.count("*").alias("c")).withColumn("grown_shard", F.lit(None).cast("int"))
+    out = _slots(scratch, scratch.save(back, "back"), "bytes", "doc_id").drop("old_shard")
+    scratch.drop("shards", *(x for x in scratch.names if x != "placed"))
+    return out

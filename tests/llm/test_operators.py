@@ -317,25 +317,50 @@ def test_reshard(spark, law):
     assert sharding.reshard(empty(spark), 4, law).count() == 0
 
 
-def test_rewrite(spark, tmp_path):
-    d = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 9).alias("text"), (F.col("id") % 2).cast("int").alias("old"))
-    placed = sharding.reshard(d, 3, "rows", old="old", n_old=2)
-    assert sharding.rewrite(d, placed, str(tmp_path)) == [0, 1, 2]
-    back = spark.read.parquet(str(tmp_path))
-    assert back.count() == 40 and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
-
-
-def test_rewrite_shrinks_and_keeps_null_ids(spark, tmp_path):
-    rows = [(i if i % 5 else None, "x" * (i % 7), i % 4) for i in range(40)] + [(1, "x", 1), (1, None, 3)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, old int")
-    want = sorted((str(i), str(t)) for i, t, _ in rows)
+def stored(spark, rows, root, names="doc_id long, text string, row string, key int"):
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t, _ in rows], names)
+    whole = spark.createDataFrame([(i, t, "x", 1, o) for i, t, o in rows], names + ", shard int")
+    whole.repartition(3).write.partitionBy("shard").parquet(root)
+    return d
+
+
+@pytest.mark.parametrize(("n_old", "n_new", "law"), [(2, 3, "rows"), (4, 2, "rows"), (3, 5, "bytes"), (3, 3, "bytes")])
+def test_rewrite(spark, tmp_path, n_old, n_new, law):
+    r = random.Random(n_old)
+    rows = [(i if i % 5 else None, "\u00e9" * r.randrange(30), r.randrange(n_old)) for i in range(60)] + [(1, "x", 1), (1, None, 0)] + [(7, "alike", i % n_old) for i in range(40)]
     root = str(tmp_path / "shards")
-    d.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(root)
-    placed = sharding.reshard(d, 2, "rows", old="old", n_old=4)
-    assert sharding.rewrite(d, placed, root) == [0, 1, 2, 3]
-    back = spark.read.parquet(root)
-    assert sorted((str(r["doc_id"]), str(r["text"])) for r in back.collect()) == want
-    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 21, 1: 21}
+    d = stored(spark, rows, root)
+    own = lambda: sharding.read_store(spark, root, d.schema)
+    before = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "shards").iterdir() if p.is_dir()}
+    placed = sharding.plan(Scratch(spark, "t"), own(), n_new, law, F.col("shard"), n_old)
+    size = lambda t: len((t or "").encode()) + 1 if law == "bytes" else 1
+    old = [sum(size(t) for _, t, o in rows if o == k) for k in range(n_old)]
+    want = sharding.capacities(sum(old), n_new)
+    moved = sum(x["c"] * (x["size"] if law == "bytes" else 1) for x in placed.where("old_shard <> shard").collect())
+    least = sum(max(0, a - b) for a, b in itertools.zip_longest(old, want, fillvalue=0))
+    largest = max(size(t) for _, t, _ in rows)
+    assert abs(moved - least) <= n_old * (largest if law == "bytes" else 0)
+    hit = sharding.rewrite(spark, root, d.schema, placed)
+    back = own().collect()
+    assert sorted(map(str, ((x["doc_id"], x["text"], x["row"], x["key"]) for x in back))) == sorted(str((i, t, "x", 1)) for i, t, _ in rows)
+    got = [sum(size(x["text"]) for x in back if x["shard"] == k) for k in range(n_new)]
+    assert all(abs(a - b) <= (2 if law == "bytes" else 0) for a, b in zip(got, want, strict=True)) and {x["shard"] for x in back} <= set(range(n_new))
+    for k in range(n_old):  # shards that nothing enters or leaves keep their files; those that only take keep theirs too
+        now = {f.name for f in (tmp_path / "shards" / f"shard={k}").iterdir()} if (tmp_path / "shards" / f"shard={k}").is_dir() else set()
+        assert k in hit or now == before[f"shard={k}"]
+    assert sharding.rewrite(spark, root, d.schema, sharding.plan(Scratch(spark, "t2"), own(), n_new, "rows", F.col("shard"), n_new).where("false")) == []
+
+
+def test_reshard_near_equal_bytes(spark):
+    """As equal as a brute-force fill, the largest to the least filled, makes them."""
+    r = random.Random(3)
+    rows = [(i, "y" * min(3000, int(10 * r.paretovariate(1)))) for i in range(700)]
+    got = sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), 5, "bytes", n_old=3).collect()
+    have = [sum(x["size"] for x in got if x["shard"] == k) for k in range(5)]
+    fill = [0] * 5
+    for n in sorted((len(t) + 1 for _, t in rows), reverse=True):
+        fill[fill.index(min(fill))] += n
+    assert max(have) - min(have) <= max(fill) - min(fill) + 12
 
 
 # -- mixing ------------------------------------------------------------------------------------------
