@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkronym.llm import words as w
 from sparkronym.llm.common import Scratch, ship
 from sparkronym.llm.graph import components
 
@@ -29,9 +30,9 @@ from sparkronym.llm.graph import components
 DIRECTIONS, CELL_DIRECTIONS = 16, 4
 #: Bytes of a block's vectors, its rows at most, rows of a leaf, and blocks in an interval one level up.
 BLOCK_BYTES, BLOCK_ROWS, LEAF, FAN = 1 << 19, 2048, 256, 16
-#: Beyond this length vectors are turned by a fixed random basis, which needs no moments of that size.
-MOMENTS = 1024
-SLACK = 1e-9
+#: Readings of the vectors by which the directions are found.
+PASSES = 4
+SLACK = 1e-7
 
 
 def matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -58,51 +59,50 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _moments(dim: int):
+def _moments(dim: int, q: np.ndarray):
+    """The part of a partition in the second moments times q."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = np.zeros((dim, dim))
+        s = np.zeros(q.shape)
         for batch in batches:
             x = unit(matrix(batch.column(0), dim)) if len(batch) else np.zeros((0, dim))
-            s += x.T @ x
+            s += x.T @ (x @ q)
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], names=["m"])
 
-    return run
-
+    return w.tidy(run)
 
-def _add(dim: int):
-    def run(rows):
-        import pandas as pd
 
-        total = np.zeros((dim, dim))
-        for m in rows["m"]:
-            total += np.frombuffer(m).reshape(dim, dim)
-        return pd.DataFrame({"m": [total.tobytes()]})
+def _add(rows):
+    import pandas as pd
 
-    return run
+    return pd.DataFrame({"m": [np.sum([np.frombuffer(m) for m in rows["m"]], 0).tobytes()]})
 
 
 def basis(vectors: DataFrame, dim: int) -> np.ndarray:
-    """The leading principal directions as columns; any orthonormal ones would be right."""
-    q = min(DIRECTIONS, dim)
-    if dim > MOMENTS:
-        return np.linalg.qr(np.random.default_rng(0).normal(size=(dim, q)))[0]
-    m = vectors.select("v").mapInArrow(_moments(dim), "m binary")
-    m = m.withColumn("g", F.shiftright(F.monotonically_increasing_id(), 33) % 64).groupBy("g").applyInPandas(_add(dim), "m binary")
-    total = sum(np.frombuffer(r[0]).reshape(dim, dim) for r in m.collect())
-    return np.linalg.eigh(total)[1][:, ::-1][:, :q]
+    """The leading principal directions as columns, by PASSES block power steps, of which each reads the vectors once
+    and adds up a matrix of dim times as many directions. Any orthonormal columns would give right results."""
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(dim, min(DIRECTIONS, dim))))[0]
+    for _ in range(PASSES):
+        m = vectors.select("v").mapInArrow(_moments(dim, q), "m binary")
+        m = m.withColumn("g", F.shiftright(F.monotonically_increasing_id(), 33) % 64).groupBy("g").applyInPandas(_add, "m binary")
+        total = sum((np.frombuffer(r[0]).reshape(q.shape) for r in m.toLocalIterator()), np.zeros(q.shape))
+        q = np.linalg.qr(total + 1e-12 * q)[0]
+    return q
 
 
 def _place(dim: int, q: np.ndarray, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = unit(matrix(batch.column(2), dim)) @ q if len(batch) else np.zeros((0, q.shape[1]))
+            # lengths of what the directions leave out differ by no more than vectors do: one more side of the boxes
+            z = np.column_stack((z, np.sqrt(np.maximum(0, 1 - (z * z).sum(1)))))
             c = np.floor(z[:, :CELL_DIRECTIONS] / eps).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(list(c), pa.list_(pa.int64())), pa.array(z[:, 0]), pa.array([r.tobytes() for r in z], pa.binary())],
                 names=["row", "copies", "v", "cell", "first", "z"],
             )
 
-    return run
+    return w.tidy(run)
 
 
 def _blocks(most: int, q: int):
@@ -136,7 +136,7 @@ def _blocks(most: int, q: int):
         if n:
             yield cut(held)
 
-    return run
+    return w.tidy(run)
 
 
 def far(lo_a, hi_a, lo_b, hi_b, eps: float) -> bool:
@@ -274,7 +274,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         placed = scratch.save(placed, f"placed{dim}")
         want = max(1, -(-placed.count() // (4 * most)))
         order = placed.repartitionByRange(want, "cell", "first", "row").sortWithinPartitions("cell", "first", "row")
-        blocks = order.select("row", "copies", "v", "z").mapInArrow(_blocks(most, q.shape[1]), "rows binary, copies binary, v binary, z binary, lo array<double>, hi array<double>")
+        blocks = order.select("row", "copies", "v", "z").mapInArrow(_blocks(most, q.shape[1] + 1), "rows binary, copies binary, v binary, z binary, lo array<double>, hi array<double>")
         blocks = scratch.save(blocks.withColumn("id", F.monotonically_increasing_id()), f"unnumbered{dim}")
         # ids ascend with the sequence; intervals need them without gaps, by the numbers of blocks of each partition
         parts = [r["p"] for r in blocks.groupBy(F.shiftright("id", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()]
@@ -289,7 +289,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         uses = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         uses = uses.select("i", "j", "block", (F.col("block") != F.col("i")).cast("int").alias("side"))
         tasks = uses.join(blocks.select("block", "rows", "copies", "v", "z"), "block").drop("block")
-        join_pair = _join_pair(dim, q.shape[1], cosine, eps)
+        join_pair = _join_pair(dim, q.shape[1] + 1, cosine, eps)
         got = scratch.save(tasks.groupBy("i", "j").applyInPandas(join_pair, "x long, y long, c long"), f"found{dim}")
         found = got if found is None else found.unionByName(got)
         scratch.drop(f"placed{dim}", f"unnumbered{dim}")

@@ -13,8 +13,9 @@ their words, and no other; none that repeats is lost. Of marked documents with t
 words from end to end, by their digest, one goes on to be grouped, as the windows of the
 others are its own.
 
-The sketch has CELLS cells for each anchor. It is broadcast up to MOST_BITS; a larger one
-is made and asked in parts, by ranges of the anchors' hashes, over the stored anchors.
+The sketch has CELLS cells for each anchor and MOST_BITS at most, which is what is
+broadcast, whatever the input's size: beyond some 130 million anchors it overestimates
+more of them, so that more windows are grouped; none that repeats is ever lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from sparkronym.llm.common import Scratch, ship
 
 WINDOW = 50
 RUN = 13
-#: Rows of the sketch, its cells in each row for an anchor, and bits of a part of it at most (64 MB).
+#: Rows of the sketch, its cells in each row for an anchor, and bits of it at most (64 MB).
 ROWS, CELLS, MOST_BITS = 2, 4, 1 << 29
 SLAB = 20
 U = np.uint64
@@ -89,15 +90,13 @@ def _gather(k: int):
                 a = a[new]
                 yield pa.RecordBatch.from_arrays([pa.array([len(a)], pa.int64()), pa.array([a.tobytes()], pa.binary())], names=["n", "anchors"])
 
-    return run
+    return w.tidy(run)
 
 
-def _sketch(bits: int, parts: int, part: int):
+def _sketch(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a = np.frombuffer(b"".join(batch.column(0).to_pylist()), U)
-            if parts > 1:
-                a = a[w.mix(a) % U(parts) == part]
             out = {"slab": [], "cells": [], "counts": []}
             for row in range(ROWS):
                 cell, n = np.unique(cells(a, row, bits), return_counts=True)
@@ -110,7 +109,7 @@ def _sketch(bits: int, parts: int, part: int):
                         out["counts"].append(np.minimum(m, 2).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["slab"], pa.int64()), pa.array(out["cells"], pa.binary()), pa.array(out["counts"], pa.binary())], names=["slab", "cells", "counts"])
 
-    return run
+    return w.tidy(run)
 
 
 def _merge(key, rows):
@@ -123,14 +122,14 @@ def _merge(key, rows):
     return pd.DataFrame({"slab": [key[0]], "bits": [np.packbits(count >= 2, bitorder="little").tobytes()]})
 
 
-def _build(spark: SparkSession, stored: DataFrame, bits: int, parts: int, part: int):
+def _build(spark: SparkSession, stored: DataFrame, bits: int):
     merged = (
-        stored.select("anchors").mapInArrow(_sketch(bits, parts, part), "slab long, cells binary, counts binary")
+        stored.select("anchors").mapInArrow(_sketch(bits), "slab long, cells binary, counts binary")
         .groupBy("slab").applyInPandas(_merge, "slab long, bits binary")
     )
     size = max(1 << SLAB, 1 << bits) // 8
     rows = [bytearray(size) for _ in range(ROWS)]
-    for slab, b in merged.collect():  # as many bits as are broadcast
+    for slab, b in merged.toLocalIterator():  # as many bits as are broadcast
         at = (slab & 0xFFFFFFFF) * ((1 << SLAB) // 8)
         rows[slab >> 32][at : at + len(b)] = b
     return spark.sparkContext.broadcast([bytes(r) for r in rows])
@@ -145,11 +144,11 @@ def _asked(sketch: list[bytes], bits: int, a: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _mark(k: int, sketches: list, bits: int, every: bool):
+def _mark(k: int, sketch, bits: int, every: bool):
     """Per row its words, the digest of all of them and, where a window may repeat, the text and those windows as runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = [s.value for s in sketches]
+        use = sketch.value
         for batch in batches:
             for part in w.slices(batch, "text"):
                 x = _Words(part.column(1), k)
@@ -159,11 +158,7 @@ def _mark(k: int, sketches: list, bits: int, every: bool):
                 new[1:] = a[1:] != a[:-1]
                 group = np.cumsum(new) - 1
                 once = a[new]
-                hit = np.zeros(len(once), bool)
-                which = w.mix(once) % U(len(use))
-                for p, s in enumerate(use):
-                    own = which == p
-                    hit[own] = _asked(s, bits, once[own])
+                hit = _asked(use, bits, once)
                 hit = hit[group] if len(a) else np.zeros(0, bool)
                 at, doc = x.windows[hit] - x.of[doc[hit]], doc[hit]
                 first = np.ones(len(at), bool)
@@ -188,7 +183,7 @@ def _mark(k: int, sketches: list, bits: int, every: bool):
                     names=["doc_id", "n_words", "sha", "text", "runs"],
                 )
 
-    return run
+    return w.tidy(run)
 
 
 def _windows(k: int):
@@ -217,7 +212,7 @@ def _windows(k: int):
                     names=["a", "b", "doc_id", "row", "at"],
                 )
 
-    return run
+    return w.tidy(run)
 
 
 def _cut(k: int):
@@ -240,7 +235,7 @@ def _cut(k: int):
                 names=["row", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    return run
+    return w.tidy(run)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most_bits: int = MOST_BITS) -> DataFrame:
@@ -257,18 +252,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     texts = docs.select(F.col(text_col).alias("text"))
     stored = scratch.save(texts.mapInArrow(_gather(window), "n long, anchors binary"), "anchors", "uncompressed")
     total = stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    want = max(1 << SLAB, total * CELLS)
-    most = max(1 << SLAB, most_bits // ROWS)
-    parts = -(-want // most)
-    bits = max(SLAB, int(np.ceil(np.log2(-(-want // parts)))))
-    sketches = [_build(spark, stored, bits, parts, p) for p in range(parts)]
+    # the largest power of two within the bound, or the least that has CELLS for each anchor
+    bits = max(SLAB, min(int(most_bits // ROWS).bit_length() - 1, int(max(1, total * CELLS) - 1).bit_length()))
+    sketch = _build(spark, stored, bits)
     marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = marked.schema["doc_id"].dataType.simpleString()
-    marked = marked.mapInArrow(_mark(window, sketches, bits, with_text), f"doc_id {id_type}, n_words long, sha string, text binary, runs array<long>")
+    marked = marked.mapInArrow(_mark(window, sketch, bits, with_text), f"doc_id {id_type}, n_words long, sha string, text binary, runs array<long>")
     marked = scratch.save(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
     scratch.drop("anchors")
-    for s in sketches:
-        s.destroy()
+    sketch.destroy()
 
     # rows of the same words as one of a smaller id are removed as a whole: each of their windows starts there too
     light = marked.where((F.size("runs") > 0) & (F.col("n_words") >= window)).select("row", "doc_id", "sha")
@@ -277,8 +269,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     some = marked.where("size(runs) > 0").join(copies, "row", "left_anti").select("doc_id", "row", "text", "runs")
     rows = some.mapInArrow(_windows(window), f"a long, b long, doc_id {id_type}, row long, at int")
-    first = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    hit = rows.join(first, ["a", "b"]).where("first is not null and (doc_id is null or first < doc_id)")
+    first = rows.select("a", "b", "doc_id").groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    # written, so that the join deals both sides anew and a window of many documents can be split
+    first = scratch.save(first.select("a", "b", "first"), "first")
+    hit = rows.join(first, ["a", "b"]).where("doc_id is null or first < doc_id")
     places = hit.groupBy("row").agg(F.collect_list("at").alias("at"))
     cut = some.select("row", "text").join(places, "row").select("row", "text", "at")
     cut = scratch.save(cut.mapInArrow(_cut(window), "row long, n_removed long, kept_sha256 string, kept_text string").select("row", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])), "cut")

@@ -25,7 +25,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,14 +72,23 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def urn(page_id: str | None) -> str:
+    """A name for a page; that of no page_id is like none of an id."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id)}>"
+
+
+def page_of(name: str | None) -> str | None:
+    return None if name is None or name == "<urn:page>" else unquote(name.removeprefix("<urn:page:").removesuffix(">"))
+
+
 def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A WARC record: an HTTP response, or a revisit that has the response's head only."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {DATE}",
         *([] if url is None else ["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]), f"WARC-Payload-Digest: sha1:{digest}",
-        *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]),
+        *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -95,8 +104,7 @@ def parse(data: bytes) -> dict:
     block = rest[: int(h["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    page = lambda x: None if x is None or x == "<urn:page:None>" else x.removeprefix("<urn:page:").removesuffix(">")
-    got = {"page_id": page(h["warc-record-id"]), "url": h.get("warc-target-uri"), "payload_bytes": size, "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": page(h.get("warc-refers-to")), "payload": None}
+    got = {"page_id": page_of(h["warc-record-id"]), "url": h.get("warc-target-uri"), "payload_bytes": size, "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": page_of(h.get("warc-refers-to")), "payload": None}
     if h["warc-type"] == "response":
         if len(payload) != size or digest_of(payload) != got["payload_digest"]:
             raise ValueError(f"record {h['warc-record-id']} is damaged")
@@ -193,32 +201,51 @@ class Index:
             yield k
             k += 1
 
-    def find(self, key: str) -> list[tuple]:
-        found = []
-        for k in self._from(self.firsts, key):
-            _, name, offset, length = self.files[k]
-            if name not in self.directories:
-                if len(self.directories) > 16:
-                    self.directories.clear()
-                d = json.loads(self._read(name, offset, length))
-                self.directories[name] = (d, [x[0] for x in d])
-            d, firsts = self.directories[name]
-            for b in self._from(firsts, key):
-                if self.block[0] != (name, b):
-                    lines = [json.loads(x) for x in self._read(name, d[b][1], d[b][2]).decode().split("\n")]
-                    self.block = ((name, b), lines, [x[0] for x in lines])
-                _, lines, keys = self.block
-                found += lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-        return found
+    def places(self, key: str) -> Iterator[int]:
+        """Numbers of the index files that may hold the key."""
+        return self._from(self.firsts, key)
+
+    def find(self, key: str, k: int) -> Iterator[list]:
+        """The captures of the key in the index file k, a block's at a time."""
+        _, name, offset, length = self.files[k]
+        if name not in self.directories:
+            if len(self.directories) > 16:
+                self.directories.clear()
+            d = json.loads(self._read(name, offset, length))
+            self.directories[name] = (d, [x[0] for x in d])
+        d, firsts = self.directories[name]
+        for b in self._from(firsts, key):
+            if self.block[0] != (name, b):
+                lines = [json.loads(x) for x in self._read(name, d[b][1], d[b][2]).decode().split("\n")]
+                self.block = ((name, b), lines, [x[0] for x in lines])
+            _, lines, keys = self.block
+            yield lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+
+
+def _places(folder: str, files):
+    """A row for each key and index file that may hold it: the captures of one key may be in many files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(folder, files.value)
+        for batch in batches:
+            yield _rows([(k, key) for key in batch.column(0).to_pylist() for k in index.places(key)], "k long, key string")
+
+    return run
 
 
 def _find(folder: str, files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, files.value)
         for batch in batches:
-            rows = [tuple(x) for key in batch.column(0).to_pylist() for x in index.find(key)]
-            for a in range(0, len(rows), 10_000):
-                yield _rows(rows[a : a + 10_000], CAPTURE)
+            rows = []
+            for k, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for found in index.find(key, k):
+                    rows += map(tuple, found)
+                    if len(rows) >= 10_000:
+                        yield _rows(rows, CAPTURE)
+                        rows = []
+            if rows:
+                yield _rows(rows, CAPTURE)
 
     return run
 
@@ -275,13 +302,15 @@ class Archive:
         too. A column other than these is not read."""
         ship(self.spark)
         html = F.coalesce(F.col("html"), F.lit(""))
-        src = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("page_id").alias("_n"), "url", "html", base32_sha1(html).alias("digest"), F.octet_length(html).alias("bytes"))
+        src = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("page_id").alias("_n"), "url", "html", base32_sha1(html).alias("digest"), F.sha2(html, 256).alias("same"), F.octet_length(html).alias("bytes"))
         big = src.where(F.col("bytes") >= least_bytes)
-        first = big.groupBy("digest").agg(F.min("_n").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+        # equality is that of SHA-256, as different payloads of one SHA-1 are known
+        first = big.groupBy("same").agg(F.min("_n").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("same", "first")
+        first = scratch.save(first, "firsts")  # written, so that the join deals both sides anew and a payload of many pages can be split
         # the few that revisit are found without their payloads
-        again = big.select("_n", "digest").join(first, "digest").where("_n is null or _n <> first").select(F.col("_n").alias("_id"), F.col("digest").alias("_d"), F.col("first").cast("string").alias("refers_to")).distinct()
+        again = big.select("_n", "same").join(first, "same").where("_n is null or _n <> first").select(F.col("_n").alias("_id"), F.col("same").alias("_d"), F.col("first").cast("string").alias("refers_to")).distinct()
         again = scratch.save(again, "revisits")
-        rows = src.join(again, src["_n"].eqNullSafe(again["_id"]) & (src["digest"] == again["_d"]), "left").select("page_id", "url", "html", "digest", "refers_to")
+        rows = src.join(again, src["_n"].eqNullSafe(again["_id"]) & (src["same"] == again["_d"]), "left").select("page_id", "url", "html", "digest", "refers_to")
         captures = scratch.save(rows.mapInArrow(_write(f"{self.folder}/archive", file_bytes), CAPTURE), "captures")
         n = captures.count()
         parts = max(1, min(10_000, n // 20_000))
@@ -294,9 +323,10 @@ class Archive:
         """The records of all captures of these urls (column url), each once."""
         ship(self.spark)
         keys = urls.select("url").distinct().mapInArrow(_keys, "key string").distinct()
-        parts = max(1, min(10_000, len(self.files) * 4))
-        keys = keys.repartitionByRange(parts, "key").sortWithinPartitions("key")
-        found = keys.mapInArrow(_find(f"{self.folder}/index", self.spark.sparkContext.broadcast(self.files)), CAPTURE)
+        files, folder = self.spark.sparkContext.broadcast(self.files), f"{self.folder}/index"
+        at = keys.mapInArrow(_places(folder, files), "k long, key string")
+        at = at.repartition(max(1, min(10_000, len(self.files))), "k").sortWithinPartitions("k", "key")
+        found = at.mapInArrow(_find(folder, files), CAPTURE)
         # ranges of one stretch of an archive go to one task, in order
         found = found.select("file", "offset", "length", F.floor(F.col("offset") / (8 << 20)).alias("stretch"))
         found = found.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")

@@ -198,10 +198,10 @@ def test_near_vectors(spark, monkeypatch):
 # -- repeated passages -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("most_bits", [1 << 29, 1 << 20])
+@pytest.mark.parametrize("most_bits", [1 << 29, 1 << 11])
 def test_remove_repeats(spark, most_bits, monkeypatch):
     if most_bits < 1 << 29:
-        monkeypatch.setattr(substrings, "CELLS", 2000)  # the sketch in parts
+        monkeypatch.setattr(substrings, "SLAB", 8)  # a sketch of a few cells, that estimates nearly all windows repeated
     d = documents(spark)
     w = {i: WORD.findall(t or "") for i, t in pairs_of(d)}
     first: dict = {}
@@ -234,6 +234,44 @@ def test_words_like_the_pattern():
     assert len(set(seen.values())) == len(seen)
 
 
+def complements(n):
+    """Two words of 2^n bytes that many polynomial hashes can't tell apart."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 9, 10, 11])
+def test_words_and_their_complements_differ(n):
+    import pyarrow as pa
+
+    data, off = words.text_bytes(pa.array(complements(n)))
+    s, e, _ = words.spans(data, off)
+    for seed in (0, 1, 2, 6, 8):
+        assert len(set(words.hashes(data, s, e, seed).tolist())) == 2
+    a = np.array([1 << 40, 1 << 50], np.uint64)
+    pattern = np.array([c == "b" for c in complements(n)[0]], int)
+    for k in (3, 13, 32, 50):
+        if k <= len(pattern):
+            assert words.runs(a[pattern[:k]], k)[0] != words.runs(a[1 - pattern[:k]], k)[0]
+
+
+def test_near_duplicates_and_repeats_of_such_words(spark):
+    x, y = complements(10)
+    p, q = complements(11)
+    body = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, x), (2, y), (3, f"{x} {y} {p} {q} {x} {q}"), (4, f"{x} {body}"), (5, f"{y} {body[3:]} end"), (6, " ".join([p] * 25 + [x] * 25)), (7, " ".join([q] * 25 + [y] * 25))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    s = {i: shingles(t, 3) for i, t in rows}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(d, 3, 90).collect()}
+    links = [(a, b) for a, b in itertools.combinations(s, 2) if 100 * len(s[a] & s[b]) >= 90 * len(s[a] | s[b])]
+    want = components(s, links)
+    assert got == {i: (len(s[i]), want[i]) for i in s}
+    gone = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(d).collect()}
+    assert gone == {i: 59 if i == 5 else 0 for i in s}
+
+
 # -- toxicity ----------------------------------------------------------------------------------------
 
 
@@ -414,6 +452,10 @@ def test_archive(spark, monkeypatch):
         assert (r["payload_bytes"], r["payload_digest"], r["url"]) == (len(b), warc.digest_of(b), url[i])
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == i else ("revisit", str(first)))
         assert r["payload"] is None if first != i else bytes(r["payload"]) == b
+    odd = spark.createDataFrame([("None", "u:1", "p"), (None, "u:2", "q"), ("a <b>\r\n", "u:3", "p"), ("None", None, "\u00fc")], "page_id string, url string, html string")
+    o = warc.Archive(spark, s.path("odd"))
+    o.write(odd, s)
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in o.lookup(odd).collect()), key=str) == sorted([("None", "response", None), (None, "response", None), ("a <b>\r\n", "revisit", "None"), ("None", "response", None)], key=str)
     one = a.lookup(spark.createDataFrame([(url[5],), ("http://none.example.org/",)], "url string"))
     assert sorted(int(r["page_id"]) for r in one.collect()) == [i for i in range(36) if warc.url_key(url[i]) == warc.url_key(url[5])]
     assert warc.url_key("https://user@Www.Example.org:443/a?b#c") == "org,example,www)/a?b"
