@@ -266,13 +266,15 @@ def rewrite(spark: SparkSession, root: str, schema: T.StructType, placed: DataFr
     portion = asked.groupBy(key, at).agg(F.count("*").alias(num))
     before = F.coalesce(F.sum(num).over(W.partitionBy(key).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     portion = scratch.save(portion.select(F.col(key).alias(k), F.col(at).alias(copies), before.alias(to)), "portions")
-    numbered = asked.withColumn(num, F.row_number().over(W.partitionBy(key, at).orderBy(row)) - 1)
-    numbered = numbered.join(portion, F.col(key).eqNullSafe(F.col(k)) & (F.col(at) == F.col(copies))).withColumn(num, F.col(num) + F.col(to)).drop(k, copies, to)
+    light = asked.select(key, row, at).withColumn(num, F.row_number().over(W.partitionBy(key, at).orderBy(row)) - 1)
+    numbered = light.join(portion, F.col(key).eqNullSafe(F.col(k)) & (F.col(at) == F.col(copies))).withColumn(num, F.col(num) + F.col(to)).drop(k, copies, to)
     targets = placed.groupBy(F.struct(*ROW).alias("k")).agg(F.array_sort(F.collect_list(F.struct("shard", "c"))).alias("to"), F.max(F.col("old_shard") != F.col("shard")).alias("moves")).where("moves")
     upto = F.transform("to", lambda x, i: F.struct(F.aggregate(F.slice("to", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, y: s + y["c"]).alias("hi"), x["shard"].alias("shard")))
     targets = scratch.save(targets.select(F.col("k").alias(k), upto.alias(to)), "targets")
-    found = numbered.join(targets, F.col(key).eqNullSafe(F.col(k)), "left").withColumn(copies, F.filter(to, lambda x: x["hi"] > F.col(num))[0]["shard"])
-    went = found.withColumn(shard_col, F.coalesce(copies, shard_col)).select(*rows.columns)
+    found = numbered.join(targets, F.col(key).eqNullSafe(F.col(k))).select(F.col(row).alias(k), F.filter(to, lambda x: x["hi"] > F.col(num))[0]["shard"].alias(copies))
+    found = scratch.save(found, "found")
+    # texts meet their new shards once, and by the same kind of join at every size
+    went = asked.drop(key, at).join(found.hint("merge"), F.col(row) == F.col(k), "left").withColumn(shard_col, F.coalesce(copies, shard_col)).select(*rows.columns)
     staged = scratch.path("staged")
     stay.unionByName(went).write.option("compression", "zstd").partitionBy(shard_col).parquet(staged)
     fs, path = _files(spark, root)
