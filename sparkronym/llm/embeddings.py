@@ -85,7 +85,7 @@ def basis(vectors: DataFrame, dim: int) -> np.ndarray:
     for _ in range(PASSES):
         m = vectors.select("v").mapInArrow(_moments(dim, q), "m binary")
         m = m.withColumn("g", F.shiftright(F.monotonically_increasing_id(), 33) % 64).groupBy("g").applyInPandas(_add, "m binary")
-        total = sum((np.frombuffer(r[0]).reshape(q.shape) for r in m.toLocalIterator()), np.zeros(q.shape))
+        total = sum((np.frombuffer(r[0]).reshape(q.shape) for r in m.collect()), np.zeros(q.shape))
         q = np.linalg.qr(total + 1e-12 * q)[0]
     return q
 
