@@ -45,7 +45,7 @@ def candidate_tokens(text: str | Column) -> Column:
     """Tokens that may be acronyms: two characters or more, not all small after the first, not an initial with
     its dot, with a letter, and beginning with a letter or digit. Dashes separate tokens."""
     t = F.filter(F.split(col(text), r"[\s\-‐-―]+"), lambda w: F.length(w) >= 2)
-    return F.array_distinct(F.filter(t, lambda w: ~F.substring(w, 2, 1000).rlike("^[a-z]+$") & ~w.rlike(r"^[A-Z]\.$") & w.rlike("[A-Za-z]") & w.rlike("^[A-Za-z0-9]")))
+    return F.array_distinct(F.filter(t, lambda w: ~F.substr(w, F.lit(2)).rlike("^[a-z]+$") & ~w.rlike(r"^[A-Z]\.$") & w.rlike("[A-Za-z]") & w.rlike("^[A-Za-z0-9]")))
 
 
 def upper_tokens(tokens: str | Column) -> Column:
@@ -61,7 +61,7 @@ def is_candidate(c: str | Column, function_words: list[str] = (), english: list[
     if function_words:
         ok = ok & ~F.lower(a).isin(list(function_words))
     if english is not None:
-        small = F.substring(a, 2, 1000).rlike("^[a-z ]+$")
+        small = F.substr(a, F.lit(2)).rlike("^[a-z ]+$")
         ok = ok & (~small | F.exists(words, lambda w: ~F.lower(w).isin(list(english))))
     return ok
 

@@ -147,7 +147,7 @@ def convert_tags(tags: str | Column, scheme: str) -> Column:
     from the one before. BIOUless: the same, and a leading U- is B."""
     t = col(tags)
     if scheme == "BIOUL":
-        return F.transform(t, lambda x: F.when(x.startswith("U-"), F.concat(F.lit("B-"), F.substring(x, 3, 1000))).when(x.startswith("L-"), F.concat(F.lit("I-"), F.substring(x, 3, 1000))).otherwise(x))
+        return F.transform(t, lambda x: F.when(x.startswith("U-"), F.concat(F.lit("B-"), F.substr(x, F.lit(3)))).when(x.startswith("L-"), F.concat(F.lit("I-"), F.substr(x, F.lit(3)))).otherwise(x))
     if scheme not in ("BIOless", "BIOUless"):
         raise ValueError(scheme)
 
@@ -156,6 +156,6 @@ def convert_tags(tags: str | Column, scheme: str) -> Column:
         begins = F.when(x == "O", x).when(x == before, F.concat(F.lit("I-"), x)).otherwise(F.concat(F.lit("B-"), x))
         if scheme == "BIOless":
             return begins
-        return F.when(x.startswith("U-"), F.concat(F.lit("B-"), F.substring(x, 3, 1000))).otherwise(begins)
+        return F.when(x.startswith("U-"), F.concat(F.lit("B-"), F.substr(x, F.lit(3)))).otherwise(begins)
 
     return F.transform(t, one)

@@ -17,9 +17,6 @@ from sparkronym.functions.text import singular_acronym
 from sparkronym.operators.dictionary import representatives
 from sparkronym.shipping import ship
 
-#: Steps of label propagation at most; a cluster is a small block's component.
-MOST_STEPS = 20
-
 
 def similar_pairs(dictionary: DataFrame) -> DataFrame:
     """(acronym, a, b), a < b: distinct similar expansions of an acronym."""
@@ -38,29 +35,35 @@ def same_article_pairs(dictionary: DataFrame) -> DataFrame:
 def clusters(dictionary: DataFrame, articles: bool = True) -> DataFrame:
     """(acronym, expansion, cluster): cluster is the smallest expansion of the component.
 
-    Labels go along links until none changes; each step is written to the checkpoint
-    folder. Raises if a component is longer than MOST_STEPS."""
+    Each step takes the smallest label among an expansion and its neighbours and then that
+    label's own label, so that chains of any length shorten by halves, until none
+    changes; each step is written to the checkpoint folder."""
     links = similar_pairs(dictionary)
     if articles:
         links = links.unionByName(same_article_pairs(dictionary))
     both = links.unionByName(links.select("acronym", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = _cut(both)
-    labels = dictionary.select(singular_acronym("acronym").alias("acronym"), "expansion").distinct().withColumn("cluster", F.col("expansion"))
-    labels = _cut(labels)
-    for _ in range(MOST_STEPS):
+    labels = _cut(dictionary.select(singular_acronym("acronym").alias("acronym"), "expansion").distinct().withColumn("cluster", F.col("expansion")))
+    while True:
         near = both.join(labels.withColumnRenamed("expansion", "b"), ["acronym", "b"]).groupBy("acronym", F.col("a").alias("expansion")).agg(F.min("cluster").alias("near"))
-        new = _cut(labels.join(near, ["acronym", "expansion"], "left").select("acronym", "expansion", F.col("cluster").alias("old"), F.least("cluster", "near").alias("cluster")))
+        step = labels.join(near, ["acronym", "expansion"], "left").select("acronym", "expansion", F.col("cluster").alias("old"), F.least("cluster", "near").alias("cluster"))
+        over = labels.select("acronym", F.col("expansion").alias("cluster"), F.col("cluster").alias("over"))
+        new = _cut(step.join(over, ["acronym", "cluster"], "left").select("acronym", "expansion", "old", F.least("cluster", "over").alias("cluster")))
+        done = new.where("old <> cluster").isEmpty()
+        labels.unpersist()
         labels = new.drop("old")
-        if new.where("old <> cluster").isEmpty():
+        if done:
+            both.unpersist()
             return labels
-    raise RuntimeError(f"clusters of expansions are longer than {MOST_STEPS} links")
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the session's checkpoint folder; without one, only holds the rows."""
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return df.checkpoint()
-    return df.persist()
+    held = df.persist()
+    held.count()  # before what it is made from is let go
+    return held
 
 
 def link(dictionary: DataFrame, articles: bool = True) -> DataFrame:

@@ -212,7 +212,7 @@ def bootstrap(values: DataFrame, rounds: int = 10_000, level: float = 0.9, seed:
     u = (F.pmod(F.xxhash64(id_col, "round", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     total, n = 0.36787944117144233, F.lit(0)
     cumulative, term = total, total
-    for k in range(1, 9):  # the number of steps of the distribution function below u
+    for k in range(1, 20):  # the number of steps of the distribution function below u; a twentieth is below u's last digit
         n = n + (u > cumulative).cast("int")
         term /= k
         cumulative += term

@@ -98,12 +98,12 @@ def lda(docs: DataFrame, topics: int | str = 100, epochs: int = 1, vocab: int =
     return model, model.transform(docs).select("article_id", vector_to_array("topics").alias("vector"))
 
 
-def word_vectors(docs: DataFrame, size: int = 200, window: int = 8, epochs: int = 1, min_count: int = 1, seed: int = 0):
-    """A Word2Vec model of tokens and its table (term, vector)."""
+def word_vectors(docs: DataFrame, size: int = 200, window: int = 8, epochs: int = 1, min_count: int = 1, seed: int = 0, partitions: int = 8):
+    """A Word2Vec model of tokens and its table (term, vector); fitted in so many partitions, whose models are added up."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    model = Word2Vec(inputCol="tokens", outputCol="v", vectorSize=size, windowSize=window, maxIter=epochs, minCount=min_count, seed=seed, numPartitions=1).fit(docs)
+    model = Word2Vec(inputCol="tokens", outputCol="v", vectorSize=size, windowSize=window, maxIter=epochs, minCount=min_count, seed=seed, numPartitions=partitions).fit(docs)
     return model, model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vector"))
 
 

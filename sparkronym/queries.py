@@ -6,6 +6,7 @@ expansion and some have two. Mentions are line items of a part.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from sparkronym.operators import metrics as M
 from sparkronym.operators import representators as R
 from sparkronym.operators import splits as Sp
 from sparkronym.plans import expand as P
+from sparkronym.shipping import ship
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -292,16 +294,8 @@ def p19_jaccard(spark, sf):
 # -- joins ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {DICT}, {MENTIONS} SELECT m.acronym, d.expansion AS option, count(*) AS n FROM ment m JOIN dict d ON m.acronym = d.acronym WHERE m.\"order\" % 50 = 1 GROUP BY 1, 2")
+@query(f"WITH {DICT}, {MENTIONS} SELECT m.acronym, d.expansion AS option, count(*) AS n FROM ment m JOIN dict d ON m.acronym = d.acronym GROUP BY 1, 2")
 def j1_candidates(spark, sf):
-    """Mentions of every fiftieth order as the query set, by all entries."""
-    m = mentions(spark, sf).where(F.col("order") % 50 == 1).select("acronym")
-    return D.candidates(m, dictionary(spark, sf)).groupBy("acronym", "option").agg(F.count("*").alias("n"))
-
-
-@query()
-def j1_candidates_whole(spark, sf):
-    """The same over all mentions; the SQL of j1_candidates reads every fiftieth order only."""
     return D.candidates(mentions(spark, sf).select("acronym"), dictionary(spark, sf)).groupBy("acronym", "option").agg(F.count("*").alias("n"))
 
 
@@ -561,10 +555,7 @@ def w8_char_window(spark, sf):
 
 @query(f"WITH {DICT}, {FREQ} SELECT row_number() OVER (ORDER BY acronym) AS place, acronym FROM freq WHERE r = 1")
 def t1_sorted(spark, sf):
-    from pyspark.sql import Window as W
-
-    # one row for each acronym, not for each mention
-    return D.most_frequent(dictionary(spark, sf)).select(F.row_number().over(W.orderBy("acronym")).alias("place"), "acronym")
+    return Sp.placed(D.most_frequent(dictionary(spark, sf)).select("acronym"), "acronym").select("place", "acronym")
 
 
 @query("WITH w AS (SELECT unnest(string_split(text, ' ')) AS term FROM documents) SELECT term, count(*) AS cf FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
@@ -706,14 +697,8 @@ def f19_cosine(spark, sf):
     return j.select("a", "b", F.round(Sim.cosine("x", "y"), 8).alias("cos"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '[\x09-\x0D\x20]', ' ', 'g') AS text, regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g') AS plain FROM documents WHERE NOT contains(text, '" + '"' + "')")
+@query(r"""SELECT doc_id, replace(regexp_replace(text, '[\x09-\x0D\x20]', ' ', 'g'), '"', '''') AS text, regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g') AS plain FROM documents""")
 def f22_f24_spaces(spark, sf):
-    return t(spark, sf, "documents").where("not contains(text, '\"')").select("doc_id", X.plain_space("text").alias("text"), X.no_controls("text").alias("plain"))
-
-
-@query()
-def f22_f24_spaces_whole(spark, sf):
-    """The same over all documents; the SQL of f22_f24_spaces leaves out those with a double quote."""
     return t(spark, sf, "documents").select("doc_id", X.plain_space("text").alias("text"), X.no_controls("text").alias("plain"))
 
 
@@ -752,9 +737,14 @@ for _r in ("schwartz_hearst", "schwartz_hearst_original", "schwartz_hearst_abbre
 def x12_pairs_from_tags(spark, sf):
     from sparkronym.operators.matchers import tag_characters, words_of
 
-    tag = F.udf(lambda s: words_of(s or ""), "array<string>")
-    tags = F.udf(lambda s: tag_characters(s or []), "array<string>")
-    d = part_articles(spark, sf).withColumn("tokens", tag("raw_text")).withColumn("tags", tags("tokens"))
+    def tagged(batches):
+        for batch in batches:
+            tokens = [words_of(x or "") for x in batch.column(1).to_pylist()]
+            tags = [tag_characters(x) for x in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.string()))], names=["article_id", "tokens", "tags"])
+
+    ship(spark)
+    d = part_articles(spark, sf).select("article_id", "raw_text").mapInArrow(tagged, "article_id string, tokens array<string>, tags array<string>")
     return Ex.from_tags(d).select("article_id", "acronym", "expansion")
 
 
@@ -772,11 +762,7 @@ def x_sql_table_function(spark, sf):
 
 # -- representators and expanders --------------------------------------------------------------------
 
-TF = "w AS (SELECT CAST(doc_id AS VARCHAR) AS article_id, unnest(string_split(text, ' ')) AS term FROM documents WHERE lang = 'es'), tf AS (SELECT article_id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
-
-
-def spanish(spark, sf):
-    return t(spark, sf, "documents").where("lang = 'es'").select(F.col("doc_id").cast("string").alias("article_id"), "text", F.split("text", " ").alias("tokens"))
+TF = "w AS (SELECT CAST(doc_id AS VARCHAR) AS article_id, unnest(string_split(text, ' ')) AS term FROM documents), tf AS (SELECT article_id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
 
 
 def all_tokens(spark, sf):
@@ -786,12 +772,6 @@ def all_tokens(spark, sf):
 
 @query(f"WITH {TF} SELECT article_id, term, tf / (SELECT max(tf) FROM tf) AS weight FROM tf")
 def r1_context_vectors(spark, sf):
-    """Documents in Spanish, as in the SQL; r1_context_vectors_whole and r2_tfidf_whole have all."""
-    return R.context_vectors(spanish(spark, sf).withColumnRenamed("text", "raw_text"), tokenise=lambda c: F.split(c, " "))
-
-
-@query()
-def r1_context_vectors_whole(spark, sf):
     return R.context_vectors(all_tokens(spark, sf).withColumnRenamed("text", "raw_text"), tokenise=lambda c: F.split(c, " "))
 
 
@@ -800,11 +780,6 @@ IDF = TF + ", df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), i AS (SELE
 
 @query(f"WITH {IDF} SELECT article_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY article_id)), 8) AS weight FROM x")
 def r2_tfidf(spark, sf):
-    return R.tfidf(spanish(spark, sf)).withColumn("weight", F.round("weight", 8))
-
-
-@query()
-def r2_tfidf_whole(spark, sf):
     return R.tfidf(all_tokens(spark, sf)).withColumn("weight", F.round("weight", 8))
 
 
@@ -872,32 +847,17 @@ def context_of(spark, sf, only="true"):
     return rivals, d, vec(m), train
 
 
-COS = f"WITH {DICT}, {MENTIONS}, {OPTS}, tvs AS (SELECT article_id, list(DISTINCT w) AS tv FROM (SELECT article_id, unnest(string_split(raw_text, ' ')) AS w FROM ment WHERE \"order\" % 40 = 1) GROUP BY 1), q AS (SELECT DISTINCT m.article_id, m.acronym, tv FROM ment m JOIN opts o USING (acronym) JOIN tvs ON tvs.article_id = m.article_id WHERE n_options > 1 AND \"order\" % 40 = 1), tr AS (SELECT d.acronym, d.expansion, list_distinct(string_split(p_type || ' ' || p_brand, ' ')) AS v, count(*) AS c FROM dict d JOIN part ON p_partkey = pos GROUP BY 1, 2, 3), s AS (SELECT q.article_id, q.acronym, tr.expansion, max(len(list_intersect(tv, v)) / (sqrt(len(tv)) * sqrt(len(v)))) AS c FROM q JOIN tr USING (acronym) GROUP BY 1, 2, 3)"
+COS = f"WITH {DICT}, {MENTIONS}, {OPTS}, tvs AS (SELECT article_id, list(DISTINCT w) AS tv FROM (SELECT article_id, unnest(string_split(raw_text, ' ')) AS w FROM ment) GROUP BY 1), q AS (SELECT DISTINCT m.article_id, m.acronym, tv FROM ment m JOIN opts o USING (acronym) JOIN tvs ON tvs.article_id = m.article_id WHERE n_options > 1), tr AS (SELECT d.acronym, d.expansion, list_distinct(string_split(p_type || ' ' || p_brand, ' ')) AS v, count(*) AS c FROM dict d JOIN part ON p_partkey = pos GROUP BY 1, 2, 3), s AS (SELECT q.article_id, q.acronym, tr.expansion, max(len(list_intersect(tv, v)) / (sqrt(len(tv)) * sqrt(len(v)))) AS c FROM q JOIN tr USING (acronym) GROUP BY 1, 2, 3)"
 
 
 @query(f"{COS} SELECT article_id, acronym, expansion, round(c, 8) AS confidence FROM s")
 def e3_cosine(spark, sf):
-    """Mentions of every fortieth order, as in the SQL; e3_cosine_whole has all."""
-    return E.cosine_scores(*context_of(spark, sf, "order % 40 = 1")).withColumn("confidence", F.round("confidence", 8))
-
-
-@query()
-def e3_cosine_whole(spark, sf):
     return E.cosine_scores(*context_of(spark, sf)).withColumn("confidence", F.round("confidence", 8))
 
 
-@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), j AS (SELECT a.vec_id AS id, b.label, max(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))) AS c FROM v a JOIN v b ON a.vec_id % 10 = 0 AND b.vec_id % 10 = 1 GROUP BY 1, 2) SELECT CAST(id AS VARCHAR) AS article_id, 'L' AS acronym, CAST(label AS VARCHAR) AS expansion, round(greatest(0, c), 8) AS confidence FROM j")
+@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), j AS (SELECT a.vec_id AS id, b.label, max(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT CAST(id AS VARCHAR) AS article_id, 'L' AS acronym, CAST(label AS VARCHAR) AS expansion, round(greatest(0, c), 8) AS confidence FROM j")
 def e4_e5_dense_cosine(spark, sf):
-    v = t(spark, sf, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("article_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
-    test, train = v.where("vec_id % 10 = 0"), v.where("vec_id % 10 = 1")
-    d = train.select(F.lit("L").alias("acronym"), F.col("label").cast("string").alias("expansion"), "article_id")
-    s = E.dense_cosine_scores(test.select("article_id", F.lit("L").alias("acronym")), d, test.select("article_id", "vector"), train.select("article_id", "vector"))
-    return s.withColumn("confidence", F.round("confidence", 8))
-
-
-@query()
-def e4_e5_dense_cosine_whole(spark, sf):
-    """Every vector against all others; the SQL of e4_e5_dense_cosine has one tenth of either side."""
+    """Every vector against all others."""
     v = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("article_id"), F.lit("L").alias("acronym"), F.col("label").cast("string").alias("expansion"), F.col("embedding").cast("array<double>").alias("vector"))
     return E.dense_cosine_others(v).withColumn("confidence", F.round("confidence", 8))
 

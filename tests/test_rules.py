@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from sparkronym.functions.stem import stem
@@ -46,3 +48,27 @@ def test_best_expansion():
 @pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("happy", "happi"), ("formalize", "formal"), ("adjustment", "adjust"), ("controlling", "control"), ("sky", "sky")])
 def test_stem(word, want):
     assert stem(word) == want
+
+
+def test_long_words_and_chains(spark):
+    """No length of a word, tag or chain of similar expansions ends what is judged."""
+    from sparkronym.functions import acronyms as A
+    from sparkronym.functions import text as X
+    from sparkronym.operators import linkage as Ln
+
+    d = spark.createDataFrame([("A" + "b" * 1500 + "C x" + "y" * 1500, ["U-" + "t" * 1500, "L-x"])], "text string, tags array<string>")
+    r = d.select(A.candidate_tokens("text").alias("c"), A.is_candidate("text", english=["x"]).alias("ok"), X.convert_tags("tags", "BIOUL").alias("t")).first()
+    assert r["c"] == ["A" + "b" * 1500 + "C"] and r["t"] == ["B-" + "t" * 1500, "I-x"]
+    name = lambda k: "".join(chr(97 + int(c, 16)) for c in hashlib.md5(str(k).encode()).hexdigest()[:14])  # noqa: E731  unlike each other
+    links = spark.createDataFrame([("X", name(k + m), str(k)) for k in range(70) for m in (0, 1)] + [("X", name(900), "z"), ("X", name(901), "z")], "acronym string, expansion string, article_id string")
+    got = {x["expansion"]: x["cluster"] for x in Ln.clusters(links).collect()}
+    chain, pair = [name(k) for k in range(71)], [name(900), name(901)]
+    assert got == dict.fromkeys(chain, min(chain)) | dict.fromkeys(pair, min(pair))
+
+
+def test_places(spark):
+    from sparkronym.operators import splits as Sp
+
+    values = [(k * 7919) % 5003 for k in range(5000)]
+    got = Sp.placed(spark.createDataFrame([(v,) for v in values], "v long"), "v").collect()
+    assert {r["v"]: r["place"] for r in got} == {v: k + 1 for k, v in enumerate(sorted(values))}

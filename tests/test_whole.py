@@ -29,14 +29,14 @@ def short(name):
 NAMES = {k: n for k, n, _, _ in PARTS}
 
 
-@pytest.mark.parametrize("name", ["e3_cosine_whole", "e6_logistic", "e6_logistic_l1", "e7_svm", "e7_svm_balanced", "e8_random_forest"])
+@pytest.mark.parametrize("name", ["e3_cosine", "e6_logistic", "e6_logistic_l1", "e7_svm", "e7_svm_balanced", "e8_random_forest"])
 def test_every_ambiguous_mention_is_scored(spark, tables, name):
     got = Counter(r["article_id"] for r in own.QUERIES[name](spark, tables).collect())
     assert got == {f"{k}-1": sum(short(n) == short(NAMES[p]) for n in NAMES.values()) for k, _, p, _, _ in ITEMS if p != 6}
 
 
 def test_cosine_of_all(spark, tables):
-    got = {(r["article_id"], r["expansion"]): r["confidence"] for r in own.QUERIES["e3_cosine_whole"](spark, tables).collect()}
+    got = {(r["article_id"], r["expansion"]): r["confidence"] for r in own.QUERIES["e3_cosine"](spark, tables).collect()}
     words = {k: set(f"{t} {b}".split()) for k, _, t, b in PARTS}
     for k, n, p, f, s in ITEMS:
         test = words[p] | {f, s}
@@ -46,7 +46,7 @@ def test_cosine_of_all(spark, tables):
 
 
 def test_candidates_of_all(spark, tables):
-    got = {(r["acronym"], r["option"]): r["n"] for r in own.QUERIES["j1_candidates_whole"](spark, tables).collect()}
+    got = {(r["acronym"], r["option"]): r["n"] for r in own.QUERIES["j1_candidates"](spark, tables).collect()}
     assert got == Counter((short(NAMES[p]), n) for _, _, p, _, _ in ITEMS for n in NAMES.values() if short(n) == short(NAMES[p]))
 
 
@@ -64,7 +64,7 @@ def test_dense_cosine_of_all_others(spark, tmp_path, block_rows):
     cos = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / (math.hypot(*x) * math.hypot(*y) or 1)
     want = {(str(i), str(k)): max([0.0] + [cos(x, y) for j, m, y in rows if m == k and j != i]) for i, _, x in rows for k in range(4)}
     if block_rows == 4096:
-        got = own.QUERIES["e4_e5_dense_cosine_whole"](spark, str(tmp_path))
+        got = own.QUERIES["e4_e5_dense_cosine"](spark, str(tmp_path))
     else:
         got = E.dense_cosine_others(d.selectExpr("cast(vec_id as string) article_id", "'L' acronym", "cast(label as string) expansion", "embedding vector"), block_rows)
     got = {(x["article_id"], x["expansion"]): x["confidence"] for x in got.collect()}
@@ -92,13 +92,13 @@ def test_weights_of_all_languages(spark, texts):
     df = Counter(w for _, w in tf)
     raw = {(k, w): n * (math.log(5 / (1 + df[w])) + 1) for (k, w), n in tf.items()}
     norm = {k: math.hypot(*(x for (i, _), x in raw.items() if i == k)) for k, _ in raw}
-    for name, want in (("r1_context_vectors_whole", {k: n / 2 for k, n in tf.items()}), ("r2_tfidf_whole", {k: x / norm[k[0]] for k, x in raw.items()})):
+    for name, want in (("r1_context_vectors", {k: n / 2 for k, n in tf.items()}), ("r2_tfidf", {k: x / norm[k[0]] for k, x in raw.items()})):
         got = {(r["article_id"], r["term"]): r["weight"] for r in own.QUERIES[name](spark, texts).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
 
 
 def test_spaces_of_all_documents(spark, texts):
-    got = {r["doc_id"]: (r["text"], r["plain"]) for r in own.QUERIES["f22_f24_spaces_whole"](spark, texts).collect()}
+    got = {r["doc_id"]: (r["text"], r["plain"]) for r in own.QUERIES["f22_f24_spaces"](spark, texts).collect()}
     assert got == {k: (x and x.replace("\t", " ").replace('"', "'"), x and x.replace("\t", "")) for k, x, _ in TEXTS}
 
 
