@@ -8,8 +8,13 @@ made distinct before they are compared, so that popular ones cost no more.
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkronym.functions.similarity import similar
@@ -17,6 +22,8 @@ from sparkronym.functions.text import singular_acronym
 from sparkronym.operators.dictionary import representatives
 from sparkronym.shipping import ship
 
+_own: str | None = None
+
 
 def similar_pairs(dictionary: DataFrame) -> DataFrame:
     """(acronym, a, b), a < b: distinct similar expansions of an acronym."""
@@ -50,20 +57,33 @@ def clusters(dictionary: DataFrame, articles: bool = True) -> DataFrame:
         over = labels.select("acronym", F.col("expansion").alias("cluster"), F.col("cluster").alias("over"))
         new = _cut(step.join(over, ["acronym", "cluster"], "left").select("acronym", "expansion", "old", F.least("cluster", "over").alias("cluster")))
         done = new.where("old <> cluster").isEmpty()
-        labels.unpersist()
         labels = new.drop("old")
         if done:
-            both.unpersist()
             return labels
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the session's checkpoint folder; without one, only holds the rows."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    held = df.persist()
-    held.count()  # before what it is made from is let go
-    return held
+    """Cuts the lineage: written to the shared folder that spark.checkpoint.dir names and read again. A folder of our
+    own serves only one machine without that setting. What was written goes when the driver ends."""
+    global _own
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        _own = root = _own or "file://" + tempfile.mkdtemp(prefix="sparkronym-")
+    path = f"{root.rstrip('/')}/linkage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 the session has ended; the folder belongs to it
+        pass
 
 
 def link(dictionary: DataFrame, articles: bool = True) -> DataFrame:
