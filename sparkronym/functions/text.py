@@ -124,6 +124,12 @@ def is_number(c: str | Column) -> Column:
     return F.coalesce(col(c).try_cast("double").isNotNull(), F.lit(False))
 
 
+def stable_hash(seed: int, *cols: str) -> Column:
+    """60 bits of the MD5 of seed and columns joined by colons (null as empty): a draw that any engine can repeat."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+
+
 def url_join(base: str | Column, href: str | Column) -> Column:
     """A link's address: absolute, host-relative, or relative to the page's folder; fragments dropped."""
     h = F.regexp_replace(col(href), "#.*$", "")

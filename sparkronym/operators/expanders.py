@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkronym.functions.similarity import cosine, normalised_confidences
+from sparkronym.functions.text import stable_hash
 from sparkronym.operators.dictionary import most_frequent as _frequent
 from sparkronym.shipping import ship
 
@@ -36,7 +37,7 @@ def option_maps(scores: DataFrame) -> DataFrame:
 def random_choice(mentions: DataFrame, options: DataFrame, seed: int = 0) -> DataFrame:
     """Uniform by a hash of article, acronym and seed; confidence 1/n."""
     m = mentions.select(*KEYS).distinct().join(options, "acronym")
-    k = F.pmod(F.xxhash64("article_id", "acronym", F.lit(seed)), F.col("n_options").cast("long")).cast("int")
+    k = F.pmod(stable_hash(seed, "article_id", "acronym"), F.col("n_options").cast("long")).cast("int")
     return m.select(*KEYS, F.try_element_at(F.sort_array("options"), k + 1).alias("expansion"), (F.lit(1.0) / F.col("n_options")).alias("confidence"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparkronym.functions.text import stable_hash
+
 SEED = 1337
 #: Ranges of hashes that are ranked each by itself.
 RANGES = 1024
@@ -16,8 +18,7 @@ def ranked(articles: DataFrame, seed: int = SEED, id_col: str = "article_id") ->
 
     Ranks are numbers within a range of hashes plus the numbers of ranges before, so that
     no task sorts all articles."""
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    a = articles.withColumn("_h", h).withColumn("_r", F.shiftright("_h", 54))
+    a = articles.withColumn("_h", stable_hash(seed, id_col)).withColumn("_r", F.shiftright("_h", 50))
     per = a.groupBy("_r").agg(F.count("*").alias("_c"))
     per = per.withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_c").over(W.partitionBy(F.lit(0))))
     own = F.row_number().over(W.partitionBy("_r").orderBy("_h", id_col))

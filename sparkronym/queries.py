@@ -82,6 +82,9 @@ VARIANTS = DICT + """, var AS (SELECT CASE WHEN pos % 7 = 0 THEN acronym || 's'
 MENTIONS = """ment AS (SELECT l_orderkey || '-' || l_linenumber AS article_id, array_to_string([upper(x[1]) FOR x IN string_split(p_name, ' ')], '') AS acronym, p_name AS expansion, p_type || ' ' || p_brand || ' ' || l_returnflag || ' ' || l_linestatus AS raw_text, l_orderkey AS "order" FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 ARTICLES = """art AS (SELECT CAST(p_partkey AS VARCHAR) AS article_id, 'The ' || p_name || ' (' || array_to_string([upper(x[1]) FOR x IN string_split(p_name, ' ')], '') || ') of type ' || p_type || ' and ' || p_brand AS raw_text, p_name, array_to_string([upper(x[1]) FOR x IN string_split(p_name, ' ')], '') AS acronym FROM part)"""
 FREQ = """freq AS (SELECT acronym, expansion, n / sum(n) OVER (PARTITION BY acronym) AS share, row_number() OVER (PARTITION BY acronym ORDER BY n DESC, first, expansion) AS r FROM (SELECT acronym, expansion, count(*) AS n, min(pos) AS first FROM dict GROUP BY 1, 2))"""
+_DRAW = lambda seed, c: f"CAST('0x' || substr(md5('{seed}:' || {c}), 1, 15) AS BIGINT)"
+RANKED = f"rk AS (SELECT article_id, row_number() OVER (ORDER BY {_DRAW(1337, 'article_id')}, article_id) AS rank, count(*) OVER () AS n FROM dict)"
+FOLDS = RANKED + ", fo AS (SELECT article_id, floor((rank - 1) / ceil(n / 5))::INT AS fold FROM rk)"
 OPTS = """opts AS (SELECT acronym, list_sort(list(DISTINCT expansion)) AS options, count(DISTINCT expansion) AS n_options FROM dict GROUP BY 1)"""
 SIM = lambda a, b: f"""(replace(lower({a}), '-', ' ') = replace(lower({b}), '-', ' ') OR array_to_string([x[1:4] FOR x IN string_split(replace(lower({a}), '-', ' '), ' ')], ' ') = array_to_string([x[1:4] FOR x IN string_split(replace(lower({b}), '-', ' '), ' ')], ' ') OR levenshtein(replace(lower({a}), '-', ' '), replace(lower({b}), '-', ' ')) <= 2)"""
 CHOICES = f"WITH {DICT}, {MENTIONS}, {FREQ}, {OPTS}, ch AS (SELECT m.article_id, m.acronym, m.\"order\", m.expansion AS actual, f.expansion AS predicted, f.share AS confidence, coalesce(m.expansion = f.expansion, false) AS success, coalesce(list_contains(o.options, m.expansion), false) AS in_db, coalesce(o.n_options > 1, false) AS ambiguous FROM ment m LEFT JOIN freq f ON f.acronym = m.acronym AND f.r = 1 LEFT JOIN opts o ON o.acronym = m.acronym)"
@@ -570,7 +573,7 @@ def t5_nearest(spark, sf):
     return E.nearest(v.select(F.col("vec_id").alias("id"), F.col("label").alias("block"), "vector"), v.select(F.col("vec_id").alias("train_id"), "label", F.col("label").alias("block"), "vector")).select("id", "label", F.round("cos", 8).alias("cos"))
 
 
-@query()
+@query(f"WITH {DICT}, {RANKED} SELECT article_id, rank FROM rk")
 def t6_hash_shuffle(spark, sf):
     return Sp.ranked(dictionary(spark, sf).select("article_id")).select("article_id", "rank")
 
@@ -679,6 +682,21 @@ def f16_edit_distance(spark, sf):
     return name_pairs(spark, sf).withColumn("d", F.levenshtein("a", "b").cast("long"))
 
 
+def linked_pages(spark, sf) -> DataFrame:
+    """A page for each part, which has its acronym with the name as title, or as the text of a link."""
+    a = F.col("acronym")
+    html = F.when(F.col("pos") % 4 == 0, F.concat(F.lit('<p>The <abbr title="'), "expansion", F.lit('">'), a, F.lit("</abbr></p>")))
+    html = html.when(F.col("pos") % 4 == 1, F.concat(F.lit('<p>See <a href="/part/'), "article_id", F.lit('.html#top">'), a, F.lit("</a></p>")))
+    html = html.when(F.col("pos") % 4 == 2, F.concat(F.lit('<p>See <a href="#here" title="'), "expansion", F.lit('">'), a, F.lit("</a></p>")))
+    html = html.otherwise(F.concat(F.lit('<p>See <a href="#here">'), a, F.lit("</a></p>")))
+    return dictionary(spark, sf).select("article_id", "acronym", F.concat(F.lit("https://example.org/about/"), "article_id", F.lit(".html")).alias("url"), html.alias("html"))
+
+
+@query(f"WITH {DICT} SELECT article_id, '/part/' || article_id || '.html#top' AS href, 'https://example.org/part/' || article_id || '.html' AS target FROM dict WHERE pos % 4 = 1")
+def p12_f17_followable(spark, sf):
+    return Lk.followable(Lk.links(linked_pages(spark, sf))).select("article_id", "href", "target")
+
+
 @query()
 def f17_url_join(spark, sf):
     p = t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("article_id"), "url", "html")
@@ -729,11 +747,15 @@ def _extract(rule):
 for _r in Ex.REGISTRY:
     QUERIES[f"x_{_r}"] = _extract(_r)
 # each name's words are the initials of its acronym, so that the rules that take whole words find the name
-for _r in ("schwartz_hearst", "schwartz_hearst_original", "schwartz_hearst_abbreviations", "cascade", "character_match"):
+for _r in ("schwartz_hearst", "schwartz_hearst_original", "schwartz_hearst_abbreviations", "cascade", "character_match", "french_schwartz_hearst"):
     ORACLE[f"x_{_r}"] = f"WITH {ARTICLES} SELECT article_id, acronym, p_name AS expansion FROM art"
+# rules of word boundaries take no function word in capitals for an acronym
+for _r in ("boundaries", "brackets"):
+    ORACLE[f"x_{_r}"] = ORACLE["x_cascade"] + " WHERE acronym <> 'OR'"
 
 
-@query()
+# the type, a word in capitals, is tagged as a short form without a long one
+@query(f"WITH {ARTICLES} SELECT article_id, acronym, p_name AS expansion FROM art UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_type, NULL FROM part")
 def x12_pairs_from_tags(spark, sf):
     from sparkronym.operators.matchers import tag_characters, words_of
 
@@ -826,7 +848,7 @@ def r9_term_vectors(spark, sf):
     return s.select("acronym", "expansion", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
 
 
-@query()
+@query(f"WITH {DICT}, {MENTIONS}, {OPTS} SELECT article_id, acronym, options[{_DRAW(0, "article_id || ':' || acronym")} % n_options + 1] AS expansion, 1 / n_options AS confidence FROM (SELECT DISTINCT article_id, acronym FROM ment) JOIN opts USING (acronym)")
 def e1_random(spark, sf):
     return E.random_choice(mentions(spark, sf), D.options(dictionary(spark, sf)))
 
@@ -862,7 +884,10 @@ def e4_e5_dense_cosine(spark, sf):
     return E.dense_cosine_others(v).withColumn("confidence", F.round("confidence", 8))
 
 
-@query()
+LABEL_SUMS = "v AS (SELECT vec_id, CAST(label AS VARCHAR) AS expansion, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT expansion, list(x ORDER BY i) AS tv FROM (SELECT expansion, i, sum(x) AS x FROM (SELECT expansion, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1), c AS (SELECT vec_id, s.expansion, list_dot_product(v, tv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(tv, tv))) AS c FROM v, s)"
+
+
+@query(f"WITH {LABEL_SUMS} SELECT CAST(vec_id AS VARCHAR) AS article_id, 'L' AS acronym, expansion, round(greatest(0, c), 8) AS confidence FROM c")
 def e4_term_cosine(spark, sf):
     """Every vector against each label's sum of vectors."""
     v = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("article_id"), F.lit("L").alias("acronym"), F.col("label").cast("string").alias("expansion"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -884,12 +909,12 @@ QUERIES["e7_svm_balanced"] = _fitted(E.svm, balanced=True, penalty="l1")
 QUERIES["e8_random_forest"] = _fitted(E.random_forest)
 
 
-@query()
+@query(f"WITH {LABEL_SUMS}, m AS (SELECT CAST(vec_id % 100 AS VARCHAR) AS article_id, expansion, avg(c) AS c FROM c GROUP BY 1, 2) SELECT article_id, 'L' AS acronym, expansion, round(c, 8) AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY c DESC, expansion) = 1")
 def e9_vote(spark, sf):
     v = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
     terms = R.term_vectors(v.select(F.col("vec_id").alias("article_id"), "vector"), v.select(F.col("vec_id").alias("article_id"), F.lit("L").alias("acronym"), F.col("label").cast("string").alias("expansion")))
     w = v.select((F.col("vec_id") % 100).cast("string").alias("article_id"), F.lit("L").alias("acronym"), F.col("vec_id").alias("at"), "vector")
-    return E.choose(E.vote_scores(w, terms))
+    return E.choose(E.vote_scores(w, terms)).withColumn("confidence", F.round("confidence", 8))
 
 
 @query()
@@ -918,17 +943,17 @@ def m5_folds_in_order(spark, sf):
     return Sp.modular_folds(t(spark, sf, "orders").select(F.col("o_orderkey").alias("article_id")))
 
 
-@query()
+@query(f"WITH {DICT}, {RANKED} SELECT article_id, CASE WHEN rank <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM rk")
 def m4_split(spark, sf):
     return Sp.split(dictionary(spark, sf))
 
 
-@query()
+@query(f"WITH {DICT}, {FOLDS} SELECT * FROM fo")
 def m5_folds(spark, sf):
     return Sp.folds(dictionary(spark, sf))
 
 
-@query()
+@query(f"WITH {DICT}, {FOLDS} SELECT dict.* FROM dict JOIN fo USING (article_id) WHERE fold <> 0")
 def m6_realign(spark, sf):
     d = dictionary(spark, sf)
     return Sp.realign(d, Sp.folds(d), 0, "train")
@@ -946,11 +971,19 @@ def m1_expand(spark, sf):
     return P.expand(a, _corpus(spark, sf))
 
 
-@query()
+@query(f"WITH {DICT} SELECT article_id, acronym, expansion FROM dict WHERE pos % 2 = 0")
+def j8_titles(spark, sf):
+    p = linked_pages(spark, sf)
+    return Lk.titles(p, Lk.links(p))
+
+
+@query(f"WITH {DICT} SELECT article_id, acronym, expansion FROM dict WHERE pos % 4 <> 3")
 def m2_follow_links(spark, sf):
-    p = t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("article_id"), "url", "html")
-    open_ = p.select("article_id", F.explode(F.array(F.lit("The"), F.lit("It"))).alias("acronym"))
-    return Lk.follow(open_, Lk.links(p), p)
+    """Titles, and what the pages behind the links say, each of which defines its part's acronym."""
+    p = linked_pages(spark, sf)
+    a = part_articles(spark, sf)
+    there = a.select("article_id", F.concat(F.lit("https://example.org/part/"), "article_id", F.lit(".html")).alias("url"), F.concat(F.lit("<p>"), "raw_text", F.lit("</p>")).alias("html"))
+    return Lk.follow(p.select("article_id", "acronym"), Lk.links(p), there)
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS article_id, len(regexp_extract_all(html, '<a ')) AS n FROM pages")
