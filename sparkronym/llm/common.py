@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from sparkronym.shipping import ship  # noqa: F401 the operators import it from here
 
@@ -83,6 +84,24 @@ def names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def numbered(scratch: Scratch, df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """df with _idx, the row's place from 0 among those of its key in the given order, and
+    _total, the rows of the key. Nulls come first; rows that tie get places in any order.
+
+    The rows are sorted by ranges of (key, order), so that a key of many rows is spread over
+    many tasks, and written; places follow from how many rows of the key each task before
+    has, a table of a row for each task and key."""
+    cols = df.columns
+    ranged = df.repartitionByRange(*(F.asc_nulls_first(c) for c in (key, *order))).sortWithinPartitions(*(F.asc_nulls_first(c) for c in (key, *order)))
+    ranged = scratch.save(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    w = Window.partitionBy("_key")
+    parts = ranged.groupBy(F.col(key).alias("_key"), F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_key", "_part", (before - F.col("_first")).alias("_add"), F.sum("_n").over(w).alias("_total"))
+    out = ranged.join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.shiftright("_at", 33) == F.col("_part")))
+    return out.select(*cols, (F.col("_at") + F.col("_add")).alias("_idx"), "_total")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkronym.llm import bpe, embeddings, exact_dedup, jaccard, lines, mixing, sharding, substrings, toxicity, warc
+from sparkronym.llm import bpe, divergence, embeddings, exact_dedup, jaccard, lines, lm, manifest, mixing, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_lm_scoring": lm.op11_lm_scoring,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE = {
@@ -23,4 +26,6 @@ ORACLE = {
     "op2_ngram_jaccard": jaccard.ORACLE,
     "op4_substring_dedup": substrings.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }

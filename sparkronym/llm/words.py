@@ -56,13 +56,14 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20) -> Ite
             yield batch.slice(int(a), int(b - a))
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and len(off) offsets into them: words[k]:words[k+1] are of text k."""
+def spans(data: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are not apart, by default the words
+    [^\\x20\\x09-\\x0D]+, and len(off) offsets into them: words[k]:words[k+1] are of text k."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    ns = ~IS_SPACE[data]
+    ns = ~apart[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, ns[:-1]
     before[off[:-1][off[:-1] < n]] = False
