@@ -15,6 +15,7 @@ end, so that no group of them is held by one task.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -235,8 +236,11 @@ def rewrite(spark: SparkSession, root: str, schema: T.StructType, placed: DataFr
 
     placed: the plan for the rows of root (schema: without or with shard_col). Shards that
     give rows are written anew without them, those that take rows get further files, all
-    others stay as they are. Everything is written beside root first; old files go only
-    after that. Most rows that stay never meet the plan: it is asked, in a join, only for
+    others stay as they are. New files are written beside the shards, in the store itself;
+    then givers' old folders are renamed aside, the new files renamed in, and the store's
+    rows counted. Only then old files are deleted. Whatever fails before is undone: the
+    store is as it was, or, where undoing fails too, an error names the folders that hold
+    all rows, and recover() puts them back. Most rows that stay never meet the plan: it is asked, in a join, only for
     rows that pass a sieve of those that move. Null ids are ids like others; of rows that
     repeat id and text, as many go as the plan says. Rows of a null shard stay.
     Columns of any name but shard_col are kept as they are."""
@@ -275,24 +279,88 @@ def rewrite(spark: SparkSession, root: str, schema: T.StructType, placed: DataFr
     found = scratch.save(found, "found")
     # texts meet their new shards once, and by the same kind of join at every size
     went = asked.drop(key, at).join(found.hint("merge"), F.col(row) == F.col(k), "left").withColumn(shard_col, F.coalesce(copies, shard_col)).select(*rows.columns)
-    staged = scratch.path("staged")
-    stay.unionByName(went).write.option("compression", "zstd").partitionBy(shard_col).parquet(staged)
-    fs, path = _files(spark, root)
-    for j in sorted({*givers, *takers}):
-        new, place = path(f"{staged}/{shard_col}={j}"), path(f"{root}/{shard_col}={j}")
-        if j in givers:
-            fs.delete(place, True)
-        if fs.exists(new):
-            fs.mkdirs(place)
-            for f in fs.listStatus(new):
-                fs.rename(f.getPath(), path(f"{root}/{shard_col}={j}/{f.getPath().getName()}"))
-    scratch.close()
+    total = read_store(spark, root, schema, shard_col).count()
+    aside = f"{root}/_rewrite-{uuid.uuid4().hex}"
+    try:
+        stay.unionByName(went).write.option("compression", "zstd").partitionBy(shard_col).parquet(f"{aside}/new")
+        _swap(_Files(spark, root), root, aside, shard_col, givers, takers, lambda: read_store(spark, root, schema, shard_col).count() == total)
+    finally:
+        scratch.close()
     return sorted({*givers, *takers})
 
 
-def _files(spark: SparkSession, root: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+class _Files:
+    """Renames and deletes that fail loudly."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def names(self, path: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(path))) if self.exists(path) else []
+
+    def make(self, path: str) -> None:
+        if not self._fs.mkdirs(self._path(path)):
+            raise OSError(f"{path}: can't be made")
+
+    def rename(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{old}: can't be renamed to {new}")
+
+    def delete(self, path: str) -> None:
+        if self.exists(path) and not self._fs.delete(self._path(path), True):
+            raise OSError(f"{path}: can't be deleted")
+
+
+def _swap(files: _Files, root: str, aside: str, shard_col: str, givers: list[int], takers: list[int], complete) -> None:
+    """Puts the files of aside/new into the store and givers' old folders into aside/old, or leaves all as it was."""
+    try:
+        files.make(f"{aside}/old")
+        for j in givers:
+            if files.exists(f"{root}/{shard_col}={j}"):
+                files.rename(f"{root}/{shard_col}={j}", f"{aside}/old/{shard_col}={j}")
+        for j in sorted({*givers, *takers}):
+            new = f"{aside}/new/{shard_col}={j}"
+            if files.exists(new):
+                if not files.exists(f"{root}/{shard_col}={j}"):
+                    files.make(f"{root}/{shard_col}={j}")
+                files.make(f"{aside}/in/{shard_col}={j}")  # what has gone in, by name, for whoever has to undo it
+                for f in files.names(new):
+                    files.make(f"{aside}/in/{shard_col}={j}/{f}")
+                    files.rename(f"{new}/{f}", f"{root}/{shard_col}={j}/{f}")
+        if not complete():
+            raise OSError(f"{root}: rows are missing or too many after shards were rewritten")
+    except BaseException as e:
+        try:
+            _undo(files, root, aside)
+        except Exception as again:  # noqa: BLE001 said with the first
+            raise OSError(f"{aside}: holds rows of {root}; recover() puts them back ({again})") from e
+        raise
+    files.make(f"{aside}/done")
+    files.delete(aside)
+
+
+def _undo(files: _Files, root: str, aside: str) -> None:
+    if not files.exists(f"{aside}/done"):
+        for shard in files.names(f"{aside}/in"):
+            for f in files.names(f"{aside}/in/{shard}"):
+                files.delete(f"{root}/{shard}/{f}")
+        for shard in files.names(f"{aside}/old"):
+            files.delete(f"{root}/{shard}")  # only new files were in it, and they are gone
+            files.rename(f"{aside}/old/{shard}", f"{root}/{shard}")
+    files.delete(aside)
+
+
+def recover(spark: SparkSession, root: str) -> int:
+    """Puts back what rewrites that were cut off (the driver died) left in a store; returns how many there were."""
+    files = _Files(spark, root)
+    cut = [f for f in files.names(root) if f.startswith("_rewrite-")]
+    for f in cut:
+        _undo(files, root, f"{root}/{f}")
+    return len(cut)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -535,3 +535,42 @@ def test_a_large_leaf_is_parsed_in_chunks(spark):
     d = spark.createDataFrame([(i, f"Written by the user {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} for the club") for i in range(600)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_lines(d, chunk_tokens=200).collect()}
     assert got == {i: int(i > 0) for i in range(600)}
+
+
+class Dies(BaseException):
+    """The driver's end."""
+
+
+@pytest.mark.parametrize("kind", [OSError, Dies])
+@pytest.mark.parametrize("step", [0, 1, 2, 4])
+def test_rewrite_loses_nothing_when_renames_fail(spark, tmp_path, monkeypatch, step, kind):
+    """A rename fails half-way, or the driver ends there before it can undo anything: all rows are there, or come back."""
+    rows = [(i if i % 9 else None, f"text {i} " * (i % 7)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    root = f"file://{tmp_path}/store"
+    sharding.store(d, root, sharding.dealt_by_id("doc_id", 4))
+    own = lambda: sharding.read_store(spark, root, d.schema)
+    before = sorted(map(str, own().collect()))
+    placed = sharding.plan(Scratch(spark, "t"), own(), 3, "rows", F.col("shard"), 4)
+    rename, undo, calls = sharding._Files.rename, sharding._undo, []
+
+    def failing(self, old, new):
+        calls.append(new)
+        if len(calls) == step + 1:
+            raise kind("no more")
+        rename(self, old, new)
+
+    def no_undo(*args):
+        raise OSError("not even that")
+
+    monkeypatch.setattr(sharding._Files, "rename", failing)
+    if kind is Dies:
+        monkeypatch.setattr(sharding, "_undo", no_undo)
+    with pytest.raises(OSError):
+        sharding.rewrite(spark, root, d.schema, placed)
+    monkeypatch.undo()
+    if kind is Dies:
+        assert sharding._undo is undo and sharding.recover(spark, root) == 1
+    assert sorted(map(str, own().collect())) == before and sharding.recover(spark, root) == 0
+    sharding.rewrite(spark, root, d.schema, placed)
+    assert sorted(str((r["doc_id"], r["text"])) for r in own().collect()) == sorted(map(str, rows))
