@@ -49,16 +49,27 @@ def cosine_scores(mentions: DataFrame, dictionary: DataFrame, test_vectors: Data
     """For each option the largest cosine of its training articles with the test article, at least 0.
 
     Vectors are sparse (article_id, term, weight): a join on acronym and term, so that
-    only terms that both sides have are met, and no pair of articles is made without."""
-    norm = lambda v: v.groupBy("article_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    tn = norm(train_vectors).withColumnRenamed("article_id", "train_id")
-    train = dictionary.select("acronym", "expansion", F.col("article_id").alias("train_id")).distinct().join(tn, "train_id")
-    train = train.join(train_vectors.select(F.col("article_id").alias("train_id"), "term", F.col("weight").alias("tw")), "train_id").withColumn("tw", F.col("tw") / F.col("norm")).drop("norm")
-    test = mentions.select(*KEYS).distinct().join(norm(test_vectors), "article_id").join(test_vectors, "article_id").withColumn("weight", F.col("weight") / F.col("norm")).drop("norm")
-    sims = test.join(train, ["acronym", "term"]).groupBy(*KEYS, "expansion", "train_id").agg(F.sum(F.col("weight") * F.col("tw")).alias("cos"))
-    best = sims.groupBy(*KEYS, "expansion").agg(F.max("cos").alias("confidence"))
-    every = mentions.select(*KEYS).distinct().join(dictionary.select("acronym", "expansion").distinct(), "acronym")
-    return every.join(best, [*KEYS, "expansion"], "left").select(*KEYS, "expansion", F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+    only terms that both sides have are met, and no pair of articles is made without.
+    Equal vectors are one on both sides, however many mentions or articles have them."""
+    tests, near = _folded(mentions.select(*KEYS).distinct(), test_vectors, ["acronym"])
+    _, train = _folded(dictionary.select("acronym", "expansion", "article_id").distinct(), train_vectors, ["acronym", "expansion"])
+    flat = lambda df, w: df.select(*(c for c in df.columns if c != "bag"), F.explode("bag").alias("x")).select("*", "x.term", F.col("x.weight").alias(w)).drop("x")
+    sims = flat(near, "weight").join(flat(train.withColumnRenamed("same", "other"), "tw"), ["acronym", "term"]).groupBy("acronym", "same", "expansion", "other").agg(F.sum(F.col("weight") * F.col("tw")).alias("cos"))
+    best = sims.groupBy("acronym", "same", "expansion").agg(F.max("cos").alias("confidence"))
+    options = dictionary.select("acronym", "expansion").distinct()
+    every = mentions.select(*KEYS).distinct().join(tests, KEYS, "left").join(options, "acronym")
+    return every.join(best, ["acronym", "same", "expansion"], "left").select(*KEYS, "expansion", F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+
+
+def _folded(rows: DataFrame, vectors: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (article_id, ...) with a name of their article's vector, and each different vector once for the columns by:
+    (by, same, bag array<struct<term, weight>>), of length 1. Articles without a vector are left out."""
+    bags = vectors.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight")))).alias("bag"))
+    length = F.sqrt(F.aggregate("bag", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    bags = bags.withColumn("same", F.sha2(F.to_json("bag"), 256)).withColumn("length", length).where("length > 0")
+    unit = F.transform("bag", lambda x: F.struct(x["term"].alias("term"), (x["weight"] / F.col("length")).alias("weight")))
+    named = rows.join(bags.select("article_id", "same", unit.alias("bag")), "article_id")
+    return named.drop("bag"), named.groupBy(*by, "same").agg(F.first("bag").alias("bag"))
 
 
 def dense_cosine_scores(mentions: DataFrame, dictionary: DataFrame, test_vectors: DataFrame, train_vectors: DataFrame) -> DataFrame:

@@ -8,28 +8,73 @@ made distinct before they are compared, so that popular ones cost no more.
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkronym.functions.similarity import similar
+from sparkronym.functions.similarity import plain, prefix4
 from sparkronym.functions.text import singular_acronym
 from sparkronym.operators.dictionary import representatives
 from sparkronym.shipping import ship
+from sparkronym.storage import Steps
+
+
+#: Edits between similar expansions at most; of one piece more, one is the same in both.
+EDITS = 2
+
+
+def _pieces(length: Column, k: Column) -> tuple[Column, Column]:
+    """Start (from 0) and size of piece k of EDITS + 1 near equal ones of a string."""
+    n, size = EDITS + 1, F.floor(length / (EDITS + 1)).cast("int")
+    more = length % n  # the last so many pieces have one character more
+    return k * size + F.greatest(F.lit(0), k - (n - more)), size + F.when(k >= n - more, 1).otherwise(0)
 
-_own: str | None = None
+
+def near_edits(names: DataFrame) -> DataFrame:
+    """(acronym, x, y), x < y: distinct names of an acronym at most EDITS edits apart.
+
+    A name is cut into one piece more than edits; one of them stands in any name so near, at most as many places
+    off and in a name at most as much longer. So names meet by (acronym, length, piece, its text), never all with
+    all of an acronym, and only who meets is compared."""
+    d = names.select("acronym", "name").distinct().withColumn("len", F.length("name"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(EDITS))).alias("k")
+    start, size = _pieces(F.col("len"), F.col("k"))
+    has = d.select("acronym", "name", "len", k).select("acronym", F.col("name").alias("short"), "len", "k", F.col("name").substr(start + 1, size).alias("piece"))
+    less = F.explode(F.sequence(F.greatest(F.lit(0), F.col("len") - EDITS), F.col("len"))).alias("other")
+    asks = d.select("acronym", "name", "len", less).select("acronym", "name", "len", "other", k)
+    start, size = _pieces(F.col("other"), F.col("k"))
+    off = F.explode(F.sequence(F.greatest(F.lit(0), start - EDITS), F.least(F.col("len") - size, start + EDITS))).alias("at")
+    fits = F.greatest(F.lit(0), start - EDITS) <= F.least(F.col("len") - size, start + EDITS)
+    asks = asks.where(fits).select("acronym", "name", F.col("other").alias("len"), "k", size.alias("size"), off)
+    asks = asks.select("acronym", "name", "len", "k", F.expr("substr(name, at + 1, size)").alias("piece")).distinct()
+    met = asks.join(has, ["acronym", "len", "k", "piece"]).where("name <> short").select("acronym", F.least("name", "short").alias("x"), F.greatest("name", "short").alias("y")).distinct()
+    return met.where(F.levenshtein("x", "y", EDITS) >= 0)
 
 
 def similar_pairs(dictionary: DataFrame) -> DataFrame:
-    """(acronym, a, b), a < b: distinct similar expansions of an acronym."""
-    d = dictionary.select(singular_acronym("acronym").alias("acronym"), "expansion").distinct()
-    a, b = d.withColumnRenamed("expansion", "a"), d.withColumnRenamed("expansion", "b")
-    return a.join(b, "acronym").where((F.col("a") < F.col("b")) & similar("a", "b"))
+    """(acronym, a, b), a < b: distinct similar expansions of an acronym: equal when plain, of equal word prefixes, or
+    at most two edits apart. Each of the three is a join on what both have."""
+    d = dictionary.select(singular_acronym("acronym").alias("acronym"), "expansion").distinct().select("*", plain("expansion").alias("plain"))
+    d = d.withColumn("prefix", prefix4("plain"))
+    a, b = (d.select("acronym", F.col("expansion").alias(x), F.col("plain").alias(f"plain_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "ab")
+    same = a.join(b.withColumnRenamed("prefix_b", "prefix_a"), ["acronym", "prefix_a"])  # equal when plain: of equal prefixes too
+    edits = near_edits(d.select("acronym", F.col("plain").alias("name")))
+    both = edits.unionByName(edits.select("acronym", F.col("y").alias("x"), F.col("x").alias("y")))
+    near = both.join(a, (a.acronym == both.acronym) & (a.plain_a == both.x)).select(both.acronym, "y", "a")
+    near = near.join(b, (b.acronym == near.acronym) & (b.plain_b == near.y)).select(near.acronym, "a", "b")
+    return same.select("acronym", "a", "b").unionByName(near).where("a < b").distinct()
+
+
+def similar_links(dictionary: DataFrame) -> DataFrame:
+    """(acronym, a, b): links whose components are those of similar_pairs, but for a group of equal word prefixes only
+    one from each to the first."""
+    d = dictionary.select(singular_acronym("acronym").alias("acronym"), "expansion").distinct().select("*", plain("expansion").alias("plain"))
+    d = d.withColumn("prefix", prefix4("plain"))
+    first = lambda c: d.groupBy("acronym", c).agg(F.min("expansion").alias("a"))
+    star = d.join(first("prefix"), ["acronym", "prefix"]).where("expansion <> a").select("acronym", "a", F.col("expansion").alias("b"))
+    edits, one = near_edits(d.select("acronym", F.col("plain").alias("name"))), first("plain")
+    near = edits.join(one.withColumnRenamed("plain", "x"), ["acronym", "x"]).join(one.select("acronym", F.col("plain").alias("y"), F.col("a").alias("b")), ["acronym", "y"])
+    return star.unionByName(near.select("acronym", "a", "b"))
 
 
 def same_article_pairs(dictionary: DataFrame) -> DataFrame:
@@ -45,47 +90,27 @@ def clusters(dictionary: DataFrame, articles: bool = True) -> DataFrame:
     Each step takes the smallest label among an expansion and its neighbours and then that
     label's own label, so that chains of any length shorten by halves, until none
     changes; each step is written to the checkpoint folder."""
-    links = similar_pairs(dictionary)
+    links = similar_links(dictionary)
     if articles:
         links = links.unionByName(same_article_pairs(dictionary))
     both = links.unionByName(links.select("acronym", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _cut(both)
-    labels = _cut(dictionary.select(singular_acronym("acronym").alias("acronym"), "expansion").distinct().withColumn("cluster", F.col("expansion")))
+    steps = Steps(dictionary.sparkSession, "linkage")
+    both = steps.cut(both)
+    labels = steps.cut(dictionary.select(singular_acronym("acronym").alias("acronym"), "expansion").distinct().withColumn("cluster", F.col("expansion")))
+    last = labels
     while True:
         near = both.join(labels.withColumnRenamed("expansion", "b"), ["acronym", "b"]).groupBy("acronym", F.col("a").alias("expansion")).agg(F.min("cluster").alias("near"))
         step = labels.join(near, ["acronym", "expansion"], "left").select("acronym", "expansion", F.col("cluster").alias("old"), F.least("cluster", "near").alias("cluster"))
         over = labels.select("acronym", F.col("expansion").alias("cluster"), F.col("cluster").alias("over"))
-        new = _cut(step.join(over, ["acronym", "cluster"], "left").select("acronym", "expansion", "old", F.least("cluster", "over").alias("cluster")))
+        new = steps.cut(step.join(over, ["acronym", "cluster"], "left").select("acronym", "expansion", "old", F.least("cluster", "over").alias("cluster")))
         done = new.where("old <> cluster").isEmpty()
-        labels = new.drop("old")
+        steps.drop(last)
+        last, labels = new, new.drop("old")
         if done:
+            steps.drop(both)
             return labels
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: written to the shared folder that spark.checkpoint.dir names and read again. A folder of our
-    own serves only one machine without that setting. What was written goes when the driver ends."""
-    global _own
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        _own = root = _own or "file://" + tempfile.mkdtemp(prefix="sparkronym-")
-    path = f"{root.rstrip('/')}/linkage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 the session has ended; the folder belongs to it
-        pass
-
-
 def link(dictionary: DataFrame, articles: bool = True) -> DataFrame:
     """The dictionary under singular acronyms with representatives for expansions, one row for each article."""
     d = dictionary.withColumn("acronym", singular_acronym("acronym"))

@@ -42,7 +42,7 @@ def match_right_to_left(short: str, long: str) -> str | None:
 
 
 def plausible(short: str, best: str | None) -> bool:
-    if best is None:
+    if best is None or len(short) < 2:
         return False
     n, words = alnum(short), len(re.split(r"[ -]", best))
     return len(best) >= len(short) and f"{short} " not in best and not best.endswith(short) and words <= min(2 * n, n + 5) and n <= 10
@@ -233,25 +233,37 @@ def upper_share(t: str) -> float:
     return sum(c.isupper() for c in t) / max(1, len(t))
 
 
+def match_left_to_right(short: str, long: str) -> str | None:
+    """The shortest beginning of long, to a word's end, that holds the letters of short in order, the first at its start."""
+    letters = [c.lower() for c in short if c.isalnum()]
+    at = 0
+    for k, c in enumerate(letters):
+        found = long.lower().find(c, at)
+        if found < 0 or not k and found:
+            return None
+        at = found + 1
+    return long[: (long + " ").index(" ", at)] if letters else None
+
+
 def tag_characters(tokens: list[str]) -> list[str]:
-    """BIO tags of `long ( ABC )` and `ABC ( long )`, where initials are the capitals of ABC."""
+    """BIO tags of `long ( ABC )` and `ABC ( long )`: the letters of ABC in order in the words next to the bracket,
+    sought from the bracket's side on, min(n + 5, 2n) words at most."""
     tags = ["O"] * len(tokens)
     for i, t in enumerate(tokens):
-        if not (2 <= len(t) <= 10 and upper_share(t) > 0.6):
+        if not (2 <= len(t) <= 10 and t[0].isupper() and upper_share(t) > 0.6):
             continue
-        letters = [c.lower() for c in t if c.isupper()]
-        n = len(letters)
-        spans = []
-        if i and tokens[i - 1] == "(" and i >= n + 1:
-            spans.append(range(i - 1 - n, i - 1))
-        if i + 1 < len(tokens) and tokens[i + 1] == "(" and i + 2 + n <= len(tokens):
-            spans.append(range(i + 2, i + 2 + n))
+        most = min(len(t) + 5, 2 * len(t))
         tags[i] = "B-short"
-        for span in spans:
-            if [tokens[k][0].lower() for k in span] == letters:
-                for k in span:
-                    tags[k] = "B-long" if k == span[0] else "I-long"
-                break
+        span: range = range(0)
+        if i + 1 < len(tokens) and tokens[i + 1] == "(":
+            end = next((k for k in range(i + 2, len(tokens)) if tokens[k] == ")"), len(tokens))
+            best = match_left_to_right(t, " ".join(tokens[i + 2 : min(end, i + 2 + most)]))
+            span = range(i + 2, i + 2 + len(best.split())) if best else span
+        elif i > 1 and tokens[i - 1] == "(":
+            best = match_right_to_left(t, " ".join(tokens[max(0, i - 1 - most) : i - 1]))
+            span = range(i - 1 - len(best.split()), i - 1) if best else span
+        for k in span:
+            tags[k] = "B-long" if k == span[0] else "I-long"
     return tags
 
 

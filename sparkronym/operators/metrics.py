@@ -193,31 +193,45 @@ def confidence_report(scored: DataFrame, results: DataFrame, expanders: list[str
     return out.withColumn("some_right_some_wrong", differ)
 
 
+def _rounds(values: DataFrame, rounds: int, draw: str, seed: int) -> DataFrame:
+    """(round, s, k): sums over values (value, n) of value times a draw for its n rows, and of the draws alone.
+
+    Equal values are one row with their number, so that work is values times rounds however many rows there are.
+    draw: how many of n rows are swapped ("half") or how often n rows are drawn again ("again"); draws follow from
+    the value and the seed, whatever task the value is in. A task returns one row for each round."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        s, k = np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            for v, n in zip(batch.column("value").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                rng = np.random.default_rng([seed, int(np.float64(v).view(np.uint64))])
+                x = n - 2 * rng.binomial(n, 0.5, rounds) if draw == "half" else rng.poisson(n, rounds)
+                s += v * x
+                k += x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, rounds + 1)), pa.array(s), pa.array(k)], names=["round", "s", "k"])
+
+    folded = values.where("value is not null").select((F.col("value").cast("double") + 0.0).alias("value")).groupBy("value").agg(F.count("*").alias("n"))  # 0 has no sign
+    return folded.mapInArrow(run, "round long, s double, k double").groupBy("round").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+
+
 def randomisation_test(pairs: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """Paired randomisation: (item, a, b) -> observed difference of means and the share of rounds, in each of which
-    half of the items are swapped by a hash, with at least that difference."""
-    p = pairs.select("item", (F.col("a") - F.col("b")).cast("double").alias("d"))
-    sums = p.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "item", "d")
-    sign = F.when(F.xxhash64("item", "round", F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
-    by_round = sums.groupBy("round").agg(F.abs(F.avg(F.col("d") * sign)).alias("m"))
-    seen = p.agg(F.abs(F.avg("d")).alias("observed"))
-    return by_round.crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.avg((F.col("m") >= F.col("observed") - 1e-12).cast("double")).alias("p_value"))
+    each item is swapped or not with equal chance, with at least that difference.
+
+    Items of one difference are alike: how many of them are swapped is one binomial draw. Items without both
+    values are left out."""
+    d = pairs.select((F.col("a") - F.col("b")).cast("double").alias("value"))
+    seen = d.agg(F.abs(F.avg("value")).alias("observed"), F.count("value").alias("n"))
+    by_round = _rounds(d, rounds, "half", seed).crossJoin(F.broadcast(seen))  # one row
+    return by_round.agg(F.max("observed").alias("observed"), F.avg((F.abs(ratio(F.col("s"), F.col("n"))) >= F.col("observed") - 1e-12).cast("double")).alias("p_value"))
 
 
 def bootstrap(values: DataFrame, rounds: int = 10_000, level: float = 0.9, seed: int = 0, value_col: str = "value", id_col: str = "item") -> DataFrame:
-    """Percentile interval of the mean: each item is in a round as often as a Poisson variable of mean 1 says.
-
-    Sums by round are taken on the map side, so that what is shuffled is a row for each
-    round and task."""
-    u = (F.pmod(F.xxhash64(id_col, "round", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    total, n = 0.36787944117144233, F.lit(0)
-    cumulative, term = total, total
-    for k in range(1, 20):  # the number of steps of the distribution function below u; a twentieth is below u's last digit
-        n = n + (u > cumulative).cast("int")
-        term /= k
-        cumulative += term
-    r = values.select(id_col, value_col, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("k", n)
-    means = r.groupBy("round").agg(ratio(F.sum(F.col(value_col) * F.col("k")), F.sum("k")).alias("m"))
+    """Percentile interval of the mean: each item is in a round as often as a Poisson variable of mean 1 says, so
+    that items of one value are so as often as one of their number's mean. Null values are left out."""
+    means = _rounds(values.select(F.col(value_col).cast("double").alias("value")), rounds, "again", seed).select(ratio(F.col("s"), F.col("k")).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.percentile("m", tail).alias("low"), F.avg("m").alias("mean"), F.percentile("m", 1 - tail).alias("high"))
 

@@ -1046,3 +1046,110 @@ def stream_counts_by_window(spark, sf):
     from sparkronym.streaming.ingest import counts_by_window
 
     return counts_by_window(t(spark, sf, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+# -- learned taggers and vectors ------------------------------------------------------------------------
+
+
+def shaped_sentences(spark, sf) -> DataFrame:
+    """(article_id, tokens, tags): each part's sentence in one of six shapes, one of them without a short form."""
+    p = t(spark, sf, "part")
+    name, n = F.split("p_name", " "), F.size(F.split("p_name", " "))
+    say = lambda words: F.transform(F.split(F.concat_ws(" ", *(F.lit(w) if isinstance(w, str) else w for w in words)), " "), lambda x: F.struct(x.alias("token"), F.lit("O").alias("tag")))
+    long = F.transform(name, lambda x, i: F.struct(x.alias("token"), F.when(i == 0, "B-long").otherwise("I-long").alias("tag")))
+    short = F.array(F.struct(initials("p_name").alias("token"), F.lit("B-short").alias("tag")))
+    size = F.col("p_size").cast("string")
+    shapes = [
+        F.concat(say(["The"]), long, say(["("]), short, say([") of type", F.col("p_type"), "was listed"])), F.concat(short, say(["("]), long, say([") is of brand", F.col("p_brand")])),
+        F.concat(short, say([":"]), long, say([", sold in size", size])), F.concat(say(["A"]), long, say(["-"]), short, say(["- and", F.col("p_type")])),
+        F.concat(say(["In", size, "cases the"]), long, say(["["]), short, say(["] fits"])), say(["Parts of", F.col("p_type"), "and", F.col("p_brand"), "have no short name"]),
+    ]
+    k = F.col("p_partkey") % len(shapes)
+    made = shapes[-1]
+    for i, shape in enumerate(shapes[:-1]):
+        made = F.when(k == i, shape).otherwise(made)
+    s = p.where(n > 0).select(F.col("p_partkey").cast("string").alias("article_id"), made.alias("s"))
+    return s.select("article_id", F.col("s.token").alias("tokens"), F.col("s.tag").alias("tags"))
+
+
+def crf_tagged(spark, sf) -> DataFrame:
+    """All sentences with the tags of an ensemble of five models, fitted on five sixths of them with what two rules say."""
+    from sparkronym.operators import crf, matchers
+    from sparkronym.storage import Steps
+
+    said = {c: crf.tags_by_rule(spark, matchers.RULES[c])("tokens") for c in ("schwartz_hearst", "character_match")}
+    s = shaped_sentences(spark, sf).withColumns(said).withColumn("features", crf.hashed(crf.token_features("tokens", list(said))))
+    draw = F.pmod(F.xxhash64(F.lit("fold"), "article_id"), F.lit(6))
+    s = Steps(spark, "crf").cut(s.select("article_id", "tokens", "tags", "features", draw.alias("fold")))
+    return crf.tagged(s, crf.fit(s.where("fold < 5"), folds=5)).select("article_id", (F.col("fold") == 5).alias("held_out"), "tokens", "tags", "predicted")
+
+
+@query()
+def x10_crf(spark, sf):
+    """Of each tag, over the sentences that the models learnt from and those held out."""
+    from sparkronym.operators import crf
+
+    return crf.scores(crf_tagged(spark, sf), by=["held_out"])
+
+
+def plain_tokens(spark, sf) -> DataFrame:
+    return t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.coalesce(X.tokens("text"), F.array().cast("array<string>")).alias("tokens"))
+
+
+@query()
+def r4_paragraph_vectors(spark, sf):
+    """A vector for each document, told from noise by its words."""
+    from sparkronym.operators import paragraphs as Pv
+
+    return Pv.paragraph_vectors(plain_tokens(spark, sf))[0]
+
+
+@query()
+def r8_seeded_word_vectors(spark, sf):
+    """Vectors of all documents' words; the first word of a document that has an embedding starts there."""
+    from sparkronym.operators import paragraphs as Pv
+
+    first = t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.get(X.tokens("text"), F.lit(0)).alias("term")).where("term is not null")
+    seeds = first.join(t(spark, sf, "embeddings"), "vec_id").groupBy("term").agg(F.min_by("embedding", "vec_id").alias("vector"))
+    return Pv.seeded_word_vectors(plain_tokens(spark, sf), seeds, size=64)
+
+
+@query()
+def e10_per_acronym(spark, sf):
+    """All ambiguous mentions by a model for each acronym."""
+    from sparkronym.operators import paragraphs as Pv
+
+    m, d, tests, train = context_of(spark, sf)
+    count = lambda v: v.select("article_id", "term", F.lit(1).cast("long").alias("tf"))
+    return Pv.per_acronym(m, d, count(tests), count(train)).withColumn("confidence", F.round("confidence", 6))
+
+
+def contexts(spark, sf):
+    """Ambiguous mentions, the dictionary, and tokens of mentions and of parts: their attributes."""
+    m, d = mentions(spark, sf), dictionary(spark, sf)
+    rivals = D.gate(m, d).where("n_options > 1").select("article_id", "acronym")
+    words = lambda df: df.select("article_id", F.split("raw_text", " ").alias("tokens"))
+    p = t(spark, sf, "part")
+    return rivals, d, words(m), words(p.select(F.col("p_partkey").cast("string").alias("article_id"), F.concat_ws(" ", "p_type", "p_brand").alias("raw_text")))
+
+
+@query()
+def e17_graph(spark, sf):
+    """All ambiguous mentions by graph convolution."""
+    from sparkronym.operators import graphs as Gr
+
+    return E.choose(Gr.graph_scores(*contexts(spark, sf))).withColumn("confidence", F.round("confidence", 6))
+
+
+FOUND_NEARLY = """n AS (SELECT p_partkey, p_name AS e, length(p_name) AS l FROM part), w AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN e WHEN 1 THEN replace(e, ' ', '-') WHEN 2 THEN replace(e, ' ', '') ELSE upper(e) || 'x' END AS seen, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS cost FROM n)"""
+
+
+@query(f"WITH {FOUND_NEARLY} SELECT CAST(p_partkey AS VARCHAR) AS article_id, CASE WHEN cost < l // 2 THEN 4 END AS start, CASE WHEN cost < l // 2 THEN seen END AS found, CASE WHEN cost < l // 2 THEN (cost > 0)::INT END AS stage, CASE WHEN cost < l // 2 THEN cost END AS cost FROM w")
+def f23_find_phrase(spark, sf):
+    """Each part's name in a text that has it as it is, with a hyphen, in one word, or with a letter too many."""
+    from sparkronym.functions import phrases as Ph
+
+    k = F.col("pos") % 4
+    seen = F.when(k == 0, F.col("expansion")).when(k == 1, F.replace("expansion", F.lit(" "), F.lit("-"))).when(k == 2, F.replace("expansion", F.lit(" "), F.lit(""))).otherwise(F.concat(F.upper("expansion"), F.lit("x")))
+    d = dictionary(spark, sf).select("article_id", "expansion", F.concat(F.lit("The "), seen, F.lit(" 1234 5678 9012")).alias("raw_text"))
+    return d.select("article_id", Ph.find_phrase("raw_text", "expansion", Ph.TEST).alias("f")).select("article_id", "f.start", "f.found", "f.stage", "f.cost")

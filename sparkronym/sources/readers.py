@@ -141,13 +141,16 @@ def tagged_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("article_id"), "tokens", F.col("labels").alias("tags"))
 
 
-def annotations_csv(spark: SparkSession, path: str) -> DataFrame:
-    """gold of an annotators' CSV: title, id, in-text and out-of-text cells of lines acronym;expansion. Expansions are
-    lower-cased; malformed lines are dropped."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', schema="title string, article_id string, inside string, outside string")
-    cells = rows.select("article_id", F.explode(F.array(F.struct(F.col("inside").alias("c"), F.lit(True).alias("in_text")), F.struct(F.col("outside").alias("c"), F.lit(False).alias("in_text")))).alias("s"))
-    lines = cells.select("article_id", "s.in_text", F.explode(F.split("s.c", r"\r?\n")).alias("line")).withColumn("p", F.split("line", ";")).where("size(p) = 2")
-    return lines.select("article_id", F.trim(F.col("p")[0]).alias("acronym"), F.lower(F.trim(F.col("p")[1])).alias("expansion"), "in_text").where("acronym <> '' and expansion <> ''")
+def annotations_csv(spark: SparkSession, path: str, annotators: int = 1) -> DataFrame:
+    """gold of an annotators' CSV: title, id, then in-text and out-of-text cells of lines acronym;expansion, two for
+    each annotator. Expansions are lower-cased; malformed lines are dropped. With several annotators their numbers,
+    from 0, are a column."""
+    cells = [(f"inside{k}", f"outside{k}") for k in range(annotators)]
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=", ".join(f"{c} string" for c in ("title", "article_id", *(x for pair in cells for x in pair))))
+    each = F.array(*(F.struct(F.col(c).alias("c"), F.lit(c.startswith("in")).alias("in_text"), F.lit(k).alias("annotator")) for k, pair in enumerate(cells) for c in pair))
+    lines = rows.select("article_id", F.explode(each).alias("s")).select("article_id", "s.in_text", "s.annotator", F.explode(F.split("s.c", r"\r?\n")).alias("line")).withColumn("p", F.split("line", ";")).where("size(p) = 2")
+    out = lines.select("article_id", F.trim(F.col("p")[0]).alias("acronym"), F.lower(F.trim(F.col("p")[1])).alias("expansion"), "in_text", "annotator").where("acronym <> '' and expansion <> ''")
+    return out if annotators > 1 else out.drop("annotator")
 
 
 def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -155,12 +158,17 @@ def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     docs = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<doc [^>]*>.*?</doc>"), F.lit(0))).alias("d"))
     attr = lambda a: F.regexp_extract("d", rf'^<doc [^>]*\b{a}="([^"]*)"', 1)
-    return docs.select(attr("id").alias("article_id"), attr("url").alias("url"), attr("title").alias("title"), F.trim(F.regexp_extract("d", r"(?s)^<doc [^>]*>(.*)</doc>$", 1)).alias("raw_text"))
+    return docs.select(attr("id").alias("article_id"), attr("url").alias("url"), attr("title").alias("title"), F.regexp_replace(F.regexp_extract("d", r"(?s)^<doc [^>]*>(.*)</doc>$", 1), r"^\s+|\s+$", "").alias("raw_text"))
 
 
-def wiki_wanted(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """Only wanted ids of a dump (column article_id)."""
-    return wiki_dump(spark, path).join(ids.select("article_id").distinct(), "article_id", "left_semi")
+def wiki_wanted(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Only wanted articles of a dump: by id (a column article_id) or by title (a column title, of any case, with
+    underscores for spaces or not)."""
+    dump = wiki_dump(spark, path)
+    if "article_id" in wanted.columns:
+        return dump.join(wanted.select("article_id").distinct(), "article_id", "left_semi")
+    name = lambda c: F.lower(F.trim(F.replace(c, F.lit("_"), F.lit(" "))))
+    return dump.withColumn("name", name(F.col("title"))).join(wanted.select(name(F.col("title")).alias("name")).distinct(), "name", "left_semi").drop("name")
 
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,9 @@ from sparkronym.operators import matchers as m
         ("boundaries", "We train a SVM - support vector machine.", {"SVM": "support vector machine"}),
         ("boundaries", "The third generation partnership project (3GPP) met.", {"3GPP": "third generation partnership project"}),
         ("character_match", "We use a Support Vector Machine ( SVM ) and LDA ( latent dirichlet allocation ) .", {"SVM": "Support Vector Machine", "LDA": "latent dirichlet allocation"}),
+        ("character_match", "It uses a relational database management system ( RDBMS ) and deoxyribonucleic acid ( DNA ) .", {"RDBMS": "relational database management system", "DNA": "deoxyribonucleic acid"}),
+        ("character_match", "The XML ( extensible markup language ) file", {"XML": None}),
+        ("character_match", "The XML ( xtensible markup language ) file", {"XML": "xtensible markup language"}),
         ("cascade", "NATO stands for North Atlantic Treaty Organization.", {"NATO": "North Atlantic Treaty Organization"}),
         ("cascade", "BERT (Bidirectional Encoder Representations from Transformers)", {"BERT": "Bidirectional Encoder Representations from Transformers"}),
         ("french", "L'Organisation des Nations Unies (ONU) et le PIB (produit intérieur brut).", {"ONU": "Organisation des Nations Unies", "PIB": "produit intérieur brut"}),
@@ -29,6 +32,7 @@ def test_rule(rule, text, want):
 
 def test_rejections():
     assert m.schwartz_hearst("The letter (A) stands alone.") == {}
+    assert m.schwartz_hearst("We like an apple (A) today.") == {}
     assert not m.plausible("ABC", "the ABC")
     assert m.match_right_to_left("XYZ", "nothing like it") is None
     assert m.cascade("Chapter II (second part)") == {}
