@@ -53,8 +53,8 @@ def strip_markup(c: str | Column, tag: str = "e") -> Column:
 
 
 #: Accented characters of French and what they fold to.
-FRENCH_FROM = "àâäéèêëîïôöùûüÿçÀÂÄÉÈÊËÎÏÔÖÙÛÜŸÇ"
-FRENCH_TO = "aaaeeeeiioouuuycAAAEEEEIIOOUUUYC"
+FRENCH_FROM = "éèà’ïÉô\xa0"
+FRENCH_TO = "eea'iEo "
 
 
 def fold_french(c: str | Column) -> Column:
@@ -120,8 +120,14 @@ def char_window(text: str | Column, at: Column, before: int, after: int) -> Colu
     return F.substring(col(text), start, at + after - start)
 
 
+_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
+#: What counts as a number: digits, with a sign, a dot, single underscores between digits, and an exponent; infinities and nan.
+NUMBER = rf"^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))\s*$"
+
+
 def is_number(c: str | Column) -> Column:
-    return F.coalesce(col(c).try_cast("double").isNotNull(), F.lit(False))
+    """Whether the text is a number as a whole; null is none."""
+    return F.coalesce(col(c).rlike(NUMBER), F.lit(False))
 
 
 def stable_hash(seed: int, *cols: str) -> Column:

@@ -127,11 +127,35 @@ def vote_scores(windows: DataFrame, terms: DataFrame) -> DataFrame:
     return j.groupBy(*KEYS, "expansion").agg(F.avg("cos").alias("confidence"))
 
 
-def nearest(vectors: DataFrame, train: DataFrame) -> DataFrame:
-    """The nearest training vector: vectors (id, vector), train (train_id, label, vector) in one block each."""
-    j = vectors.join(train.withColumnRenamed("vector", "tv"), "block").withColumn("cos", cosine("vector", "tv")).where("id <> train_id")
-    per = W.partitionBy("id").orderBy(F.desc("cos"), "train_id")
-    return j.withColumn("rank", F.row_number().over(per)).where("rank = 1").select("id", "train_id", "label", "cos")
+def nearest(vectors: DataFrame, train: DataFrame, block_rows: int = 4096) -> DataFrame:
+    """The nearest other training vector: vectors (id, block, vector), train (train_id, label, block, vector) of a block.
+
+    (id, train_id, label, cos), of equally near ones the smallest train_id. A block of any size is cut into parts of
+    about so many rows; each two of them are one product of matrices, of which a row for each id is left."""
+    ship(vectors.sparkSession)
+    most = lambda df: df.groupBy("block").count().agg(F.max("count")).first()[0] or 1
+    n, m = (-(-most(df) // block_rows) for df in (vectors, train))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = vectors.select("block", "id", "vector", part("id", n).alias("i"), spread(m).alias("j"))
+    right = train.select("block", "train_id", "label", "vector", part("train_id", m).alias("j"), spread(n).alias("i"))
+    kind = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *train.schema)}
+    out = f"id {kind['id']}, train_id {kind['train_id']}, label {kind['label']}, cos double"
+
+    def one(a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(t):
+            return pd.DataFrame(columns=["id", "train_id", "label", "cos"])
+        t = t.sort_values("train_id", ignore_index=True)
+        unit = lambda v: (lambda x: x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300))(np.array(v.tolist(), float))
+        cos = (unit(a["vector"]) @ unit(t["vector"]).T).round(12)
+        cos[a["id"].to_numpy()[:, None] == t["train_id"].to_numpy()[None, :]] = -2.0
+        best = cos.argmax(1)
+        got = pd.DataFrame({"id": a["id"].to_numpy(), "train_id": t["train_id"].to_numpy()[best], "label": t["label"].to_numpy()[best], "cos": cos.max(1)})
+        return got[got["cos"] > -2.0]
+
+    keys = ["block", "i", "j"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, out)
+    return near.groupBy("id").agg(F.min_by(F.struct("train_id", "label", "cos"), F.struct((-F.col("cos")).alias("c"), "train_id")).alias("m")).select("id", "m.*")
 
 
 def fill_options(scores: DataFrame, options: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkronym.functions.text import apply_pairs, tokens
+from sparkronym.functions.text import apply_pairs, expansion_token, tokens
 from sparkronym.operators import dictionary as D
 from sparkronym.operators import expanders as E
 from sparkronym.operators import links as L
@@ -83,15 +83,37 @@ def in_expansion_benchmark(articles: DataFrame, gold: DataFrame, rule: str) -> D
     return M.precision_recall(M.extraction_counts(gold, found))
 
 
-def out_expansion_benchmark(mentions: DataFrame, dictionary: DataFrame, folds: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], k: int) -> DataFrame:
+def masked(articles: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Test texts that don't give the answer away: each gold expansion's token becomes its acronym.
+
+    (articles, gold) of what is left: a gold pair whose token isn't in the text (or has become another acronym of the
+    same expansion, the first by text) can't be tested and goes, and with its last pair the article. Null texts go."""
+    pairs = gold.where("acronym is not null and expansion is not null").groupBy(F.col("article_id").cast("string").alias("id")).agg(F.array_sort(F.collect_set(F.struct("acronym", "expansion"))).alias("pairs"))
+    j = articles.select(F.col("article_id").cast("string").alias("article_id"), "raw_text").join(pairs, F.col("article_id") == F.col("id")).where("raw_text is not null")
+    none = F.filter("pairs", lambda p: F.lit(False))
+
+    def step(s, p):
+        token = expansion_token(p["expansion"])
+        return F.struct(F.replace(s["text"], token, p["acronym"]).alias("text"), F.when(F.contains(s["text"], token), F.concat(s["kept"], F.array(p))).otherwise(s["kept"]).alias("kept"))
+
+    done = j.select("article_id", F.aggregate("pairs", F.struct(F.col("raw_text").alias("text"), none.alias("kept")), step).alias("s")).where(F.size("s.kept") > 0)
+    return done.select("article_id", F.col("s.text").alias("raw_text")), done.select("article_id", F.explode("s.kept").alias("p")).select("article_id", "p.acronym", "p.expansion")
+
+
+def out_expansion_benchmark(mentions: DataFrame, dictionary: DataFrame, folds: DataFrame, score: Callable[..., DataFrame], k: int, articles: DataFrame | None = None) -> DataFrame:
     """Accuracies by fold: mentions are the gold ones of test articles, and the dictionary is that of the others.
 
-    Folds are rows of one plan; score: (mentions, dictionary) -> scores."""
+    Folds are rows of one plan; score: (mentions, dictionary) -> scores. With articles, whose texts have expansions'
+    tokens, score gets two tables of texts as well: the masked ones of the fold's test articles, and the others as they are."""
     out = None
     for i in range(k):
         test = S.realign(mentions, folds, i, "test")
         train = S.realign(dictionary, folds, i, "train")
-        c = M.choices(test, E.choose(score(test.select("article_id", "acronym"), train)), D.options(train))
+        texts = []
+        if articles is not None:
+            hidden, test = masked(S.realign(articles, folds, i, "test"), test)
+            texts = [hidden, S.realign(articles, folds, i, "train")]
+        c = M.choices(test, E.choose(score(test.select("article_id", "acronym"), train, *texts)), D.options(train))
         row = M.accuracies(c).withColumn("fold", F.lit(i))
         out = row if out is None else out.unionByName(row)
     return out

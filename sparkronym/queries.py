@@ -23,6 +23,7 @@ from sparkronym.operators import representators as R
 from sparkronym.operators import splits as Sp
 from sparkronym.plans import expand as P
 from sparkronym.shipping import ship
+from sparkronym.storage import Steps
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -276,10 +277,20 @@ def p16_drop_stop_words(spark, sf):
     return D.drop_stop_words(variants(spark, sf), t(spark, sf, "part").where("p_size < 5").select(F.col("p_name").alias("word")))
 
 
-@query("WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM conversations) SELECT w, TRY_CAST(w AS DOUBLE) IS NOT NULL AS number FROM w WHERE regexp_matches(w, '^[A-Za-z0-9]+$') AND NOT regexp_matches(lower(w), '^(inf|infinity|nan)$|[dfe]$')")
+_ODD = ["inf", "-Infinity", "NaN", "1.", "+.5", "1e", "1__0", "", ".", " 7 ", "1,5", "0x1F", "1e5.5", "1f", "--1", "1E-3"]
+_TOKENS = "SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM conversations UNION SELECT '-' || l_quantity::INT || '.5e+' || l_linenumber FROM lineitem UNION SELECT l_partkey || '_' || l_suppkey FROM lineitem UNION SELECT '_' || l_partkey FROM lineitem UNION SELECT l_partkey || 'd' FROM lineitem UNION SELECT '.' || l_partkey FROM lineitem UNION SELECT unnest(" + str(_ODD) + ")"
+_BARE = "replace(regexp_replace(trim(w, chr(32) || chr(9) || chr(10) || chr(13)), '([0-9])_([0-9])', '\\1\\2', 'g'), 'E', 'e')"
+
+
+@query(f"WITH w AS ({_TOKENS}) SELECT w, regexp_matches(lower({_BARE}), '^[+-]?(inf|infinity|nan)$') OR regexp_matches({_BARE}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?$') AS number FROM w")
 def p17_is_number(spark, sf):
-    w = t(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("w")).distinct().where("w rlike '^[A-Za-z0-9]+$' and not lower(w) rlike '^(inf|infinity|nan)$|[dfe]$'")
-    return w.withColumn("number", X.is_number("w"))
+    """Words of conversations, and numbers of line items written in several ways."""
+    l = t(spark, sf, "lineitem")  # noqa: E741
+    num = lambda c: F.col(c).cast("int").cast("string")
+    ways = [F.concat(F.lit("-"), num("l_quantity"), F.lit(".5e+"), num("l_linenumber")), F.concat(num("l_partkey"), F.lit("_"), num("l_suppkey")), F.concat(F.lit("_"), num("l_partkey")), F.concat(num("l_partkey"), F.lit("d")), F.concat(F.lit("."), num("l_partkey"))]
+    every = t(spark, sf, "conversations").select(F.explode(F.split("text", " ", -1)).alias("w")).unionByName(l.select(F.explode(F.array(*ways)).alias("w")))
+    every = every.unionByName(spark.range(1).select(F.explode(F.array(*map(F.lit, _ODD))).alias("w")))
+    return every.distinct().withColumn("number", X.is_number("w"))
 
 
 @query(f"WITH {DICT}, d AS (SELECT DISTINCT acronym, expansion FROM dict) SELECT acronym, expansion, CASE WHEN expansion IN (SELECT p_name FROM part WHERE p_size < 3) THEN 'wiki' WHEN expansion IN (SELECT p_name FROM part WHERE p_size > 48) THEN 'site' ELSE 'neither' END AS listed FROM d")
@@ -502,9 +513,9 @@ def w3_t2_argmax(spark, sf):
     return E.choose(scored(spark, sf).where("expander = 'svm'")).select("article_id", "acronym", "confidence", "expansion")
 
 
-@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM c GROUP BY 1 HAVING count(*) > 1")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM c GROUP BY 1")
 def g26_vocabulary(spark, sf):
-    return R.vocabulary(t(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tokens")), id_col="doc_id").where("df > 1")
+    return R.vocabulary(t(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tokens")), id_col="doc_id")
 
 
 CLUSTERS = f"WITH RECURSIVE {VARIANTS}, d AS (SELECT DISTINCT regexp_replace(acronym, 's$', '') AS acronym, expansion FROM var), e AS (SELECT x.acronym, x.expansion AS a, y.expansion AS b FROM d x JOIN d y ON x.acronym = y.acronym AND x.expansion <> y.expansion AND {SIM('x.expansion', 'y.expansion')}), r(acronym, v, u) AS (SELECT acronym, expansion, expansion FROM d UNION SELECT r.acronym, r.v, e.b FROM r JOIN e ON e.acronym = r.acronym AND e.a = r.u), cl AS (SELECT acronym, v AS expansion, min(u) AS cluster FROM r GROUP BY 1, 2)"
@@ -567,10 +578,11 @@ def t4_top_terms(spark, sf):
     return t(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("cf")).orderBy(F.desc("cf"), "term").limit(100)
 
 
-@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), j AS (SELECT a.vec_id AS id, b.vec_id AS train_id, b.label, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT id, label, round(max(c), 8) AS cos FROM j GROUP BY 1, 2")
+@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), j AS (SELECT a.vec_id AS id, b.vec_id AS train_id, b.label, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 12) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT id, label, round(c, 8) AS cos FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, train_id) = 1")
 def t5_nearest(spark, sf):
-    v = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
-    return E.nearest(v.select(F.col("vec_id").alias("id"), F.col("label").alias("block"), "vector"), v.select(F.col("vec_id").alias("train_id"), "label", F.col("label").alias("block"), "vector")).select("id", "label", F.round("cos", 8).alias("cos"))
+    """The label of each vector's nearest other one, whatever its own label."""
+    v = t(spark, sf, "embeddings").select("vec_id", "label", F.lit(0).alias("block"), F.col("embedding").cast("array<double>").alias("vector"))
+    return E.nearest(v.select(F.col("vec_id").alias("id"), "block", "vector"), v.select(F.col("vec_id").alias("train_id"), "label", "block", "vector")).select("id", "label", F.round("cos", 8).alias("cos"))
 
 
 @query(f"WITH {DICT}, {RANKED} SELECT article_id, rank FROM rk")
@@ -666,7 +678,7 @@ def f13_convert_tags(spark, sf):
     return c.select("conv_id", F.array_join(X.convert_tags("r", "BIOless"), " ").alias("tags"))
 
 
-@query(f"SELECT doc_id, translate(text, '{X.FRENCH_FROM}', '{X.FRENCH_TO}') AS text FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(text, 'é', 'e'), 'è', 'e'), 'à', 'a'), '’', chr(39)), 'ï', 'i'), 'É', 'E'), 'ô', 'o'), chr(160), ' ') AS text FROM documents WHERE lang = 'fr'")
 def f14_fold_french(spark, sf):
     return t(spark, sf, "documents").where("lang = 'fr'").select("doc_id", X.fold_french("text").alias("text"))
 
@@ -805,9 +817,13 @@ def r2_tfidf(spark, sf):
     return R.tfidf(all_tokens(spark, sf)).withColumn("weight", F.round("weight", 8))
 
 
-@query()
+GRAMS = "t AS (SELECT CAST(doc_id AS VARCHAR) AS article_id, string_split(text, ' ') AS w FROM documents), g AS (SELECT article_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM t), tf AS (SELECT article_id, term, count(*) AS tf FROM g WHERE term NOT IN ('de', 'la') GROUP BY 1, 2)"
+
+
+@query(f"WITH {GRAMS}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), i AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + df)) + 1 AS idf FROM df), x AS (SELECT article_id, term, tf * idf AS w FROM tf JOIN i USING (term)) SELECT article_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY article_id)), 8) AS weight FROM x")
 def r2_tfidf_bigrams(spark, sf):
-    return R.tfidf(all_tokens(spark, sf), max_features=1000, ngram=(1, 2), stop_words=["de", "la"])
+    """All words and pairs of words but for two stop words."""
+    return R.tfidf(all_tokens(spark, sf), ngram=(1, 2), stop_words=["de", "la"]).withColumn("weight", F.round("weight", 8))
 
 
 @query()
@@ -1075,7 +1091,6 @@ def shaped_sentences(spark, sf) -> DataFrame:
 def crf_tagged(spark, sf) -> DataFrame:
     """All sentences with the tags of an ensemble of five models, fitted on five sixths of them with what two rules say."""
     from sparkronym.operators import crf, matchers
-    from sparkronym.storage import Steps
 
     said = {c: crf.tags_by_rule(spark, matchers.RULES[c])("tokens") for c in ("schwartz_hearst", "character_match")}
     s = shaped_sentences(spark, sf).withColumns(said).withColumn("features", crf.hashed(crf.token_features("tokens", list(said))))
@@ -1153,3 +1168,24 @@ def f23_find_phrase(spark, sf):
     seen = F.when(k == 0, F.col("expansion")).when(k == 1, F.replace("expansion", F.lit(" "), F.lit("-"))).when(k == 2, F.replace("expansion", F.lit(" "), F.lit(""))).otherwise(F.concat(F.upper("expansion"), F.lit("x")))
     d = dictionary(spark, sf).select("article_id", "expansion", F.concat(F.lit("The "), seen, F.lit(" 1234 5678 9012")).alias("raw_text"))
     return d.select("article_id", Ph.find_phrase("raw_text", "expansion", Ph.TEST).alias("f")).select("article_id", "f.start", "f.found", "f.stage", "f.cost")
+
+
+@query(f"WITH {ARTICLES} SELECT article_id, replace(regexp_replace(replace(raw_text, p_name, replace(p_name, ' ', '_')), '\\b' || acronym || 's?\\b', replace(p_name, ' ', '_'), 'g'), replace(p_name, ' ', '_'), acronym) AS raw_text, acronym, p_name AS expansion FROM art")
+def m8_masked_texts(spark, sf):
+    """Test texts of the out-expansion benchmark, and the gold pairs that can be tested in them."""
+    gold = dictionary(spark, sf).select("article_id", "acronym", "expansion")
+    texts, left = P.masked(_corpus(spark, sf).articles, gold)
+    return texts.join(left, "article_id")
+
+
+@query()
+def m8_cosine_benchmark(spark, sf):
+    """Five folds by the cosine of masked test texts with training texts."""
+    d = dictionary(spark, sf).select("article_id", "acronym", "expansion", "pos")
+
+    def score(m, train, hidden, texts):
+        words = lambda df: df.select("article_id", X.tokens("raw_text").alias("tokens"))
+        return E.cosine_scores(m, train, R.tfidf(words(hidden), words(texts)), R.tfidf(words(texts)))
+
+    steps = Steps(spark, "benchmark")
+    return P.out_expansion_benchmark(d, d, steps.cut(Sp.folds(d)), score, 5, steps.cut(_corpus(spark, sf).articles))
