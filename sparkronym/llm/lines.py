@@ -1,18 +1,21 @@
 """Line dedup by a log-template tree.
 
 A line's tokens with a digit are variable fields. The tree's path to a leaf is of fixed
-depth: the number of tokens, then the first DEPTH of them. In a leaf, a line joins the
-first template that agrees with it in SIMILAR of the tokens, and the template's other
-tokens become variable; lines come in order, so that reruns agree. A template that
-occurs in min_docs documents or more is recurring: its lines are dropped, but for those
-of the document with the smallest id. A line that stands in two documents alike, up to
-its variable fields, is dropped from the second on, whatever its template.
+depth: the number of tokens, then the first DEPTH of them. In a leaf, a token is constant
+if lines of min_docs documents have it at its place (a line counts for two documents at
+most), and the others are variable: a line whose constant tokens are SIMILAR of all or
+more has them, and `<*>` for the rest, as its template; another line is its own. So a
+template depends on which lines a leaf has, not on their order or on how they are dealt
+to tasks. A template that occurs in min_docs documents or more is recurring: its lines
+are dropped, but for those of the document with the smallest id. A line that stands in
+two documents alike, up to its variable fields, is dropped from the second on, whatever
+its template.
 
 Lines go through the plan as 128 bits, without their texts. Only leaves of two or more
 different lines and documents need a template; the texts of their lines are read again,
-past a sieve, as one row for each different line. A leaf of many different lines is
-parsed in chunks of bounded size; the chunks' templates, dealt anew by other tokens, are
-then merged by the same rule, so that no leaf is held by one task.
+past a sieve, as one row for each different line, and then a row for each of its tokens.
+Constant tokens are sums by (leaf, place, token), so that a leaf of any size is spread
+over all tasks.
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ from sparkronym.llm.common import Scratch, ship
 from sparkronym.llm.sieve import Sieve
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 3
-#: Tokens of the different lines that are parsed together at most (a line of more is parsed by itself).
-CHUNK_TOKENS = 1 << 21
 VARIABLE = "<*>"
 U = np.uint64
 
@@ -39,25 +40,6 @@ def _constant(k: int) -> np.uint64:
     return U(k * 0x9E3779B97F4A7C15 & (2**64 - 1))
 
 
-def parse(rows: list[str]) -> list[str]:
-    """The template of each of different lines (tokens joined by one space) of as many tokens each."""
-    ids: dict[str, int] = {VARIABLE: 0}
-    lines = np.array([[ids.setdefault(t, len(ids)) for t in r.split(" ")] for r in rows], np.int32)
-    found, n, owner = np.empty_like(lines), 0, []
-    for line in lines:
-        alike = np.flatnonzero((found[:n] == line).sum(1) >= SIMILAR * len(line))
-        if len(alike):
-            best = int(alike[0])
-            found[best][found[best] != line] = 0
-        else:
-            best, n = n, n + 1
-            found[best] = line
-        owner.append(best)
-    names = list(ids)
-    text = [" ".join([names[t] for t in f]) for f in found[:n].tolist()]
-    return [text[i] for i in owner]
-
-
 class _Lines:
     """The lines with words of a slice of texts: document, place in it, leaf and 128 bits of the masked line."""
 
@@ -117,53 +99,22 @@ def _texts(sieve: Sieve):
                 _, one = np.unique(np.stack([b[at] for b in x.bits], 1), axis=0, return_index=True)
                 at = at[one]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.leaf[at]), *(pa.array(b[at]) for b in x.bits), pa.array(x.size[at], pa.int64()), pa.array([x.text(k) for k in at.tolist()], pa.string())],
-                    names=["leaf", "a", "b", "size", "masked"],
+                    [pa.array(x.leaf[at]), *(pa.array(b[at]) for b in x.bits), pa.array([x.text(k) for k in at.tolist()], pa.string())],
+                    names=["leaf", "a", "b", "masked"],
                 )
 
     return w.tidy(run)
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (leaf, key, part, masked), chunk by chunk; a chunk's rows are in one partition."""
-    chunk, held = None, []
-
-    def done():
-        return pa.RecordBatch.from_arrays([pa.array([chunk[0]] * len(held), pa.int64()), pa.array(held, pa.string()), pa.array(parse(held), pa.string())], names=["leaf", "masked", "template"])
-
-    for batch in batches:
-        for *x, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if x != chunk:
-                if held:
-                    yield done()
-                chunk, held = x, []
-            held.append(m)
-    if held:
-        yield done()
-
-
-def _parsed(scratch: Scratch, lines: DataFrame, key, chunk_tokens: int, name: str) -> DataFrame:
-    """leaf, masked, template of different lines (leaf, size, masked), in chunks of a leaf's lines of one key."""
-    keyed = lines.select("leaf", "size", "masked", key.alias("key"))
-    n = scratch.save(keyed.groupBy("leaf", "key").agg(F.ceil(F.sum("size") / F.lit(chunk_tokens)).alias("parts")), f"{name}-counts")
-    dealt = keyed.join(n, ["leaf", "key"]).select("leaf", "key", F.pmod(F.xxhash64("masked"), "parts").alias("part"), "masked")
-    dealt = dealt.repartition("leaf", "key", "part").sortWithinPartitions("leaf", "key", "part", "masked")
-    return scratch.save(dealt.mapInArrow(w.tidy(_templates), "leaf long, masked string, template string"), name)
-
-
-def templates(scratch: Scratch, lines: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """leaf, masked, template of different lines (leaf, size, masked)."""
-    at = lambda *places: F.xxhash64(*(F.get(F.split("masked", " "), F.lit(p) if p >= 0 else F.size(F.split("masked", " ")) + p) for p in places))
-    out = _parsed(scratch, lines, F.lit(0), chunk_tokens, "templates")
-    big = scratch.save(lines.groupBy("leaf").agg(F.sum("size").alias("tokens")).where(F.col("tokens") > chunk_tokens).select("leaf"), "big-leaves")
-    if big.isEmpty():
-        return out
-    for step, key in enumerate((F.lit(0), at(DEPTH, DEPTH + 1), at(-1, -2))):  # templates of leaves that were parsed in chunks are merged
-        some = out.join(big, "leaf", "left_semi").select("leaf", F.col("template").alias("masked")).distinct()
-        merged = _parsed(scratch, some.withColumn("size", F.size(F.split("masked", " "))), key, chunk_tokens, f"merge{step}")
-        merged = merged.select("leaf", F.col("masked").alias("template"), F.col("template").alias("into"))
-        out = scratch.save(out.join(merged, ["leaf", "template"], "left").select("leaf", "masked", F.coalesce("into", "template").alias("template")), f"templates{step}")
-    return out
+def templates(scratch: Scratch, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """a, b, leaf, template of different lines (a, b, leaf, masked, docs: for how many documents a line counts)."""
+    tokens = scratch.save(lines.select("a", "b", "leaf", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token")), "tokens")
+    held = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant"))
+    each = tokens.join(scratch.save(held, "constants"), ["leaf", "place", "token"], "left")  # a token of many lines is split by Spark
+    of = each.groupBy("a", "b", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token", "constant"))).alias("x"))
+    some = F.size(F.filter("x", lambda t: t["constant"])) >= F.lit(SIMILAR) * F.size("x")
+    template = F.array_join(F.transform("x", lambda t: F.when(t["constant"] | ~some, t["token"]).otherwise(VARIABLE)), " ")
+    return of.select("a", "b", "leaf", template.alias("template"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +131,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, kept_text (kept lines joined by line feeds).
 
     A null text has no lines and an empty kept text; an empty text has one line. Blank
     lines are of no template and stay. Rows that share an id count as one document, with
     all their lines; repeated rows lose the same lines. Rows of no id count as one
     document, larger than all others. Among documents with a line alike the smallest id
-    keeps it; among templates that a line agrees with equally the first by text wins. An
+    keeps it. An
     empty table gives an empty result. Other columns are not read, whatever their names.
     Texts and lines are read whole, whatever their length."""
     spark = docs.sparkSession
@@ -205,11 +156,12 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     leaves = scratch.save(leaves.select("leaf", "n"), "leaves")
 
     sieve = Sieve(leaves.select("leaf"), leaves.count())
-    texts = src.select("text").mapInArrow(_texts(sieve), "leaf long, a long, b long, size long, masked string").join(leaves.select("leaf"), "leaf", "left_semi")
+    texts = src.select("text").mapInArrow(_texts(sieve), "leaf long, a long, b long, masked string").join(leaves.select("leaf"), "leaf", "left_semi")
     texts = scratch.save(texts.dropDuplicates(["a", "b"]), "texts")
-    named = templates(scratch, texts.select("leaf", "size", "masked"), chunk_tokens)
-    # the templates by name; lines that are alike up to their hashed bits have one text
-    of = texts.join(named, ["leaf", "masked"]).select("a", "b", F.xxhash64("leaf", "template").alias("t"), F.xxhash64("template", "leaf").alias("u"))
+    docs = different.select("a", "b", F.when(F.expr(several), 2).otherwise(1).alias("docs"))
+    named = templates(scratch, texts.join(docs, ["a", "b"]), min_docs)
+    # the templates by name
+    of = named.select("a", "b", F.xxhash64("leaf", "template").alias("t"), F.xxhash64("template", "leaf").alias("u"))
     of = scratch.save(of, "of")
     held = lines.select("a", "b", "doc_id").join(of, ["a", "b"]).select("t", "u", "doc_id").distinct()
     recurring = scratch.save(held.groupBy("t", "u").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("t", "u", "first"), "recurring")
