@@ -416,7 +416,12 @@ def g6_representatives(spark, sf):
     return D.representatives(variants(spark, sf).withColumn("cluster", F.length("expansion").cast("long")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {VARIANTS}, o AS (SELECT acronym, expansion, row_number() OVER (PARTITION BY acronym ORDER BY min(pos), expansion) AS k FROM var GROUP BY 1, 2), r(acronym, k, expansion, label, labels) AS (
+    SELECT acronym, k, expansion, expansion, [expansion] FROM o WHERE k = 1
+    UNION ALL SELECT acronym, k, expansion, coalesce(near, expansion), CASE WHEN near IS NULL THEN list_append(labels, expansion) ELSE labels END
+    FROM (SELECT o.acronym, o.k, o.expansion, r.labels, list_filter(r.labels, lambda l: {SIM('o.expansion', 'l')})[1] AS near FROM r JOIN o ON o.acronym = r.acronym AND o.k = r.k + 1)) SELECT acronym, expansion, label FROM r"""
+)
 def g7_greedy_labels(spark, sf):
     return Ln.greedy_labels(variants(spark, sf))
 
@@ -470,7 +475,12 @@ def g20_agreement(spark, sf):
     return M.agreement(annotators(spark, sf))
 
 
-@query()
+_PAIR = "len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))"
+_MASI = _PAIR + " * CASE WHEN {0} = {1} THEN 1.0::DOUBLE WHEN len(list_intersect({0}, {1})) = least(len({0}), len({1})) THEN 2 / 3::DOUBLE WHEN len(list_intersect({0}, {1})) > 0 THEN 1 / 3::DOUBLE ELSE 0 END"
+MASI = AGREE.replace(_PAIR.format("x", "y"), _MASI.format("x", "y")).replace(_PAIR.format("p.i", "q.i"), _MASI.format("p.i", "q.i"))
+
+
+@query(f"WITH {MASI} SELECT n AS n_docs, d AS observed_distance, 1 - d / (1 - (all_s - 2 * n) / (2.0 * n * (2 * n - 1))) AS alpha, 1 - d / (1 - ab_s / (n::DOUBLE * n)) AS kappa FROM o, e")
 def g20_agreement_masi(spark, sf):
     return M.agreement(annotators(spark, sf), "masi")
 
@@ -531,7 +541,10 @@ def m3_u5_u6_linkage(spark, sf):
     return Ln.link(variants(spark, sf), articles=False)
 
 
-@query()
+BY_ARTICLE = CLUSTERS.replace(" FROM dict)", " FROM dict), va AS (SELECT regexp_replace(acronym, 's$', '') AS acronym, expansion, pos % 500 AS article, pos FROM var)", 1).replace("), r(acronym", " UNION SELECT x.acronym, x.expansion, y.expansion FROM va x JOIN va y ON x.acronym = y.acronym AND x.article = y.article AND x.expansion <> y.expansion), r(acronym")
+
+
+@query(f"{BY_ARTICLE}, n AS (SELECT va.acronym, cluster, va.expansion, article, pos FROM va JOIN cl USING (acronym, expansion)), b AS (SELECT acronym, cluster, first(expansion ORDER BY c DESC, length(expansion) DESC, expansion) AS expansion FROM (SELECT acronym, cluster, expansion, count(*) AS c FROM n GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT n.acronym, b.expansion, CAST(article AS VARCHAR) AS article_id, min(pos) AS pos FROM n JOIN b USING (acronym, cluster) GROUP BY 1, 2, 3")
 def m3_linkage_by_article(spark, sf):
     return Ln.link(variants(spark, sf).withColumn("article_id", (F.col("pos") % 500).cast("string")))
 
@@ -709,8 +722,9 @@ def p12_f17_followable(spark, sf):
     return Lk.followable(Lk.links(linked_pages(spark, sf))).select("article_id", "href", "target")
 
 
-@query()
+@query("WITH l AS (SELECT CAST(page_id AS VARCHAR) AS article_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT article_id, href, regexp_extract(url, '^[^/]*//[^/?#]*') || href AS target FROM l WHERE href[1] <> '#'")
 def f17_url_join(spark, sf):
+    """Links of all pages, which begin at the host's root."""
     p = t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("article_id"), "url", "html")
     return Lk.followable(Lk.links(p)).select("article_id", "href", "target")
 
@@ -1024,7 +1038,12 @@ def m7_in_expansion_benchmark(spark, sf):
     return P.in_expansion_benchmark(part_articles(spark, sf), gold, "schwartz_hearst").select("gold_acronyms", "right_pairs", "pairs_f1")
 
 
-@query()
+@query(
+    f"""WITH {DICT}, {FOLDS}, tr AS (SELECT k AS fold, dict.* FROM dict JOIN fo USING (article_id) JOIN (SELECT unnest(range(5)) AS k) ON fo.fold <> k),
+    fq AS (SELECT fold, acronym, first(expansion ORDER BY n DESC, first, expansion) AS predicted, list(expansion) AS options FROM (SELECT fold, acronym, expansion, count(*) AS n, min(pos) AS first FROM tr GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    c AS (SELECT fo.fold, coalesce(predicted = expansion, false) AS success, coalesce(list_contains(options, expansion), false) AS in_db, coalesce(len(options) > 1, false) AS ambiguous FROM dict JOIN fo USING (article_id) LEFT JOIN fq ON fq.fold = fo.fold AND fq.acronym = dict.acronym)
+    SELECT count(*) AS n, avg(success::INT::DOUBLE) AS accuracy, avg(CASE WHEN in_db THEN success::INT::DOUBLE END) AS accuracy_in_db, avg(CASE WHEN ambiguous THEN success::INT::DOUBLE END) AS accuracy_ambiguous, fold FROM c GROUP BY fold"""
+)
 def m8_out_expansion_benchmark(spark, sf):
     d = dictionary(spark, sf)
     folds = Sp.folds(d)
