@@ -107,14 +107,21 @@ def _texts(sieve: Sieve):
 
 
 def templates(scratch: Scratch, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """a, b, leaf, template of different lines (a, b, leaf, masked, docs: for how many documents a line counts)."""
-    tokens = scratch.save(lines.select("a", "b", "leaf", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token")), "tokens")
-    held = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant"))
-    each = tokens.join(scratch.save(held, "constants"), ["leaf", "place", "token"], "left")  # a token of many lines is split by Spark
-    of = each.groupBy("a", "b", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token", "constant"))).alias("x"))
-    some = F.size(F.filter("x", lambda t: t["constant"])) >= F.lit(SIMILAR) * F.size("x")
-    template = F.array_join(F.transform("x", lambda t: F.when(t["constant"] | ~some, t["token"]).otherwise(VARIABLE)), " ")
-    return of.select("a", "b", "leaf", template.alias("template"))
+    """a, b and 128 bits (t, u) of the template of different lines (a, b, leaf, masked, docs: for how many documents a
+    line counts) that have enough constant tokens. Every leaf's lines count for min_docs documents or more.
+
+    Leading tokens are the leaf's and so constant. A template is the set of its other constant tokens with their
+    places, `<*>` apart: its bits are those of each of them, folded by exclusive or."""
+    words = F.split("masked", " ")
+    rest = F.posexplode(F.slice(words, DEPTH + 1, F.greatest(F.size(words) - DEPTH, F.lit(0))))
+    tokens = scratch.save(lines.select("a", "b", "leaf", "docs", F.size(words).alias("n"), rest.alias("place", "token")), "tokens")
+    held = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("k")).where(F.col("k") >= min_docs).select("leaf", "place", "token")
+    each = tokens.join(scratch.save(held, "constants"), ["leaf", "place", "token"])  # a token of many lines is split by Spark
+    bits = lambda k: F.when(F.col("token") != VARIABLE, F.xxhash64(F.lit(k), "place", "token"))
+    each = each.select("a", "b", "leaf", "n", F.lit(1).alias("c"), bits(1).alias("t"), bits(2).alias("u"))
+    none = lines.select("a", "b", "leaf", F.size(words).alias("n"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("u"))
+    of = each.unionByName(none).groupBy("a", "b", "leaf", "n").agg(F.sum("c").alias("c"), F.bit_xor("t").alias("t"), F.bit_xor("u").alias("u"))
+    return of.where(F.col("c") + DEPTH >= F.lit(SIMILAR) * F.col("n")).select("a", "b", F.xxhash64("leaf", "t").alias("t"), F.xxhash64("u", "leaf").alias("u"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +159,14 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     several = "lo <> hi or (none and lo is not null)"
     docs_of = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("none")]
     different = scratch.save(lines.groupBy("a", "b").agg(F.min("leaf").alias("leaf"), *docs_of), "different")
-    leaves = different.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("none").alias("none")).where("n > 1").where(several)
+    docs = F.when(F.expr(several), 2).otherwise(1)
+    leaves = different.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(docs).alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("none").alias("none")).where((F.col("n") > 1) & (F.col("docs") >= min_docs)).where(several)
     leaves = scratch.save(leaves.select("leaf", "n"), "leaves")
 
     sieve = Sieve(leaves.select("leaf"), leaves.count())
     texts = src.select("text").mapInArrow(_texts(sieve), "leaf long, a long, b long, masked string").join(leaves.select("leaf"), "leaf", "left_semi")
     texts = scratch.save(texts.dropDuplicates(["a", "b"]), "texts")
-    docs = different.select("a", "b", F.when(F.expr(several), 2).otherwise(1).alias("docs"))
-    named = templates(scratch, texts.join(docs, ["a", "b"]), min_docs)
-    # the templates by name
-    of = named.select("a", "b", F.xxhash64("leaf", "template").alias("t"), F.xxhash64("template", "leaf").alias("u"))
+    of = templates(scratch, texts.join(different.select("a", "b", docs.alias("docs")), ["a", "b"]), min_docs)
     of = scratch.save(of, "of")
     held = lines.select("a", "b", "doc_id").join(of, ["a", "b"]).select("t", "u", "doc_id").distinct()
     recurring = scratch.save(held.groupBy("t", "u").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("t", "u", "first"), "recurring")
